@@ -1,0 +1,5 @@
+"""No streaming operators: the queries this library covers are all batch.
+
+Freshness comes from rebuilding the stored summaries
+(``demarca.sources.summaries``), which is a batch job as well.
+"""
