@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 IDENTIFIER = re.compile(r"[a-z][a-z0-9_]*")
-BOM = "﻿"
+BOM = "\ufeff"
 Paths = str | Sequence[str]
 
 
@@ -134,5 +134,5 @@ def skip_national(paths: Sequence[str], marker: str = "_nac_") -> list[str]:
 def undecodable_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count of rows that hold the replacement character, the mark of a wrong charset."""
     cols = [F.col(c) for c in (columns or df.columns)]
-    broken: Column = reduce(lambda a, b: a | b, [F.coalesce(F.contains(c, F.lit("�")), F.lit(False)) for c in cols])
+    broken: Column = reduce(lambda a, b: a | b, [F.coalesce(F.contains(c, F.lit("\ufffd")), F.lit(False)) for c in cols])
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(broken).alias("undecodable"))
