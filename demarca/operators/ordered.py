@@ -47,26 +47,25 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def cut_points(df: DataFrame, keys: list[str], value: Column, n: int = CUTS) -> DataFrame:
-    """Sorted array of at most ``n`` values per group, picked by smallest hash."""
+    """Per group, at most ``n`` values picked by smallest hash, sorted (``_cuts``), and every 30th of them (``_heads``)."""
     vals = df.select(*keys, value.alias("_v")).withColumn("_h", F.xxhash64("_v"))
-    picked = top_per_group(
-        vals, keys, [F.col("_h"), F.col("_v")], n, salt=F.pmod(F.shiftright("_h", 7), F.lit(SALTS))
-    )
-    return picked.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
+    salt = F.pmod(F.shiftright("_h", 7), F.lit(SALTS))
+    picked = top_per_group(vals, keys, [F.col("_h"), F.col("_v")], n, salt=salt)
+    cuts = picked.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / F.lit(STEP)).cast("int"))
+    return cuts.withColumn("_heads", F.transform(starts, lambda i: F.col("_cuts")[i * STEP]))
 
 
-def _range_of(value: Column, cuts: Column) -> Column:
+def _below(value: Column, cuts: Column, heads: Column) -> Column:
     """Number of cut points below the value, found by one coarse and one fine step."""
-    heads = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / F.lit(STEP)).cast("int")), lambda i: cuts[i * STEP]
-    )
     coarse = F.size(F.filter(heads, lambda x: x < value))
     fine = F.size(F.filter(F.slice(cuts, (coarse - 1) * STEP + 1, F.lit(STEP)), lambda x: x < value))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * STEP + fine)
 
 
-def _into_ranges(df: DataFrame, keys: list[str], value: Column, cuts: DataFrame) -> DataFrame:
-    return df.join(cuts, keys).withColumn("_range", _range_of(value, F.col("_cuts"))).drop("_cuts")
+def _into_ranges(df: DataFrame, keys: list[str], value: Column, cuts: DataFrame, name: str = "_range") -> DataFrame:
+    placed = df.join(cuts, keys).withColumn(name, _below(value, F.col("_cuts"), F.col("_heads")))
+    return placed.drop("_cuts", "_heads")
 
 
 def _offsets(ranged: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -155,17 +154,38 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, tupl
     return found.select(*keys, *cols, F.col("total_weight").alias("n"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "running") -> DataFrame:
-    """Running sum of every row in the total order given by the ``order`` columns.
+def running_total(
+    df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str = "running"
+) -> DataFrame:
+    """Running sum of every row, ordered by ``order`` and then by ``ties``.
 
-    ``order`` must be unique within a group (end it with a tie-break column).
-    Also returns ``<name>_total``, the group's sum.
+    The order must be total within a group, and the first tie column close to
+    unique. An order value that many rows share becomes a range of its own, which
+    is split again by the first tie column. Also returns ``<name>_total``, the
+    group's sum. Neither order column may be NULL.
     """
     df, by = _keyed(df, keys)
-    place = F.struct(*order)
-    ranged = _into_ranges(df, by, place, cut_points(df, by, place))
+    rows = df.select(*by, F.col(order).alias("_v"), F.col(ties[0]).alias("_t"))
+    # Rows, not distinct values, are sampled, so a value many rows share is sure to be picked.
+    sample = rows.withColumn("_h", F.xxhash64("_t", "_v"))
+    salt = F.pmod(F.shiftright("_h", 7), F.lit(SALTS))
+    picked = top_per_group(sample, by, [F.col("_h"), F.col("_t"), F.col("_v")], CUTS, salt=salt)
+    cuts = cut_points(picked, by, F.col("_v"))
+    tie_cuts = cut_points(picked, by, F.col("_t")).withColumnsRenamed({"_cuts": "_tcuts", "_heads": "_theads"})
+    v, t = F.col(order), F.col(ties[0])
+    below = _below(v, F.col("_cuts"), F.col("_heads"))
+    own = F.coalesce(F.get("_cuts", F.col("_below")) == v, F.lit(False))
+    placed = df.join(cuts.join(tie_cuts, by), by).withColumn("_below", below)
+    ranged = placed.withColumns(
+        {
+            "_range": F.struct(
+                (F.col("_below") * 2 + own.cast("int")).alias("v"),
+                F.when(own, _below(t, F.col("_tcuts"), F.col("_theads"))).otherwise(0).alias("t"),
+            )
+        }
+    ).drop("_cuts", "_heads", "_tcuts", "_theads", "_below")
     spans = _offsets(ranged, by, value).select(*by, "_range", "_before", "_total")
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     out = (
         ranged.withColumn("_run", F.sum(value).over(inside))
         .join(spans, [*by, "_range"])

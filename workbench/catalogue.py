@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workbench import q_establishments  # noqa: F401
+from workbench import q_cleaning, q_establishments  # noqa: F401
 from workbench.kit import ORACLE, QUERIES  # noqa: F401

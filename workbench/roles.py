@@ -382,7 +382,8 @@ ROLES: dict[str, str] = {
         FROM {events} e""",
 }
 
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{([a-z]\w*)\}")
+_COUNT = re.compile(r"<(\d+(?:,\d+)?)>")  # a repeat count of a pattern, written <n> beside {role} names
 
 
 def _needs(sql: str) -> list[str]:
@@ -412,6 +413,7 @@ def with_roles(body: str) -> str:
         visit(n)
     ctes = [f"{n} AS ({_REF.sub(lambda m: m.group(1), ROLES[n])})" for n in order]
     text = _REF.sub(lambda m: m.group(1), body).strip()
+    text = _COUNT.sub(lambda m: "{" + m.group(1) + "}", text)
     if not ctes:
         return text
     if text[:5].upper() == "WITH ":
