@@ -19,15 +19,6 @@ def _part(num: str, den: str) -> Column:
     return F.coalesce(ratio_positive(F.col(num), F.col(den), 1, 8), F.lit(0))
 
 
-def _bounded(c: Column, low: float | None = None, high: float | None = None) -> Column:
-    out = c
-    if high is not None:
-        out = F.when(c.isNotNull(), F.least(out, F.lit(high).cast(FINE)))
-    if low is not None:
-        out = F.when(c.isNotNull(), F.greatest(out, F.lit(low).cast(FINE)))
-    return out
-
-
 def socioeconomic_score(registry: DataFrame, tracts: DataFrame, poverty: DataFrame) -> DataFrame:
     """Establishments with a synthetic score of their tract and the poverty of their municipality.
 
@@ -75,24 +66,28 @@ def health_vulnerability(tracts: DataFrame) -> DataFrame:
 def location_score(units: DataFrame) -> DataFrame:
     """Weighted sum of four capped terms.
 
-    Expects ``base_score``, ``ingresos``, ``unidades`` and ``robo_promedio``.
+    Expects ``base_score``, ``ingresos``, ``unidades`` and ``robo_promedio``. As in
+    the published formula, a missing capped term takes its bound, because ``least``
+    and ``greatest`` skip NULLs.
     """
+    cap, floor = F.lit(100).cast(FINE), F.lit(0).cast(FINE)
     terms = (
-        F.col("base_score").cast(FINE) * F.lit(40)
-        + _bounded(F.col("ingresos").cast(FINE) / 1_000_000, high=100) * F.lit(20)
-        + _bounded((F.col("unidades") * 5).cast(FINE), high=100) * F.lit(15)
-        + _bounded(F.lit(100).cast(FINE) - F.col("robo_promedio").cast(FINE) / 10, low=0) * F.lit(25)
+        F.col("base_score").cast(FINE) * 40
+        + F.least(F.col("ingresos").cast(FINE) / 1_000_000, cap) * 20
+        + F.least((F.col("unidades") * 5).cast(FINE), cap) * 15
+        + F.greatest(cap - F.col("robo_promedio").cast(FINE) / 10, floor) * 25
     )
     return units.withColumn("score_fase2", F.round(terms / 100, 2))
 
 
 def extended_location_score(units: DataFrame) -> DataFrame:
-    """The location score with demand (0.25) and tourism (0.10) terms added.
+    """The location score with demand (0.25) and tourism (0.10) terms added; a missing term counts 0.
 
     Expects ``score_fase2``, ``egresos_cronicos`` and ``gasto_turista``.
     """
-    demand = F.coalesce(_bounded(F.col("egresos_cronicos").cast(FINE) / 100, high=100), F.lit(0))
-    tourism = F.coalesce(_bounded(F.col("gasto_turista").cast(FINE) * 100 / 5000, high=100), F.lit(0))
+    cap, none = F.lit(100).cast(FINE), F.lit(0).cast(FINE)
+    demand = F.least(F.coalesce(F.col("egresos_cronicos").cast(FINE) / 100, none), cap)
+    tourism = F.least(F.coalesce(F.col("gasto_turista").cast(FINE) * 100 / 5000, none), cap)
     total = (F.col("score_fase2").cast(FINE) * 65 + demand * 25 + tourism * 10) / 100
     return units.withColumns(
         {"demanda_score": F.round(demand, 4), "turismo_score": F.round(tourism, 4), "score_fase3": F.round(total, 2)}
