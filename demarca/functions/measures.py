@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXACT = "decimal(18,0)"
-MONEY = "decimal(20,2)"
+MONEY = "decimal(18,2)"
+MONEY_SUM = "decimal(24,2)"
 
 # The five ordered grades, lowest first, and the missing marker.
 GRADES = ["Muy bajo", "Bajo", "Medio", "Alto", "Muy alto"]
@@ -31,12 +32,12 @@ def ratio_positive(num: Column, den: Column, scale: int = 1, digits: int = 2) ->
 
 def money_ratio(amount: Column, den: Column, scale: int = 1, digits: int = 2) -> Column:
     """Amounts with two decimals over an integer count."""
-    return F.round(amount.cast(MONEY) * F.lit(scale) / F.nullif(den.cast(EXACT), F.lit(0).cast(EXACT)), digits)
+    return F.round(amount.cast(MONEY_SUM) * F.lit(scale) / F.nullif(den.cast(EXACT), F.lit(0).cast(EXACT)), digits)
 
 
 def money_share(part: Column, whole: Column, digits: int = 2) -> Column:
     """Percent of one amount in another."""
-    return F.round(part.cast(MONEY) * F.lit(100) / F.nullif(whole.cast(MONEY), F.lit(0).cast(MONEY)), digits)
+    return F.round(part.cast(MONEY_SUM) * F.lit(100) / F.nullif(whole.cast(MONEY_SUM), F.lit(0).cast(MONEY_SUM)), digits)
 
 
 def percent(num: Column, den: Column, digits: int = 2) -> Column:

@@ -137,21 +137,27 @@ def bin_index(value: Column, breaks: list[Column]) -> Column:
     return out.otherwise(len(breaks))
 
 
+def _with_breaks(df: DataFrame, sample: DataFrame, value: str, bins: int, keys: list[str], prefix: str) -> DataFrame:
+    """Rows with the quantile breaks of a sample in columns ``<prefix>1`` and up."""
+    shares = {f"{prefix}{i}": (i, bins) for i in range(1, bins)}
+    known = sample.filter(~F.isnan(F.col(value).cast("double")))
+    breaks = quantiles(known, keys, value, shares).drop("n")
+    if keys:
+        return df.join(breaks, keys, "left")
+    one = F.lit(1)
+    return df.withColumn("_one", one).join(F.broadcast(breaks.withColumn("_one", one)), "_one", "left").drop("_one")
+
+
+def _class(value: str, bins: int, prefix: str) -> Column:
+    return bin_index(F.col(value).cast("double"), [F.col(f"{prefix}{i}") for i in range(1, bins)])
+
+
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str, keys: list[str] | None = None) -> DataFrame:
     """Rows with their quantile class, the breaks being those of the whole sample (or of each group)."""
     if bins < 2:
         raise ValueError("at least 2 bins")
-    by = keys or []
-    shares = {f"_q{i}": (i, bins) for i in range(1, bins)}
-    sample = df.filter(~F.isnan(F.col(value).cast("double")))
-    breaks = quantiles(sample, by, value, shares).drop("n")
-    if by:
-        joined = df.join(breaks, by, "left")
-    else:
-        one = F.lit(1)
-        joined = df.withColumn("_one", one).join(F.broadcast(breaks.withColumn("_one", one)), "_one", "left")
-    out = joined.withColumn(name, bin_index(F.col(value).cast("double"), [F.col(q) for q in shares]))
-    return out.drop("_one", *shares)
+    out = _with_breaks(df, df, value, bins, keys or [], "_q").withColumn(name, _class(value, bins, "_q"))
+    return out.drop(*[f"_q{i}" for i in range(1, bins)])
 
 
 def layer_domain(df: DataFrame, value: str) -> DataFrame:
@@ -163,10 +169,10 @@ def layer_domain(df: DataFrame, value: str) -> DataFrame:
 
 def bivariate_class(df: DataFrame, first: str, second: str, name: str = "bivariate") -> DataFrame:
     """Tertile pair of two layers as ``"<first>-<second>"``, NULL where either is missing."""
-    a = quantile_bins(df, first, 3, "_b1")
-    b = quantile_bins(a, second, 3, "_b2")
-    pair = F.concat(F.col("_b1").cast("string"), F.lit("-"), F.col("_b2").cast("string"))
-    return b.withColumn(name, pair).drop("_b1", "_b2")
+    both = _with_breaks(df, df, first, 3, [], "_a")
+    both = _with_breaks(both, df, second, 3, [], "_b")
+    parts = [_class(c, 3, p).cast("string") for c, p in ((first, "_a"), (second, "_b"))]
+    return both.withColumn(name, F.concat(parts[0], F.lit("-"), parts[1])).drop("_a1", "_a2", "_b1", "_b2")
 
 
 def range_position(df: DataFrame, value: str, name: str = "position") -> DataFrame:

@@ -1,11 +1,11 @@
 """Order statistics, running totals and per-group limits that hold on hot groups.
 
-A window over a whole group puts the group into one task. The functions here
-first cut every group into value ranges. The cut points are the values with the
-smallest hashes, so they are the same in every evaluation, spread evenly over
-the distinct values, and limited in number; results never depend on which values
-were picked. A window then sees one range at a time, and the ranges of a group
-are tied together by their totals.
+A window over a whole group puts the group into one task. The functions here cut
+every group into value ranges first; a window then sees one range at a time, and
+the ranges of a group are tied together by their totals. Ranges are fixed bins
+where only a few values are wanted, and lie between sampled cut points where
+every row is. Cut points are the rows with the smallest hashes, so they are the
+same in every evaluation; results never depend on which rows were picked.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RELATIVE = 4096.0
+SUB_BINS = 1024
 CUTS = 900
 STEP = 30
 SALTS = 64
@@ -86,34 +88,73 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
 
 
+def _log_bin(v: Column) -> Column:
+    """Bin of relative width 1 / RELATIVE; never decreases as the value grows."""
+    size = F.floor(F.log1p(F.abs(v)) * RELATIVE)
+    return F.coalesce(F.when(v < 0, -size).otherwise(size).cast("int"), F.lit(0))
+
+
+def _sub_bin(v: Column, b: Column) -> Column:
+    """Equal-width bin inside a log bin, from the log bin's own ends."""
+    down = F.when(b > 0, F.expm1(b / RELATIVE)).otherwise(-F.expm1((1 - b) / RELATIVE))
+    up = F.when(b < 0, -F.expm1(-b / RELATIVE)).otherwise(F.expm1((b + 1) / RELATIVE))
+    at = F.floor((v - down) / (up - down) * SUB_BINS)
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SUB_BINS - 1), at)).cast("int"), F.lit(0))
+
+
+def _narrow(rows: DataFrame, group: list[str], b: str, place: Column, goals: list[Callable[[Column], Column]]):
+    """Keep the rows of the value bins in which a target is reached.
+
+    Only bin totals are put in order, never rows. Returns the rows left, with the
+    weight before their bin (``_before``) and the whole weight (``_total``).
+    """
+    binned = rows.withColumn(b, place)
+    deeper = "_before" in rows.columns
+    carried = [F.max(c).alias(c) for c in ("_before", "_total") if deeper]
+    totals = binned.groupBy(*group, b).agg(F.sum("_weight").alias("_own"), *carried)
+    w = Window.partitionBy(*group)
+    run = F.sum("_own").over(w.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.col("_before") if deeper else F.lit(0)
+    whole = F.col("_total") if deeper else F.sum("_own").over(w)
+    spans = totals.select(*group, b, "_own", (start + run - F.col("_own")).alias("_before"), whole.alias("_total"))
+    hit = F.lit(False)
+    for goal in goals:
+        at = goal(F.col("_total"))
+        starts = (F.col("_before") < at) | (F.col("_before") == 0)
+        hit = hit | (starts & (F.col("_before") + F.col("_own") >= at))
+    return binned.drop("_before", "_total").join(spans.filter(hit).drop("_own"), [*group, b])
+
+
 def values_at_weight(
     df: DataFrame, keys: list[str], value: str, weight: Column, targets: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """Per group, the smallest value whose cumulative weight reaches each target.
 
-    A target is a function of the group's total weight. Rows without a value or
-    weight are left out; keys must not be NULL. The result also carries ``total_weight``.
+    A target is a function of the group's total weight. Rows without a key, a value
+    or a positive weight are left out. The result also carries ``total_weight``.
+
+    The weights of equal values are added up first. A round of logarithmic bins and
+    one of equal-width bins then leave, per target, the distinct values within about
+    a four-millionth of it; only those are put in order. Filters on keys and bins are
+    stated up front, so that all steps share one shuffle of the summed weights.
     """
     df, by = _keyed(df, keys)
-    distinct = (
+    rows = (
         df.select(*by, F.col(value).alias("_value"), weight.alias("_weight"))
-        .filter(F.col("_value").isNotNull() & F.col("_weight").isNotNull())
+        .dropna(subset=[*by, "_value", "_weight"])
         .groupBy(*by, "_value")
         .agg(F.sum("_weight").alias("_weight"))
+        .filter(F.col("_weight") > 0)
     )
-    ranged = _into_ranges(distinct, by, F.col("_value"), cut_points(distinct, by, F.col("_value")))
-    spans = _offsets(ranged, by, "_weight")
-    reach = {name: fn(F.col("_total")) for name, fn in targets.items()}
-    hit = F.lit(False)
-    for goal in reach.values():
-        starts = (F.col("_before") < goal) | (F.col("_before") == 0)
-        hit = hit | (starts & (F.col("_before") + F.col("_own") >= goal))
-    inside = Window.partitionBy(*by, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = ranged.join(spans.filter(hit), [*by, "_range"]).withColumn(
-        "_cum", F.col("_before") + F.sum("_weight").over(inside)
-    )
+    goals = list(targets.values())
+    v = F.col("_value").cast("double")
+    rows = _narrow(rows, by, "_log", _log_bin(v), goals)
+    rows = _narrow(rows, [*by, "_log"], "_sub", _sub_bin(v, F.col("_log")), goals)
+    inside = Window.partitionBy(*by, "_log", "_sub").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = rows.withColumn("_cum", F.col("_before") + F.sum("_weight").over(inside))
+    reached = {name: F.col("_cum") >= goal(F.col("_total")) for name, goal in targets.items()}
     out = scanned.groupBy(*by).agg(
-        *[F.min(F.when(F.col("_cum") >= goal, F.col("_value"))).alias(name) for name, goal in reach.items()],
+        *[F.min(F.when(cond, F.col("_value"))).alias(name) for name, cond in reached.items()],
         F.max("_total").alias("total_weight"),
     )
     return out if keys else out.drop("_all")

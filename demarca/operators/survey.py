@@ -15,7 +15,7 @@ def income_calibrator(
 ) -> DataFrame:
     """Households, persons, income mean and percentiles, spending mean and shares.
 
-    Weights and members are integers, amounts are ``decimal(20,2)``. ``parts`` maps
+    Weights and members are integers, amounts are ``decimal(18,2)``. ``parts`` maps
     a result name to the column of one spending item. Means of spending divide by
     the weights of rows that report it.
     """

@@ -1,7 +1,7 @@
 """Housing finance and commercial credit per municipality and state.
 
 Both tables hold counts (``acciones``, integers) and amounts (``monto``,
-``decimal(20,2)``) with coded dimensions. State results are taken from the rows,
+``decimal(18,2)``) with coded dimensions. State results are taken from the rows,
 not from municipal results: rows without a municipality count for their state.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demarca.functions.keys import make_key
-from demarca.functions.measures import MONEY, money_ratio, ratio
+from demarca.functions.measures import MONEY, MONEY_SUM, money_ratio, ratio
 from demarca.functions.text import null_tokens
 from demarca.operators.aggregate import best_category, share, share_known, tier_shares
 from demarca.operators.filters import valid_territory
@@ -48,7 +48,7 @@ def _measures() -> list[Column]:
     return [
         F.min("ano").cast("string").alias("periodo"),
         F.sum(n).alias("acciones_total"),
-        F.sum("monto").cast(MONEY).alias("monto_total"),
+        F.sum("monto").cast(MONEY_SUM).alias("monto_total"),
         *[share(n, F.col("modalidad") == code).alias(name) for code, name in MODALITY_SHARES.items()],
         share_known(n, F.col("sexo") == FEMALE, F.col("sexo").isNotNull()).alias("pct_femenino"),
         *tier_shares(n, F.col("vivienda_valor"), TIER_SHARES),
