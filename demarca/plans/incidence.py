@@ -28,11 +28,14 @@ Categories = dict[str, tuple[str, str]]
 
 
 def crime_long(wide: DataFrame) -> DataFrame:
-    """Monthly columns to rows, with a padded municipality key."""
-    keyed = wide.withColumn("cve_mun", make_key((F.col("cve_municipio"), 5))).withColumn(
-        "ano", F.nullif(F.col("ano"), F.lit("")).cast("int")
-    )
-    return months_to_rows(keyed.drop("cve_municipio"))
+    """Monthly columns to rows, with a padded municipality key where the file has municipalities.
+
+    Other columns (sex and age band of victims, say) stay as they are.
+    """
+    rows = wide.withColumn("ano", F.nullif(F.col("ano"), F.lit("")).cast("int"))
+    if "cve_municipio" in wide.columns:
+        rows = rows.withColumn("cve_mun", make_key((F.col("cve_municipio"), 5))).drop("cve_municipio")
+    return months_to_rows(rows)
 
 
 def _crime_measures(categories: Categories) -> dict[str, tuple[Column | None, Column | None]]:

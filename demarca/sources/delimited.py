@@ -47,12 +47,11 @@ def _rows(spark: SparkSession, paths: list[str], columns: Sequence[str], encodin
         .option("encoding", encoding)
         .option("sep", sep)
         .option("mode", "FAILFAST")
-        .option("nullValue", "\x00")
-        .option("emptyValue", "")
         .csv(paths)
     )
-    last = columns[-1]
-    return df.withColumn(last, F.regexp_replace(F.col(last), "\r$", ""))
+    cells = {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
+    cells[columns[-1]] = F.regexp_replace(cells[columns[-1]], "\r$", "")
+    return df.select(*[c.alias(n) for n, c in cells.items()])
 
 
 def read_contract_csv(
