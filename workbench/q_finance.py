@@ -187,7 +187,12 @@ def licences_tract(t):
     return health.licences_by_tract(flagged(t))
 
 
-@query("licences_of_one_municipality", f"SELECT * FROM ({LICENCES_SQL}) WHERE cve_mun = '21001'")
+@query(
+    "licences_of_one_municipality",
+    "SELECT '21001' AS cve_mun, "
+    + ", ".join(f"coalesce(CAST(sum({c}) AS BIGINT), 0) AS {c}" for c in health.MUNICIPAL_COUNTS)
+    + f" FROM ({LICENCES_SQL}) WHERE cve_mun = '21001'",
+)
 def licences_one(t):
     return health.municipality_licences(flagged(t), "21001").select("cve_mun", *health.MUNICIPAL_COUNTS)
 
