@@ -71,9 +71,8 @@ def first_part(c: Column) -> Column:
 
 def fold_text(c: Column) -> Column:
     """Upper case without accents or punctuation, single spaces, never NULL."""
-    plain = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ACCENTED, FOLDED), r"[^\x00-\x7F]", "")
-    words = F.regexp_replace(F.upper(plain), r"[^A-Z0-9 ]", " ")
-    return F.trim(F.regexp_replace(words, r" +", " "))
+    plain = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ACCENTED, FOLDED), r"[^\x00-\x7F]+", "")
+    return F.trim(F.regexp_replace(F.upper(plain), r"[^A-Z0-9]+", " "))
 
 
 def tokens(c: Column) -> Column:

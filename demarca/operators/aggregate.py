@@ -72,14 +72,17 @@ def best_category(df: DataFrame, keys: list[str], category: str, size: Column, n
     """Category with the largest measure per key; equal measures go to the smallest category.
 
     The measure is summed per (key, category) first; picking the best of a key is
-    then a minimum, which combines on the map side and needs no sorted window.
+    then a minimum, which combines on the map side and needs no sorted window. Rows
+    without a category never win; a key with no other rows gets NULLs.
     """
     code, amount = names
     summed = df.groupBy(*keys, category).agg(size.alias("_size"))
-    return (
-        summed.groupBy(*keys)
-        .agg(F.min(F.struct((-F.col("_size")).alias("s"), F.col(category).alias("c"))).alias("_best"))
-        .select(*keys, F.col("_best.c").alias(code), (-F.col("_best.s")).alias(amount))
+    unknown = F.col(category).isNull()
+    entry = F.struct(unknown.alias("u"), (-F.col("_size")).alias("s"), F.col(category).alias("c"))
+    best = summed.groupBy(*keys).agg(F.min(entry).alias("_best"))
+    known = ~F.col("_best.u")
+    return best.select(
+        *keys, F.when(known, F.col("_best.c")).alias(code), F.when(known, -F.col("_best.s")).alias(amount)
     )
 
 

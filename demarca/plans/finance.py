@@ -55,9 +55,13 @@ def _measures() -> list[Column]:
     ]
 
 
-def _top(rows: DataFrame, keys: list[str], category: str, code: str, amount: str) -> DataFrame:
-    known = rows.filter(F.col(category).isNotNull())
-    return best_category(known, keys, category, F.coalesce(F.sum("acciones"), F.lit(0)), (code, amount))
+def _combinations(rows: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
+    """Counts per combination of the categories; all rankings of a table read this one small result."""
+    return rows.groupBy(*keys, *categories).agg(F.coalesce(F.sum("acciones"), F.lit(0)).alias("acciones"))
+
+
+def _top(combos: DataFrame, keys: list[str], category: str, code: str, amount: str) -> DataFrame:
+    return best_category(combos, keys, category, F.sum("acciones"), (code, amount))
 
 
 def _average() -> Column:
@@ -74,7 +78,7 @@ def housing_finance(rows: DataFrame, bodies: DataFrame, grain: str) -> DataFrame
     n = F.col("acciones")
     individual = share_known(n, F.col("tipo") == INDIVIDUAL, F.col("tipo").isNotNull())
     totals = rows.groupBy(*keys).agg(*_measures(), individual.alias("pct_credito_individual"))
-    top = _top(rows, keys, "organismo", "top_organismo_code", "_top")
+    top = _top(_combinations(rows, keys, ["organismo"]), keys, "organismo", "top_organismo_code", "_top")
     out = with_label(enrich(totals, [top], keys), bodies, "top_organismo_code", "nombre", "top_organismo_nombre")
     return out.withColumns(
         {
@@ -90,10 +94,11 @@ def commercial_credit(rows: DataFrame, banks: DataFrame, grain: str) -> DataFram
     n, who = F.col("acciones"), F.col("poblacion_indigena")
     indigenous = share_known(n, who == INDIGENOUS, who.isin(INDIGENOUS, NOT_INDIGENOUS))
     totals = rows.groupBy(*keys).agg(*_measures(), indigenous.alias("pct_indigena"))
+    combos = _combinations(rows, keys, ["intermediario_financiero", "linea_credito", "esquema"])
     tops = [
-        _top(rows, keys, "intermediario_financiero", "top_intermediario_code", "_top"),
-        _top(rows, keys, "linea_credito", "top_linea_credito_code", "_line").drop("_line"),
-        _top(rows, keys, "esquema", "top_esquema_code", "_scheme").drop("_scheme"),
+        _top(combos, keys, "intermediario_financiero", "top_intermediario_code", "_top"),
+        _top(combos, keys, "linea_credito", "top_linea_credito_code", "_line").drop("_line"),
+        _top(combos, keys, "esquema", "top_esquema_code", "_scheme").drop("_scheme"),
     ]
     out = with_label(enrich(totals, tops, keys), banks, "top_intermediario_code", "nombre", "top_intermediario_nombre")
     return out.withColumns(

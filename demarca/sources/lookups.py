@@ -251,20 +251,25 @@ AIRPORTS = {
     "ZIHUATANEJO": "12038",
 }
 
-_TABLES: dict[str, tuple[dict, str]] = {
-    "states": (STATES, "code string, nombre string"),
-    "sectors": (SECTORS, "code string, nombre string"),
-    "official_totals": (OFFICIAL_TOTALS, "code string, official_total long"),
-    "bodies": (BODIES, "code int, nombre string"),
-    "banks": (BANKS, "code string, nombre string"),
-    "modalities": (MODALITIES, "code int, nombre string"),
-    "destinations": (DESTINATIONS, "code int, nombre string"),
-    "tiers": (TIERS, "code int, nombre string"),
-    "airports": (AIRPORTS, "airport_name string, cve_mun string"),
+_TABLES: dict[str, tuple[dict, tuple[str, str]]] = {
+    "states": (STATES, ("code", "nombre")),
+    "sectors": (SECTORS, ("code", "nombre")),
+    "official_totals": (OFFICIAL_TOTALS, ("code", "official_total")),
+    "bodies": (BODIES, ("code", "nombre")),
+    "banks": (BANKS, ("code", "nombre")),
+    "modalities": (MODALITIES, ("code", "nombre")),
+    "destinations": (DESTINATIONS, ("code", "nombre")),
+    "tiers": (TIERS, ("code", "nombre")),
+    "airports": (AIRPORTS, ("airport_name", "cve_mun")),
 }
 
 
 def lookup(spark: SparkSession, name: str) -> DataFrame:
-    """One fixed lookup as a two-column DataFrame."""
-    values, schema = _TABLES[name]
-    return spark.createDataFrame(list(values.items()), schema)
+    """One fixed lookup as a two-column DataFrame, held in the plan itself."""
+    values, columns = _TABLES[name]
+
+    def literal(v: str | int) -> str:
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "\\'") + "'"
+
+    rows = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in values.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(columns)})")

@@ -19,9 +19,10 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf, name)
+        return table(self.spark, self.sf, name, self._made)
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -390,12 +390,15 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(_REF.findall(sql)))
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table, or a role derived from driver tables."""
-    if name in DRIVER_TABLES:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
-    sql = ROLES[name]
-    return spark.sql(sql, **{n: table(spark, sf, n) for n in _needs(sql)})
+def table(spark: SparkSession, sf: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
+    """A driver table, or a role derived from driver tables; ``made`` keeps what was already planned."""
+    if name not in made:
+        if name in DRIVER_TABLES:
+            made[name] = spark.read.parquet(f"{sf}/{name}.parquet")
+        else:
+            sql = ROLES[name]
+            made[name] = spark.sql(sql, **{n: table(spark, sf, n, made) for n in _needs(sql)})
+    return made[name]
 
 
 def with_roles(body: str) -> str:
