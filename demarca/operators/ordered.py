@@ -65,11 +65,6 @@ def _below(value: Column, cuts: Column, heads: Column) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * STEP + fine)
 
 
-def _into_ranges(df: DataFrame, keys: list[str], value: Column, cuts: DataFrame, name: str = "_range") -> DataFrame:
-    placed = df.join(cuts, keys).withColumn(name, _below(value, F.col("_cuts"), F.col("_heads")))
-    return placed.drop("_cuts", "_heads")
-
-
 def _offsets(ranged: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Per range: weight before it in its group, its own weight, the group's weight."""
     totals = ranged.groupBy(*keys, "_range").agg(F.sum(weight).alias("_own"))

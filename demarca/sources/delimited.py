@@ -39,11 +39,14 @@ def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
     return [c.strip().strip('"') for c in line.split(sep)]
 
 
-def _rows(spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str, sep: str) -> DataFrame:
+def _rows(
+    spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str, sep: str, strict: bool = False
+) -> DataFrame:
+    """Text rows; ``strict`` makes the reader compare the header of every file it opens."""
     df = (
         spark.read.schema(text_schema(columns))
         .option("header", True)
-        .option("enforceSchema", True)  # names were checked above, on the cleaned header
+        .option("enforceSchema", not strict)
         .option("encoding", encoding)
         .option("sep", sep)
         .option("mode", "FAILFAST")
@@ -59,6 +62,7 @@ def read_contract_csv(
 ) -> DataFrame:
     """Text columns of files whose header must list exactly these columns, in order.
 
+    The first file of a folder is checked at once, the others when they are read.
     Blank cells stay empty strings, as in the file.
     """
     files = _paths(paths)
@@ -66,7 +70,7 @@ def read_contract_csv(
         found = header_of(spark, f, encoding, sep)
         if [c.lower() for c in found] != [c.lower() for c in columns]:
             raise ValueError(f"{f}: header {found} does not match {list(columns)}")
-    return _rows(spark, files, columns, encoding, sep)
+    return _rows(spark, files, columns, encoding, sep, strict=True)
 
 
 def read_header_csv(

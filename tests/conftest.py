@@ -16,7 +16,12 @@ def spark():
         "tests",
         "local[8]",
         4,
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "6g",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "5000",
+        },
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -20,6 +20,12 @@ def test_contract_csv_keeps_text_and_checks_header(spark, tmp_path):
     bad = write(tmp_path / "b.csv", b"cve,otro\n1,2\n")
     with pytest.raises(ValueError, match="header"):
         delimited.read_contract_csv(spark, bad, ["cve", "valor"])
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder / "1.csv", b"cve,valor\n1,2\n")
+    write(folder / "2.csv", b"cve,otro\n3,4\n")
+    with pytest.raises(Exception, match="header|HEADER"):
+        delimited.read_contract_csv(spark, str(folder), ["cve", "valor"]).collect()
     short = write(tmp_path / "c.csv", b"cve,valor\n1\n")
     with pytest.raises(Exception, match="MALFORMED"):
         delimited.read_contract_csv(spark, short, ["cve", "valor"]).collect()
