@@ -52,10 +52,22 @@ def latest_join(outer: DataFrame, inner: DataFrame, key: str, order: list[Column
     return outer.join(latest_per_key(inner, [key], order), key, "left")
 
 
+def with_single(df: DataFrame, one: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Columns of a table that has at most one row on every row of another; NULLs if it has none.
+
+    The single row is a scalar subquery, so no join takes place; more rows are an error.
+    """
+    names = list(columns or one.columns)
+    out = df.withColumn("_single", one.select(F.struct(*names)).scalar())
+    return out.select(*df.columns, *[F.col("_single")[n].alias(n) for n in names])
+
+
 def one_row(key: str, value: str, sides: Sequence[DataFrame]) -> DataFrame:
     """Exactly one row for a key, with NULLs for sides that have no row for it."""
-    spark = sides[0].sparkSession
-    return enrich(spark.range(1).select(F.lit(value).alias(key)), sides, key)
+    out = sides[0].sparkSession.range(1).select(F.lit(value).alias(key))
+    for side in sides:
+        out = with_single(out, side.filter(F.col(key) == value).drop(key))
+    return out
 
 
 def broadcast_parent(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, grain: str) -> DataFrame:

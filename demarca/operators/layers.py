@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demarca.functions.keys import GRAIN_WIDTH, is_catch_all
 from demarca.functions.measures import ordinal
-from demarca.operators.joins import assemble_layers
+from demarca.operators.joins import assemble_layers, with_single
 from demarca.operators.ordered import quantiles
 
 
@@ -144,8 +144,7 @@ def _with_breaks(df: DataFrame, sample: DataFrame, value: str, bins: int, keys:
     breaks = quantiles(known, keys, value, shares).drop("n")
     if keys:
         return df.join(breaks, keys, "left")
-    one = F.lit(1)
-    return df.withColumn("_one", one).join(F.broadcast(breaks.withColumn("_one", one)), "_one", "left").drop("_one")
+    return with_single(df, breaks)
 
 
 def _class(value: str, bins: int, prefix: str) -> Column:
@@ -162,9 +161,8 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str, keys: list[st
 
 def layer_domain(df: DataFrame, value: str) -> DataFrame:
     """Tertile breaks, smallest and largest value and sample size of a layer, as one row."""
-    cuts = quantiles(df, [], value, {"break_1": (1, 3), "break_2": (2, 3)}).withColumn("_one", F.lit(1))
-    ends = df.agg(F.min(value).alias("min"), F.max(value).alias("max")).withColumn("_one", F.lit(1))
-    return cuts.join(ends, "_one").drop("_one")
+    cuts = quantiles(df, [], value, {"break_1": (1, 3), "break_2": (2, 3)})
+    return with_single(cuts, df.agg(F.min(value).alias("min"), F.max(value).alias("max")))
 
 
 def bivariate_class(df: DataFrame, first: str, second: str, name: str = "bivariate") -> DataFrame:
@@ -178,12 +176,9 @@ def bivariate_class(df: DataFrame, first: str, second: str, name: str = "bivaria
 def range_position(df: DataFrame, value: str, name: str = "position") -> DataFrame:
     """Place of each value between the smallest (0) and largest (1); 0.5 when all are equal."""
     v = F.col(value)
-    ends = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")).withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
-    at = F.when(v.isNotNull(), F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(
-        (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    ))
-    return joined.withColumn(name, at.cast("double")).drop("_one", "_lo", "_hi")
+    placed = with_single(df, df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")))
+    inner = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return placed.withColumn(name, F.when(v.isNotNull(), inner).cast("double")).drop("_lo", "_hi")
 
 
 def drill(df: DataFrame, key: str, level: str | int, measures: list[str]) -> DataFrame:

@@ -79,6 +79,13 @@ def _offsets(ranged: DataFrame, keys: list[str], weight: str) -> DataFrame:
     )
 
 
+def _attach(df: DataFrame, side: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """A group's row on all rows of the group; without keys the side is one row and becomes a scalar."""
+    if keys:
+        return df.join(side, by)
+    return df.withColumns({c: side.select(c).scalar() for c in side.columns if c not in by})
+
+
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
 
@@ -211,7 +218,7 @@ def running_total(
     v, t = F.col(order), F.col(ties[0])
     below = _below(v, F.col("_cuts"), F.col("_heads"))
     own = F.coalesce(F.get("_cuts", F.col("_below")) == v, F.lit(False))
-    placed = df.join(cuts.join(tie_cuts, by), by).withColumn("_below", below)
+    placed = _attach(_attach(df, cuts, keys, by), tie_cuts, keys, by).withColumn("_below", below)
     ranged = placed.withColumns(
         {
             "_range": F.struct(

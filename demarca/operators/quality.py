@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 
 from demarca.functions.keys import STATE
 from demarca.functions.measures import ratio, ratio_positive
+from demarca.operators.joins import with_single
 
 # Coverage bands in percent.
 GREEN, YELLOW = 99, 90
@@ -32,8 +33,8 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def coverage_status(counts: DataFrame, totals: DataFrame, key: str) -> DataFrame:
-    """Loaded rows against authoritative totals (``key``, ``official_total``), with a status band."""
+def with_status(df: DataFrame) -> DataFrame:
+    """Coverage percent and band of rows with ``loaded`` and ``official_total``."""
     loaded, official = F.col("loaded"), F.col("official_total")
     band = (
         F.when(official.isNull(), "unverified")
@@ -41,9 +42,12 @@ def coverage_status(counts: DataFrame, totals: DataFrame, key: str) -> DataFrame
         .when(loaded * 100 >= official * YELLOW, "yellow")
         .otherwise("red")
     )
-    return counts.join(totals, key, "left").withColumns(
-        {"coverage_pct": ratio_positive(loaded, official, 100, 2), "status": band}
-    )
+    return df.withColumns({"coverage_pct": ratio_positive(loaded, official, 100, 2), "status": band})
+
+
+def coverage_status(counts: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Loaded rows against authoritative totals (``key``, ``official_total``), with a status band."""
+    return with_status(counts.join(totals, key, "left"))
 
 
 def reconcile(parts: dict[str, DataFrame], measures: dict[str, str]) -> DataFrame:
@@ -62,9 +66,8 @@ def reconcile(parts: dict[str, DataFrame], measures: dict[str, str]) -> DataFram
 
 def reconcile_difference(detail: DataFrame, coarse: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Coarse total minus detail total of each measure, as one row."""
-    a = detail.agg(*[F.sum(c).alias(f"{n}_detail") for n, c in measures.items()]).withColumn("_one", F.lit(1))
-    b = coarse.agg(*[F.sum(c).alias(f"{n}_coarse") for n, c in measures.items()]).withColumn("_one", F.lit(1))
-    both = a.join(b, "_one").drop("_one")
+    fine = detail.agg(*[F.sum(c).alias(f"{n}_detail") for n, c in measures.items()])
+    both = with_single(fine, coarse.agg(*[F.sum(c).alias(f"{n}_coarse") for n, c in measures.items()]))
     return both.withColumns({f"{n}_difference": F.col(f"{n}_coarse") - F.col(f"{n}_detail") for n in measures})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demarca.functions.text import null_tokens
+from demarca.operators.joins import one_row
 
 # Month columns in calendar order.
 MONTHS = [
@@ -42,19 +43,17 @@ def any_known(*cols: str) -> Column:
     return F.coalesce(*[F.col(c).cast("string") for c in cols]).isNotNull()
 
 
+def null_row(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The row of one unit, or a row of NULLs."""
+    return one_row(key, value, [df])
+
+
 def zero_row(df: DataFrame, key: str, value: str, measures: list[str]) -> DataFrame:
     """The row of one unit, or a row of zeros when the unit has none."""
-    one = df.sparkSession.range(1).select(F.lit(value).alias(key))
-    found = one.join(df.filter(F.col(key) == value), key, "left")
+    found = null_row(df.select(key, *measures), key, value)
     return found.select(key, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
 
 
-def null_row(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The row of one unit, or a row of NULLs."""
-    one = df.sparkSession.range(1).select(F.lit(value).alias(key))
-    return one.join(df.filter(F.col(key) == value), key, "left")
-
-
 def clean_columns(df: DataFrame, tokens: list[str], types: dict[str, str]) -> DataFrame:
     """Missing-value tokens to NULL and strict casts on the named columns; others stay."""
     return df.withColumns({c: null_tokens(F.col(c), tokens).cast(t) for c, t in types.items()})

@@ -15,9 +15,9 @@ from demarca.functions.keys import at_grain, label_key
 from demarca.functions.measures import NO_GRADE, per_hundred_thousand, per_thousand, ratio
 from demarca.operators.aggregate import agg_where, count_by, mode_by, weighted_mean
 from demarca.operators.filters import taxonomy_filter
-from demarca.operators.joins import enrich, with_label
+from demarca.operators.joins import enrich, one_row, with_label, with_single
 from demarca.operators.ordered import ranked_by
-from demarca.operators.quality import coverage, coverage_status, filled
+from demarca.operators.quality import coverage, coverage_status, filled, with_status
 
 LEVEL_COLUMNS = {
     2: "sector_actividad_id",
@@ -174,9 +174,9 @@ def state_list(registry: DataFrame, states: DataFrame, totals: DataFrame) -> Dat
 def state_summary(registry: DataFrame, totals: DataFrame, state: str, top: int = 10) -> dict[str, DataFrame]:
     """Coverage of one state, its most frequent classes and its size bands."""
     rows = registry.filter(F.col("entidad") == state)
-    loaded = rows.agg(F.count(F.lit(1)).alias("loaded")).withColumn("entidad", F.lit(state))
+    known = one_row("entidad", state, [official(totals)])
     return {
-        "coverage": coverage_status(loaded, F.broadcast(official(totals)), "entidad"),
+        "coverage": with_status(with_single(known, rows.agg(F.count(F.lit(1)).alias("loaded")))),
         "top_classes": top_classes(rows, top),
         "sizes": size_distribution(rows),
     }

@@ -94,3 +94,9 @@ def test_page_and_order_checks(points):
         ordered.ranked_by(points, "nope", {"v": [F.asc("v")]}, 5, 10)
     with pytest.raises(ValueError):
         ordered.ranked_by(points, "v", {"v": [F.asc("v")]}, 11, 10)
+
+
+def test_running_total_without_groups(spark):
+    df = spark.createDataFrame([(v, i, 1) for i, v in enumerate([5, 5, 1, 9, 5])], "v long, id long, w long")
+    got = {r.id: (r.run, r.run_total) for r in ordered.running_total(df, [], "v", ["id"], "w", "run").collect()}
+    assert got == {2: (1, 5), 0: (2, 5), 1: (3, 5), 4: (4, 5), 3: (5, 5)}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demarca.operators import filters, quality
 from demarca.operators.aggregate import count_by
+from demarca.operators.joins import with_single
 from demarca.operators.search import search
 from demarca.plans import establishments as est
 from demarca.sources.lookups import OFFICIAL_TOTALS, SECTORS, STATES, lookup
@@ -198,10 +199,10 @@ def state_summary(t):
     def flat(df, label, name):
         rows = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("n"), F.col(label).alias("l"))))
         text = F.transform(rows, lambda x: F.concat_ws(":", x["l"], (-x["n"]).cast("string")))
-        return df.agg(F.array_join(text, "|").alias(name)).withColumn("entidad", F.lit(STATE))
+        return df.agg(F.array_join(text, "|").alias(name))
 
-    out = parts["coverage"].join(flat(parts["top_classes"], "clase_actividad_id", "top_classes"), "entidad")
-    return out.join(flat(parts["sizes"], "estrato", "sizes"), "entidad")
+    out = with_single(parts["coverage"], flat(parts["top_classes"], "clase_actividad_id", "top_classes"))
+    return with_single(out, flat(parts["sizes"], "estrato", "sizes"))
 
 
 LABELLED = "colonia IS NOT NULL AND trim(colonia) <> ''"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demarca.operators import geocode, quality, spatial
+from demarca.operators.joins import with_single
 from demarca.plans import tracts
 from demarca.plans.establishments import pharmacy_by_class
 from workbench.kit import big, dbl, query, ratio
@@ -125,9 +126,6 @@ def tract_detail(t):
         areas(t), t.registry, clinic_points(t), t.tract_census, t.tract_lag, localities, TRACT, pharmacy_by_class(), CELL
     )
 
-    def one(df):
-        return df.withColumn("cvegeo", F.lit(TRACT))
-
     sectors = parts["top_sectors"].agg(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("sector_actividad_id").alias("s")))).alias("_s")
     )
@@ -136,10 +134,9 @@ def tract_detail(t):
         F.count(F.lit(1)).alias("clinics_listed"), F.coalesce(F.max("total_clues"), F.lit(0)).alias("total_clues")
     )
     out = parts["identity"].select("cvegeo", "ambito", "area_km2")
-    out = out.join(parts["census"].select("cvegeo", "pobtot"), "cvegeo", "left")
-    out = out.join(parts["lag"].select("cvegeo", "grado"), "cvegeo", "left").join(one(parts["totals"]), "cvegeo")
-    out = out.join(one(sectors.select(F.array_join(text, "|").alias("top_sectors"))), "cvegeo")
-    return out.join(one(clinics), "cvegeo")
+    for one in (parts["census"].select("pobtot"), parts["lag"].select("grado"), parts["totals"], clinics):
+        out = with_single(out, one)
+    return with_single(out, sectors.select(F.array_join(text, "|").alias("top_sectors")))
 
 
 @query(
