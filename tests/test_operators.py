@@ -171,3 +171,9 @@ def test_prevalence_model_rises_with_its_covariate(spark):
     areas = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "cvegeo string, age double")
     got = {r.cvegeo: r.prevalence for r in indices.prevalence_model(sample, "sick", ["age"], areas).collect()}
     assert 0 <= got["a"] < got["b"] <= 1
+
+
+def test_weighted_ratio(spark):
+    df = spark.createDataFrame([("a", 1, 3), ("a", 1, 3), ("b", 5, 0)], "k string, n long, d long")
+    got = df.groupBy("k").agg(aggregate.weighted_ratio(F.col("n"), F.col("d")).cast("string").alias("r"))
+    assert rows(got) == [("a", "33.33"), ("b", None)]
