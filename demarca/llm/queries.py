@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demarca.llm import mixture, pieces, simhash, token_counts
+from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts
+from demarca.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +29,94 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, the base rule's verdict and the certified rules' verdict."""
+    measured = stored(quality_rules.measured(table(spark, sf_dir, "documents")))
+    chosen = stored(quality_rules.cutoffs(measured, table(spark, sf_dir, "labels")))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality_rules.judged(measured, chosen)
+    return judged.select("doc_id", *[f"m.{n}" for n in names], "base_failed", "kept", "failed_rules")
+
+
+def _op3_sql() -> str:
+    limit, rules = quality_rules.Risk(), quality_rules.RULES
+    grid = ", ".join(f"('{r}', {c})" for r, (_, _, cuts) in rules.items() for c in cuts)
+    value = " ".join(f"WHEN '{r}' THEN 1000 * {a} > cutoff * {b}" for r, (a, b, _) in rules.items())
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
+              FROM documents),
+parts AS (
+    SELECT k, doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM docs),
+spots AS (
+    SELECT k, i, list_slice(w, i, i + 7) AS gram FROM parts, range(1, len(w) - 6) t(i)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM spots) WHERE n > 1),
+covered AS (SELECT k, count(DISTINCT i + d) AS n FROM twice, range(8) t(d) GROUP BY k),
+m AS (
+    SELECT k, doc_id, lang, len(w) AS n_words,
+           length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+           len(lines) AS n_lines, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_capitals
+    FROM parts LEFT JOIN covered USING (k)),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1 HAVING min(quality) IS NOT NULL),
+grid(rule, cutoff) AS (VALUES {grid}),
+tests AS (
+    SELECT lang, rule, cutoff, count(*) FILTER (quality = 1) AS good,
+           count(*) FILTER (quality = 1 AND hit) AS lost, count(*) FILTER (quality = 0 AND hit) AS caught
+    FROM (SELECT *, CASE rule {value} END AS hit FROM m JOIN marks USING (doc_id), grid)
+    GROUP BY ALL HAVING count(*) FILTER (quality = 1) > 0),
+strata AS (SELECT count(DISTINCT lang) AS n FROM tests),
+tails AS (
+    SELECT lang, rule, cutoff, caught - {limit.price} * lost AS gain,
+           (SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({limit.risk})
+                           + (good - i) * ln(1 - {limit.risk}))) FROM range(0, lost + 1) t(i)) AS tail
+    FROM tests WHERE lost < good * {limit.risk}),
+chosen AS (
+    SELECT lang, rule, arg_max(cutoff, gain * 10000 + cutoff) AS cutoff FROM tails, strata
+    WHERE tail <= {limit.level} / (strata.n * {len(rules)}) AND gain > 0 GROUP BY ALL),
+failed AS (
+    SELECT k, string_agg(rule, ',' ORDER BY list_position({list(rules)}, rule)) AS failed_rules
+    FROM m JOIN chosen USING (lang) WHERE CASE rule {value} END GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed_rules IS NULL AS kept,
+       coalesce(failed_rules, '') AS failed_rules
+FROM m LEFT JOIN failed USING (k)
+"""
+
+
+ORACLE["op3_quality_rules"] = _op3_sql()
+
+
+@query
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated line runs, as digests."""
+    kept = line_runs.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Every pair of equal lines lies on a diagonal of two documents; its islands are the repeated runs.
+ORACLE["op4_line_runs"] = f"""
+WITH l AS (
+    SELECT doc_id, i AS pos, p[i] AS line, len(regexp_extract_all(p[i], '[^\\x20\\x09-\\x0D]+')) AS n_words
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), range(1, len(p) + 1) t(i)),
+pairs AS (
+    SELECT a.doc_id, a.pos, b.doc_id AS other, a.pos - b.pos AS shift, a.n_words
+    FROM l a JOIN l b ON a.line = b.line AND (b.doc_id, b.pos) < (a.doc_id, a.pos)),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY pos) AS island FROM pairs),
+gone AS (
+    SELECT DISTINCT doc_id, pos FROM (
+        SELECT doc_id, pos, sum(n_words) OVER (PARTITION BY doc_id, other, shift, island) AS total FROM islands)
+    WHERE total >= {line_runs.LEAST_WORDS})
+SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+"""
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
@@ -99,6 +188,37 @@ FROM cut
 """
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, by item."""
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("window").cast("long"))
+
+
+#: All equal words of documents and items by alignment; the best window starts at one of them, or ends the item.
+ORACLE["op8_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+b AS (
+    SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS size
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark)
+    WHERE len(w) >= {decontamination.LEAST_WORDS}),
+dw AS (SELECT doc_id, i AS spot, w[i] AS word FROM d, range(1, len(w) + 1) t(i)),
+bw AS (SELECT item_id, i AS spot, w[i] AS word, size, len(w) AS n FROM b, range(1, len(w) + 1) t(i)),
+same AS (
+    SELECT doc_id, item_id, dw.spot - bw.spot AS shift, bw.spot AS spot, size, n FROM dw JOIN bw USING (word)),
+many AS (
+    SELECT doc_id, item_id, shift, list(spot) AS spots, any_value(size) AS size, any_value(n) AS n
+    FROM same GROUP BY doc_id, item_id, shift HAVING count(*) >= 0.8 * any_value(size)),
+best AS (
+    SELECT doc_id, item_id, size,
+           list_max(list_transform(spots, lambda s: len(list_filter(spots, lambda x:
+               x >= least(s, n - size + 1) AND x < least(s, n - size + 1) + size)))) AS matched
+    FROM many)
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, size::BIGINT AS "window"
+FROM best WHERE matched >= ceil(0.8 * size) GROUP BY ALL
+"""
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts of all documents."""
