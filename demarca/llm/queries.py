@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts
+from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts, toxicity
 from demarca.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; a quarter of the ids, by crc32, is held out of all learning."""
+    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fitted(docs, labels, ~held)
+    found = toxicity.scored(docs, lexicon)
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight", "n_words")
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, the base rule's verdict and the certified rules' verdict."""
