@@ -55,10 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/demarca-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a step to the shared folder and read it back: its lineage ends, lost executors don't matter."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +75,11 @@ def ordered(df: DataFrame, keys: list[Column], name: str) -> tuple[DataFrame, in
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )
+    return numbered(placed, name)
+
+
+def numbered(placed: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Turn ``_at`` (partition and place in it, of a stored step) into a dense number; also the number of rows."""
     part = F.shiftright("_at", 33).cast("int")
     counts = placed.groupBy(part.alias("_part")).count().collect()
     before, total = {}, 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts, toxicity
+from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts, toxicity, training_order
 from demarca.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight", "n_words")
 
 
+@query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride token records, each in its slot of the training order."""
+    return training_order.arranged(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), key=2026)
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, the base rule's verdict and the certified rules' verdict."""
