@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, token_counts, toxicity, training_order
+from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, suffix_spans
+from demarca.llm import token_counts, toxicity, training_order
 from demarca.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +134,19 @@ FROM l LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
 """
 
 
+@query
+def op5_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 400 bytes that occur twice, as digests."""
+    kept = suffix_spans.dedup(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
