@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demarca.llm.common import by_slice, components, partitions, stored
@@ -210,3 +210,20 @@ def classes(docs: DataFrame, words: int = 3, seed: int = 42, doc_id: str = "doc_
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_per_class(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate class: the smallest id, then the smallest text hash.
+
+    Rows that repeat the id and the text are one document, of which the least row stays;
+    null ids come first. All wordless texts are one class.
+    """
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+    names = docs.select(F.struct("doc_id", text_key).alias("name"), "text")
+    first = classes(names, words, seed, doc_id="name").where(F.col("doc_id") == F.col("component_id"))
+    key = ["id_key", "text_key"]
+    first = first.select(F.xxhash64("doc_id.doc_id").alias("id_key"), F.col("doc_id.text_key").alias("text_key")).distinct()
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(F.xxhash64("doc_id").alias("id_key"), text_key, own).join(first, key)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("own"))
+    return rows.withColumn("place", place).where("place = 1").select("own.*")
