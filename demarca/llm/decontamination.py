@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demarca.llm.common import keyed, let, same_document, words
+from demarca.llm.common import keyed, let, same_document, stored, words
 
 #: Positions that count. Chosen by exhaustive search: for every window of 8 to 20 words in
 #: which at least 80 % are equal, some mask meets equal words only, wherever the others are.
@@ -31,25 +31,31 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column, at: Column) -> Column:
-    """Hashes of the masks laid at word ``at`` (from 0); null where a mask leaves the text."""
-    one = [
-        F.when(
-            F.get(hashes, at + m[-1]).isNotNull(),
-            F.xxhash64(F.lit(n), *[F.get(hashes, at + p) for p in m]),
-        )
-        for n, m in enumerate(MASKS)
-    ]
-    return F.array(*one)
+def spots(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` plus ``at`` and ``seed``: hashes of all masks laid at all places of ``hashes``.
 
+    A text's seeds are one array of numbers, mask after mask, so nothing but ``keep`` is
+    copied to a place; the place follows from the lengths.
+    """
+    counts = [F.greatest(F.col("n") - m[-1], F.lit(0)) for m in MASKS]
 
-def spots(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` plus ``at`` and ``seed``, for all positions and masks of ``hashes``."""
-    least = min(m[-1] for m in MASKS)
-    rows = rows.where(F.size("hashes") > least)
-    rows = rows.select(*dict.fromkeys([*keep, "hashes"]), F.explode(F.sequence(F.lit(0), F.size("hashes") - least - 1)).alias("at"))
-    rows = rows.select(*dict.fromkeys([*keep, "hashes"]), "at", F.explode(seeds(F.col("hashes"), F.col("at"))).alias("seed"))
-    return rows.select(*keep, "at", "seed")
+    def one(h: Column, k: int, mask: tuple[int, ...]) -> Column:
+        def seed(i: Column) -> Column:
+            return F.xxhash64(F.lit(k), *[h[i + p] for p in mask])
+
+        places = F.sequence(F.lit(0), F.size(h) - (mask[-1] + 1))
+        return F.when(F.size(h) > mask[-1], F.transform(places, seed)).otherwise(F.array().cast("array<long>"))
+
+    def laid(h: Column) -> Column:
+        return F.concat(*[one(h, k, mask) for k, mask in enumerate(MASKS)])
+
+    rows = rows.select(*keep, F.size("hashes").alias("n"), let(F.col("hashes"), laid).alias("seeds"))
+    rows = rows.select(*keep, "n", F.posexplode("seeds").alias("spot", "seed"))
+    place, before = F.col("spot"), F.lit(0)
+    for count in counts[:-1]:
+        before = before + count
+        place = F.when(F.col("spot") >= before, F.col("spot") - before).otherwise(place)
+    return rows.select(*keep, place.alias("at"), "seed")
 
 
 def best_window(item: Column, text: Column, shift: Column) -> Column:
@@ -82,31 +88,35 @@ def overlaps(
     empty tables give none, rows repeated in id and text count once, a null id is an id.
     Items repeated with one id are compared each.
 
-    Hits are verified where they arise: seeds of the test side go to every task if there
-    are at most ``FEW_SEEDS``, else both sides are shuffled by seed and texts rejoined.
+    The test side's seeds go to every task if there are at most ``FEW_SEEDS``, else both
+    sides are shuffled by seed. Distinct hits, not texts, come out of the join; texts meet
+    their hits again by document.
     """
     tests = items.select("item_id", word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= LEAST_WORDS)
-    tests = tests.distinct()
-    marks = spots(tests.withColumn("item", F.struct("item_id", "hashes")), ["item"]).where("seed IS NOT NULL")
-    marks = marks.withColumnRenamed("at", "item_at")
-    texts = keyed(docs, doc_id, text).select("doc_id", "text_key", word_hashes(F.col("text")).alias("hashes"))
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    tests = tests.distinct().withColumn("item_key", F.xxhash64("hashes"))
+    marks = spots(tests, ["item_id", "item_key"]).withColumnRenamed("at", "item_at")
     if marks.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS:
-        hits = spots(texts, ["doc_id", "text_key", "hashes"]).join(F.broadcast(marks), "seed")
-        hits = hits.select("doc_id", "text_key", "hashes", "item", shift)
-    else:
-        hits = spots(texts, ["doc_id", "text_key"]).join(marks, "seed")
-        hits = same_document(hits.select("doc_id", "text_key", "item", shift).distinct(), texts)
-    item = F.col("item.hashes")
-    found = hits.select(
-        "doc_id",
-        "text_key",
-        F.col("item.item_id").alias("item_id"),
-        best_window(item, F.col("hashes"), F.col("shift")).alias("matched"),
-        F.least(F.size(item), F.lit(WINDOW)).alias("window"),
-        F.col("shift").alias("word_at"),
-    )
-    found = found.where(F.col("matched") >= F.ceil(F.col("window") * F.lit(f"{similarity}").cast("decimal(6,4)")))
+        marks = F.broadcast(marks)
+    texts = keyed(docs, doc_id, text)
+    hashed = texts.select("doc_id", "text_key", word_hashes(F.col("text")).alias("hashes"))
+    hits = spots(hashed, ["doc_id", "text_key"]).join(marks, "seed")
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    hits = stored(hits.select("doc_id", "text_key", "item_id", "item_key", shift).distinct())
+    tests = tests.select("item_id", "item_key", F.col("hashes").alias("item"))
+    hit = F.struct("item_id", "item", "shift")
+    hits = hits.join(tests, ["item_id", "item_key"]).groupBy("doc_id", "text_key").agg(F.collect_list(hit).alias("hits"))
+
+    def verified(hashes: Column) -> Column:
+        def one(x: Column) -> Column:
+            matched = best_window(x["item"], hashes, x["shift"])
+            size = F.least(F.size(x["item"]), F.lit(WINDOW))
+            return F.struct(x["item_id"].alias("item_id"), matched.alias("matched"), size.alias("window"), x["shift"].alias("word_at"))
+
+        enough = F.lit(f"{similarity}").cast("decimal(6,4)")
+        return F.filter(F.transform("hits", one), lambda x: x["matched"] >= F.ceil(x["window"] * enough))
+
+    met = same_document(hits, texts)  # the hits of a document in one row, so its words are hashed once
+    found = met.select("doc_id", "text_key", F.inline(let(word_hashes(F.col("text")), verified)))
     best = F.max(F.struct("matched", "window", (-F.col("word_at")).alias("before"))).alias("best")
     return (
         found.groupBy("doc_id", "text_key", "item_id")
