@@ -3,7 +3,7 @@
 A ring is ``array<struct<lon:double,lat:double>>`` whose last point repeats the
 first. Containment uses a half-open edge rule, so a point on an edge shared by
 two polygons belongs to exactly one of them. Distances and areas are spherical.
-Searches by distance do not wrap around the date line.
+Searches by distance wrap around the date line.
 """
 
 from __future__ import annotations

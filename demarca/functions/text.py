@@ -10,8 +10,12 @@ from pyspark.sql.types import DataType
 BLANKS = " \t\n\r\x0b\x0c\u00a0\ufeff"
 
 # Accented Latin letters and the plain letter each folds to.
-ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-FOLDED = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
+ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿªº" + (
+    "ĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
+)
+FOLDED = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyyao" + (
+    "AaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
+)
 
 # Text that looks like a plain decimal number.
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
@@ -102,10 +106,10 @@ def compact_number(c: Column) -> Column:
     size = F.abs(c)
 
     def scaled(by: float, digits: int, suffix: str) -> Column:
-        return F.format_string(f"%.{digits}f{suffix}", c / F.lit(by))
+        return F.format_string(f"%.{digits}f{suffix}", F.round(c / F.lit(by), digits))
 
     return (
-        F.when(c.isNull() | F.isnan(c), F.lit("—"))
+        F.when(c.isNull() | F.isnan(c) | (size == float("inf")), F.lit("—"))
         .when(size >= 1e9, scaled(1e9, 1, "B"))
         .when(size >= 1e6, scaled(1e6, 1, "M"))
         .when(size >= 1e3, scaled(1e3, 1, "k"))

@@ -14,8 +14,6 @@ from demarca.functions.measures import GRADES
 
 # Activity level reached by each code length.
 LEVELS = {2: "sector", 3: "subsector", 4: "rama", 5: "subrama", 6: "clase"}
-MAX_SAME_LEVEL = 10
-MAX_MIXED = 16
 
 # Named activity bundles.
 BUNDLES = {
@@ -71,9 +69,9 @@ def drop_catch_all(df: DataFrame, key: str, pattern: str = CATCH_ALL) -> DataFra
     return df.filter(~F.col(key).rlike(pattern))
 
 
-def _check_codes(codes: list[str], most: int) -> None:
-    if not 1 <= len(codes) <= most:
-        raise ValueError(f"between 1 and {most} activity codes are accepted")
+def _check_codes(codes: list[str]) -> None:
+    if not codes:
+        raise ValueError("no activity code given")
     for code in codes:
         if not re.fullmatch(r"[0-9]{2,6}", code):
             raise ValueError(f"activity code {code!r} is not 2 to 6 digits")
@@ -84,7 +82,7 @@ def taxonomy_filter(codes: list[str], columns: dict[int, str], mixed: bool = Fal
 
     Codes of one length only, unless ``mixed``.
     """
-    _check_codes(codes, MAX_MIXED if mixed else MAX_SAME_LEVEL)
+    _check_codes(codes)
     lengths = sorted({len(c) for c in codes})
     if not mixed and len(lengths) > 1:
         raise ValueError("all activity codes must have the same length")

@@ -97,11 +97,16 @@ def geocode_by_neighbors(
 ) -> DataFrame:
     """Targets with ``cve_mun``, ``cvegeo`` and ``geocode_method``.
 
-    Both sides carry ``state`` and ``postcode``; blank or NULL ones never match.
+    Both sides carry ``state`` and ``postcode``, compared trimmed; blank or NULL ones never
+    match, and their rows stay out of the joins.
     """
+    trimmed = {c: F.trim(F.col(c)) for c in AREA}
+    registry = registry.withColumns(trimmed)
+    own = [c if c not in AREA else f"_own_{c}" for c in targets.columns]
+    targets_named = targets.withColumns({f"_own_{c}": F.col(c) for c in AREA}).withColumns(trimmed)
     usable = (F.col("postcode") != "") & (F.col("state") != "")
     reg = registry.filter(usable)
-    t = _names(targets, F.col(target_name))
+    t = _names(targets_named, F.col(target_name))
     asked = t.filter(usable & (F.col("_len") > 0)).select(*AREA, "_name", "_set", "_len").distinct()
     offered = (
         _names(reg, F.col(registry_name))
@@ -109,15 +114,16 @@ def geocode_by_neighbors(
         .groupBy(*AREA, "_name", "_set", "_len")
         .agg(F.min(_place(mun, tract)).alias("_place"))
     )
-    out = t.join(name_matches(asked, offered), [*AREA, "_name"], "left").join(
-        modal_places(reg, mun, tract), AREA, "left"
-    )
+    blank = ~F.coalesce(usable, F.lit(False))
+    placed = t.filter(~blank).join(name_matches(asked, offered), [*AREA, "_name"], "left")
+    placed = placed.join(modal_places(reg, mun, tract), AREA, "left")
+    out = placed.unionByName(t.filter(blank), allowMissingColumns=True)
     place = F.coalesce(F.col("_matched"), F.col("_modal"))
     method = (
         F.when(F.col("_matched").isNotNull(), METHODS[0]).when(F.col("_modal").isNotNull(), METHODS[1])
     ).otherwise(METHODS[2])
     return out.select(
-        *[F.col(c) for c in targets.columns],
+        *[F.col(o).alias(c) for o, c in zip(own, targets.columns)],
         place["m"].alias("cve_mun"),
         place["t"].alias("cvegeo"),
         method.alias("geocode_method"),

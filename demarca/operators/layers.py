@@ -98,7 +98,7 @@ def layer(tables: dict[str, DataFrame], name: str, state: str | None = None, as_
 def layer_values(
     tables: dict[str, DataFrame], grain: str, names: list[str], state: str | None = None, as_of: int | None = None
 ) -> DataFrame:
-    """One to three layers of one grain on all its units, units without any value dropped."""
+    """Layers of one grain on all its units, units without any value dropped."""
     for n in names:
         if n not in LAYERS:
             raise ValueError(f"layer {n!r} is not registered")
@@ -129,9 +129,15 @@ def per_capita(df: DataFrame, measures: dict[str, str], population: str, require
     )
 
 
+def finite(value: Column) -> Column:
+    """Whether a value is a number: not NULL, NaN or infinite."""
+    v = value.cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
 def bin_index(value: Column, breaks: list[Column]) -> Column:
-    """0-based class of a value: the first break it lies below, NULL for NULL."""
-    out = F.when(value.isNull() | F.isnan(value), None)
+    """0-based class of a value: the first break it lies below, NULL for what is no number."""
+    out = F.when(~finite(value), None)
     for i, b in enumerate(breaks):
         out = out.when(value < b, i)
     return out.otherwise(len(breaks))
@@ -140,7 +146,7 @@ def bin_index(value: Column, breaks: list[Column]) -> Column:
 def _with_breaks(df: DataFrame, sample: DataFrame, value: str, bins: int, keys: list[str], prefix: str) -> DataFrame:
     """Rows with the quantile breaks of a sample in columns ``<prefix>1`` and up."""
     shares = {f"{prefix}{i}": (i, bins) for i in range(1, bins)}
-    known = sample.filter(~F.isnan(F.col(value).cast("double")))
+    known = sample.filter(finite(F.col(value)))
     breaks = quantiles(known, keys, value, shares).drop("n")
     if keys:
         return df.join(breaks, keys, "left")
@@ -161,6 +167,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str, keys: list[st
 
 def layer_domain(df: DataFrame, value: str) -> DataFrame:
     """Tertile breaks, smallest and largest value and sample size of a layer, as one row."""
+    df = df.filter(finite(F.col(value)))
     cuts = quantiles(df, [], value, {"break_1": (1, 3), "break_2": (2, 3)})
     return with_single(cuts, df.agg(F.min(value).alias("min"), F.max(value).alias("max")))
 

@@ -252,11 +252,18 @@ def with_total(limited: DataFrame, whole: DataFrame, name: str) -> DataFrame:
 
 
 def ranked_by(
-    df: DataFrame, choice: str, orders: dict[str, list[Column]], limit: int, max_limit: int
+    df: DataFrame, choice: str, orders: dict[str, list[Column]], limit: int | None = None
 ) -> DataFrame:
-    """Top rows in one of the allowed orders."""
+    """Rows in one of the allowed orders: all of them, or the first ``limit``."""
     if choice not in orders:
         raise ValueError(f"unknown order {choice!r}; allowed: {', '.join(orders)}")
-    if not 1 <= limit <= max_limit:
-        raise ValueError(f"limit must be between 1 and {max_limit}")
-    return df.orderBy(*orders[choice]).limit(limit)
+    return first(df.orderBy(*orders[choice]), limit)
+
+
+def first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an order, or all of them without a limit."""
+    if limit is None:
+        return rows
+    if limit < 1:
+        raise ValueError("a limit starts at 1")
+    return rows.limit(limit)

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType, StringType
 
 from demarca.functions.keys import STATE
 from demarca.functions.measures import ratio, ratio_positive
+from demarca.functions.text import guarded_number
 from demarca.operators.joins import with_single
+from demarca.operators.ordered import first
 
 # Coverage bands in percent.
 GREEN, YELLOW = 99, 90
@@ -105,29 +107,33 @@ def match_rate(df: DataFrame, ref: DataFrame, key: str, floor: float) -> DataFra
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Row count and the minimum, maximum and mean of every numeric column without missing values.
+    """Row count and the minimum, maximum and mean of every column of numbers without missing values.
 
-    One row per such column; one aggregation over the table.
+    A text column counts if all of its texts are numbers. Integers and decimals are summed
+    exactly, the others as doubles. One row per such column; one aggregation over the table.
     """
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     stats = []
-    for c in numeric:
-        v = F.col(c).cast("double")
+    for f in df.schema.fields:
+        c, text = f.name, isinstance(f.dataType, StringType)
+        if not (text or isinstance(f.dataType, NumericType)):
+            continue
+        number = guarded_number(F.trim(F.col(c))) if text else F.col(c)
+        v = number.cast("double")
+        total = F.sum(number.cast("decimal(38,0)") if isinstance(f.dataType, IntegralType) else number)
         stats.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.count(c).alias("present"),
+                F.count(v).alias("present"),
                 F.min(v).alias("min"),
                 F.max(v).alias("max"),
-                (F.sum(F.col(c).cast("decimal(28,4)")) / F.count(c)).cast("double").alias("mean"),
+                (total.cast("double") / F.count(v)).alias("mean"),
             )
         )
     one = df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*stats).alias("_stats"))
     rows = one.select("row_count", F.inline("_stats"))
-    full = (F.col("present") == F.col("row_count")) & (F.col("row_count") >= 2)
-    return rows.filter(full).drop("present")
+    return rows.filter((F.col("present") == F.col("row_count")) & (F.col("row_count") > 0)).drop("present")
 
 
-def first_rows(df: DataFrame, order: list[Column], n: int = 20) -> DataFrame:
-    """The first rows of a stable order, as shown beside a profile."""
-    return df.orderBy(*order).limit(n)
+def first_rows(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """The rows in a stable order, or the first ``n`` as shown beside a profile."""
+    return first(df.orderBy(*order), n)

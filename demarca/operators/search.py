@@ -9,8 +9,6 @@ from demarca.operators.filters import name_contains
 from demarca.operators.ordered import page
 from demarca.operators.spatial import within_radius
 
-MAX_PAGE_SIZE = 1000
-
 
 def search(
     df: DataFrame,
@@ -23,9 +21,14 @@ def search(
     lat: str = "latitud",
     lon: str = "longitud",
     number: int = 1,
-    size: int = 50,
+    size: int | None = None,
+    after: str | None = None,
 ) -> DataFrame:
-    """One page of the matching rows in key order; ``around`` is (lat, lon, km)."""
+    """The matching rows, or one page of them in key order; ``around`` is (lat, lon, km).
+
+    ``size`` is the page's, as large as the caller wants. ``after`` starts behind a key,
+    which costs the same at any depth; ``number`` counts pages from the first row on.
+    """
     rows = df
     if state is not None:
         rows = rows.filter(F.col(state_column) == state)
@@ -33,4 +36,6 @@ def search(
         rows = rows.filter(name_contains(F.col(name), text))
     if around is not None:
         rows = within_radius(rows, lat, lon, *around).drop("distance_km")
-    return page(rows, [F.asc(key)], number, min(size, MAX_PAGE_SIZE))
+    if after is not None:
+        rows = rows.filter(F.col(key) > after)
+    return rows if size is None else page(rows, [F.asc(key)], number, size)

@@ -8,6 +8,9 @@ cover an area.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,9 +19,7 @@ from pyspark.sql import functions as F
 from demarca.functions import geo
 from demarca.operators.ordered import SALTS, top_per_group
 
-TILE_CAP = 50_000
 MAX_ZOOM = 22
-MAX_RADIUS_KM = 500.0
 
 
 def with_point(df: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -105,13 +106,18 @@ def points_per_area(
 
 
 def within_radius(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: float, km: float) -> DataFrame:
-    """Rows within a distance of a position, with the distance; a box on plain columns goes first."""
-    if not 0 < km <= MAX_RADIUS_KM:
-        raise ValueError(f"radius must be above 0 and at most {MAX_RADIUS_KM} km")
+    """Rows within a distance of a position, with the distance; a box on plain columns goes first.
+
+    A box across the date line is two ranges of longitudes.
+    """
+    if km <= 0:
+        raise ValueError("radius must be above 0")
     dlon, dlat = geo.degrees_around(at_lat, km)
     box = F.col(lat).between(at_lat - dlat, at_lat + dlat)
     if dlon < 180.0:
-        box = box & F.col(lon).between(at_lon - dlon, at_lon + dlon)
+        ranges = [(at_lon - dlon, at_lon + dlon)]
+        ranges += [(lo + turn, hi + turn) for lo, hi in ranges for turn in (-360.0, 360.0) if abs(at_lon) + dlon > 180.0]
+        box = box & reduce(or_, [F.col(lon).between(lo, hi) for lo, hi in ranges])
     away = geo.haversine_km(F.lit(at_lon), F.lit(at_lat), F.col(lon), F.col(lat))
     return df.filter(box).withColumn("distance_km", away).filter(F.col("distance_km") <= km)
 
@@ -122,7 +128,8 @@ def near(points: DataFrame, anchors: DataFrame, lon: str, lat: str, km: float) -
     Two points of one grid cell are never further apart than ``km``, so cells that
     hold an anchor settle all their points without a distance test. Only the other
     points are tested, against the anchors of the cells around them, and the test
-    stops at the first anchor found.
+    stops at the first anchor found. An anchor near the date line also stands a turn
+    further on the other side.
     """
     side = geo.degrees_around(0.0, km)[1] / 1.4143
     px, py = geo.cell_of(F.col(lon), F.col(lat), side)
@@ -142,6 +149,9 @@ def near(points: DataFrame, anchors: DataFrame, lon: str, lat: str, km: float) -
         hi = F.floor((F.col(mid) + reach) / F.lit(side)).cast("long")
         return F.sequence(lo, hi)
 
+    turns = F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))
+    within = F.filter(turns, lambda turn: F.abs(F.col("_ax") + turn) <= 180.0 + dlon)
+    a = a.withColumn("_turn", F.explode(within)).withColumn("_ax", F.col("_ax") + F.col("_turn")).drop("_turn")
     around = a.withColumn("_cx", F.explode(span("_ax", dlon))).withColumn("_cy", F.explode(span("_ay", dlat)))
     rest = p.join(home, ["_px", "_py"], "left_anti")
     on = (
@@ -157,12 +167,19 @@ def cluster_points(df: DataFrame, lon: str, lat: str, k: int, seed: int = 7) ->
 
     Fitting runs Spark jobs when this function is called.
     """
-    if not 1 <= k <= 100:
-        raise ValueError("k must be between 1 and 100")
+    return fit_clusters(df, lon, lat, k, seed)[0]
+
+
+def fit_clusters(
+    df: DataFrame, lon: str, lat: str, k: int, seed: int = 7
+) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Every point with its cluster number, and the clusters' centres (lon, lat) in the order of their numbers."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     known = df.filter(geo.has_point(F.col(lon), F.col(lat)))
     points = VectorAssembler(inputCols=[lon, lat], outputCol="_at").transform(known)
     model = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="cluster_id").fit(points.select("_at"))
-    return model.transform(points).drop("_at")
+    return model.transform(points).drop("_at"), [(float(x), float(y)) for x, y in model.clusterCenters()]
 
 
 def cluster_summary(clustered: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -175,11 +192,12 @@ def cluster_summary(clustered: DataFrame, lon: str, lat: str) -> DataFrame:
 
 
 def tile_points(
-    df: DataFrame, ident: str, lon: str, lat: str, z: int, keep: Column | None = None, cap: int = TILE_CAP
+    df: DataFrame, ident: str, lon: str, lat: str, z: int, keep: Column | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Points as rows of map tiles: tile x and y, position inside the tile, at most ``cap`` per tile.
+    """Points as rows of map tiles: tile x and y, and the position inside the tile.
 
-    The cap keeps the smallest ids, so a tile is the same on every run.
+    All points, or at most ``cap`` per tile, those with the smallest ids; ``beyond_cap``
+    counts what a cap leaves out.
     """
     if not 0 <= z <= MAX_ZOOM:
         raise ValueError(f"zoom must be between 0 and {MAX_ZOOM}")
@@ -203,10 +221,18 @@ def tile_points(
             "py": F.floor((F.col("_fy") - F.col("y")) * geo.TILE_EXTENT).cast("long"),
         }
     ).drop("_fx", "_fy")
+    if cap is None:
+        return rows
     salt = F.pmod(F.xxhash64(ident), F.lit(SALTS))
     return top_per_group(rows, ["z", "x", "y"], [F.asc(ident)], cap, salt=salt)
 
 
+def beyond_cap(tiled: DataFrame, cap: int) -> DataFrame:
+    """Tiles with more than ``cap`` points, and how many points a cap leaves out (``left_out``)."""
+    counts = tiled.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)
+    return counts.select("z", "x", "y", (F.col("_n") - cap).alias("left_out"))
+
+
 def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     """(min_lon, min_lat, max_lon, max_lat) of one tile, as constants for a scan filter."""
     import math
@@ -220,11 +246,12 @@ def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
 
 
 def one_tile(
-    df: DataFrame, ident: str, lon: str, lat: str, z: int, x: int, y: int, keep: Column | None = None
-) -> DataFrame:
+    df: DataFrame, ident: str, lon: str, lat: str, z: int, x: int, y: int, keep: Column | None = None,
+    cap: int | None = None,
+) -> DataFrame:
     """The rows of one tile; its bounds become a plain range filter that the scan can use."""
     west, south, east, north = tile_bounds(z, x, y)
     slack = 1e-9
     box = F.col(lon).between(west - slack, east + slack) & F.col(lat).between(south - slack, north + slack)
-    rows = tile_points(df.filter(box), ident, lon, lat, z, keep)
+    rows = tile_points(df.filter(box), ident, lon, lat, z, keep, cap)
     return rows.filter((F.col("x") == x) & (F.col("y") == y))

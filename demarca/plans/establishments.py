@@ -16,7 +16,7 @@ from demarca.functions.measures import NO_GRADE, per_hundred_thousand, per_thous
 from demarca.operators.aggregate import agg_where, count_by, mode_by, weighted_mean
 from demarca.operators.filters import taxonomy_filter
 from demarca.operators.joins import enrich, one_row, with_label, with_single
-from demarca.operators.ordered import ranked_by
+from demarca.operators.ordered import first, ranked_by
 from demarca.operators.quality import coverage, coverage_status, filled, with_status
 
 LEVEL_COLUMNS = {
@@ -92,11 +92,11 @@ def municipality_panel(
     return out.withColumn("unidades_clues", F.coalesce("unidades_clues", F.lit(0)))
 
 
-def top_sectors(registry: DataFrame, sectors: DataFrame, state: str, limit: int = 10) -> DataFrame:
+def top_sectors(registry: DataFrame, sectors: DataFrame, state: str, limit: int | None = None) -> DataFrame:
     """Largest sectors of a state with their names."""
     rows = registry.filter((F.col("entidad") == state) & F.col("sector_actividad_id").isNotNull())
     counts = count_by(rows, ["sector_actividad_id"]).withColumnRenamed("sector_actividad_id", "scian")
-    top = ranked_by(counts, "count", {"count": [F.desc("count"), F.asc("scian")]}, limit, 25)
+    top = ranked_by(counts, "count", {"count": [F.desc("count"), F.asc("scian")]}, limit)
     return with_label(top, sectors, "scian", "nombre", "name", _unnamed_sector())
 
 
@@ -111,27 +111,27 @@ def sector_list(registry: DataFrame, sectors: DataFrame) -> DataFrame:
     return with_label(counts, sectors, "scian", "nombre", "name", _unnamed_sector())
 
 
-def sector_national(registry: DataFrame, sector: str, limit: int = 10) -> DataFrame:
+def sector_national(registry: DataFrame, sector: str, limit: int | None = None) -> DataFrame:
     """States with most establishments of one sector, beside the national total."""
     by_state = count_by(registry.filter(F.col("sector_actividad_id") == sector), ["entidad"])
     total = by_state.agg(F.sum("count"))
     return (
-        by_state.orderBy(F.desc("count"), F.asc("entidad")).limit(limit).withColumn("national_total", total.scalar())
+        first(by_state.orderBy(F.desc("count"), F.asc("entidad")), limit).withColumn("national_total", total.scalar())
     )
 
 
-def top_classes(registry: DataFrame, limit: int = 10, state: str | None = None) -> DataFrame:
+def top_classes(registry: DataFrame, limit: int | None = None, state: str | None = None) -> DataFrame:
     """Most frequent activity classes, nationally or in one state."""
     rows = registry.filter(F.col("entidad") == state) if state else registry
     counts = count_by(rows, ["clase_actividad_id"], "total")
-    return counts.orderBy(F.desc("total"), F.asc_nulls_last("clase_actividad_id")).limit(limit)
+    return first(counts.orderBy(F.desc("total"), F.asc_nulls_last("clase_actividad_id")), limit)
 
 
-def top_municipalities(registry: DataFrame, limit: int = 20, state: str | None = None) -> DataFrame:
+def top_municipalities(registry: DataFrame, limit: int | None = None, state: str | None = None) -> DataFrame:
     """Municipalities with most establishments, nationally or in one state."""
     rows = registry.filter(F.col("area_geo").isNotNull())
     rows = rows.filter(F.col("entidad") == state) if state else rows
-    return count_by(rows, ["area_geo"], "total").orderBy(F.desc("total"), F.asc("area_geo")).limit(limit)
+    return first(count_by(rows, ["area_geo"], "total").orderBy(F.desc("total"), F.asc("area_geo")), limit)
 
 
 def class_summary(registry: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def state_list(registry: DataFrame, states: DataFrame, totals: DataFrame) -> Dat
     return coverage_status(known, F.broadcast(official(totals)), "entidad").drop("coverage_pct")
 
 
-def state_summary(registry: DataFrame, totals: DataFrame, state: str, top: int = 10) -> dict[str, DataFrame]:
+def state_summary(registry: DataFrame, totals: DataFrame, state: str, top: int | None = None) -> dict[str, DataFrame]:
     """Coverage of one state, its most frequent classes and its size bands."""
     rows = registry.filter(F.col("entidad") == state)
     known = one_row("entidad", state, [official(totals)])
@@ -188,7 +188,7 @@ def _labelled(registry: DataFrame, scope: Column) -> DataFrame:
 
 
 def neighbourhoods(
-    registry: DataFrame, municipality: str, order: str = "num_establecimientos", limit: int = 50
+    registry: DataFrame, municipality: str, order: str = "num_establecimientos", limit: int | None = None
 ) -> DataFrame:
     """Neighbourhood labels of a municipality."""
     counts = count_by(_labelled(registry, F.col("area_geo") == municipality), ["colonia"], "num_establecimientos")
@@ -196,17 +196,17 @@ def neighbourhoods(
         "num_establecimientos": [F.desc("num_establecimientos"), F.asc("colonia")],
         "colonia": [F.asc("colonia")],
     }
-    return ranked_by(counts, order, orders, limit, 1000)
+    return ranked_by(counts, order, orders, limit)
 
 
-def neighbourhoods_of_tract(registry: DataFrame, tract: str, limit: int = 50) -> DataFrame:
+def neighbourhoods_of_tract(registry: DataFrame, tract: str, limit: int | None = None) -> DataFrame:
     """Neighbourhood labels found in a tract."""
     counts = count_by(_labelled(registry, F.col("ageb") == tract), ["colonia"], "num_establecimientos")
-    return counts.orderBy(F.desc("num_establecimientos"), F.asc("colonia")).limit(limit)
+    return first(counts.orderBy(F.desc("num_establecimientos"), F.asc("colonia")), limit)
 
 
 def neighbourhood_opportunity(
-    registry: DataFrame, municipality: str, codes: list[str], order: str = "score", limit: int = 50
+    registry: DataFrame, municipality: str, codes: list[str], order: str = "score", limit: int | None = None
 ) -> DataFrame:
     """Establishments per competitor in each neighbourhood of a municipality."""
     target = taxonomy_filter(codes, LEVEL_COLUMNS)
@@ -223,13 +223,13 @@ def neighbourhood_opportunity(
         "total_estab": [F.desc("total_estab"), F.asc("colonia")],
         "colonia": [F.asc("colonia")],
     }
-    return ranked_by(counts.withColumn("score", score), order, orders, limit, 1000)
+    return ranked_by(counts.withColumn("score", score), order, orders, limit)
 
 
-def health_cover_top(panel: DataFrame, floor: int = 10_000, limit: int = 10) -> DataFrame:
+def health_cover_top(panel: DataFrame, floor: int = 0, limit: int | None = None) -> DataFrame:
     """Clinics and pharmacies per 100,000 in the most populous municipalities of a panel."""
     people = F.col("poblacion")
-    top = panel.filter(people > floor).orderBy(people.desc(), F.asc("cve_mun")).limit(limit)
+    top = first(panel.filter(people > floor).orderBy(people.desc(), F.asc("cve_mun")), limit)
     return top.select(
         "cve_mun",
         "poblacion",

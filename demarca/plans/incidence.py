@@ -140,9 +140,12 @@ def mortality_summary_live(raw: DataFrame, census: DataFrame, state: str, year:
     return mortality_summary(mortality_yearly(raw.filter(scope)), census, state, year)
 
 
-def mortality_series(yearly: DataFrame, municipality: str, first: int = 2010, last: int = 2039) -> DataFrame:
-    """Yearly series of one municipality."""
-    return yearly.filter((F.col("cve_mun") == municipality) & F.col("ano").between(first, last)).drop("cve_mun")
+def mortality_series(yearly: DataFrame, municipality: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Yearly series of one municipality, of all years or between two."""
+    rows = yearly.filter(F.col("cve_mun") == municipality)
+    rows = rows if first is None else rows.filter(F.col("ano") >= first)
+    rows = rows if last is None else rows.filter(F.col("ano") <= last)
+    return rows.drop("cve_mun")
 
 
 def primary_mortality_year(raw: DataFrame, up_to: int, floor: int = PRIMARY_YEAR_ROWS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -117,10 +120,13 @@ def demand_per_supplier(demand: DataFrame, suppliers: DataFrame, key: str, floor
 def prevalence_model(sample: DataFrame, label: str, covariates: list[str], areas: DataFrame, weight: str | None = None):
     """Expected prevalence per area from a logistic model of a survey's covariates.
 
-    Fitting runs Spark jobs when this function is called.
+    Sample rows without a label or a covariate are not used; an area without a covariate
+    stays, with a NULL prevalence. Fitting runs Spark jobs when this function is called.
     """
-    assemble = VectorAssembler(inputCols=covariates, outputCol="_x", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=covariates, outputCol="_x", handleInvalid="keep")
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in covariates])
     fit = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50, **({"weightCol": weight} if weight else {}))
-    model = fit.fit(assemble.transform(sample))
+    model = fit.fit(assemble.transform(sample.filter(known & F.col(label).isNotNull())))
     scored = model.transform(assemble.transform(areas))
-    return scored.withColumn("prevalence", vector_to_array("probability")[1]).select(*areas.columns, "prevalence")
+    prevalence = F.when(known, vector_to_array("probability")[1])
+    return scored.withColumn("prevalence", prevalence).select(*areas.columns, "prevalence")

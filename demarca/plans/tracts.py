@@ -14,7 +14,7 @@ from demarca.functions.text import COORDINATE, guarded_number
 from demarca.operators.aggregate import agg_where, count_by
 from demarca.operators.filters import grade_filter, taxonomy_filter
 from demarca.operators.joins import broadcast_parent, enrich
-from demarca.operators.ordered import latest_per_key, ranked_by, with_total
+from demarca.operators.ordered import first, latest_per_key, ranked_by, with_total
 from demarca.operators.spatial import area_geometry, point_in_polygon, points_per_area
 from demarca.plans.establishments import LEVEL_COLUMNS
 
@@ -55,7 +55,7 @@ def tracts_of_municipality(
     pharmacy: Column,
     cell: float,
     order: str = "establecimientos",
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """Tracts with area, centroid, establishments, pharmacies and clinics inside; all of them without a limit."""
     scope = areas.filter(F.col("cve_mun") == municipality) if municipality else areas
@@ -68,7 +68,7 @@ def tracts_of_municipality(
         return out
     by = {"establecimientos": "establecimientos", "farmacias": "farmacias", "clues": "clues", "area": "area_km2"}
     orders = {k: [F.col(c).desc_nulls_last(), F.asc("cvegeo")] for k, c in by.items()}
-    return ranked_by(out, order, orders, limit, 500)
+    return ranked_by(out, order, orders, limit)
 
 
 def pharmacy_opportunity(
@@ -79,7 +79,7 @@ def pharmacy_opportunity(
     municipality: str | None,
     pharmacy: Column,
     cell: float,
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
     """Score of half the clinics plus 0.3 of the establishments less the pharmacies, also per 1,000."""
     base = tracts_of_municipality(areas, registry, units, municipality, pharmacy, cell, limit=None)
@@ -109,7 +109,7 @@ def activity_opportunity(
     codes: list[str],
     grades: list[str] | None = None,
     order: str = "score",
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     """People per competitor in each tract, with lag grade, uncovered share and the municipality's morbidity."""
     scope = areas.filter(F.col("cve_mun") == municipality) if municipality else areas
@@ -143,7 +143,7 @@ def activity_opportunity(
         "target_count": [F.desc("target_count"), F.asc("cvegeo")],
         "total_estab": [F.desc("total_estab"), F.asc("cvegeo")],
     }
-    return ranked_by(result, order, orders, limit, 500)
+    return ranked_by(result, order, orders, limit)
 
 
 def tract_detail(
@@ -156,8 +156,8 @@ def tract_detail(
     tract: str,
     pharmacy: Column,
     cell: float,
-    top: int = 10,
-    sample: int = 30,
+    top: int | None = None,
+    sample: int | None = None,
 ) -> dict[str, DataFrame]:
     """Everything known about one tract, as small independent results."""
     area = areas.filter(F.col("cvegeo") == tract)
@@ -173,10 +173,13 @@ def tract_detail(
         "totals": here.agg(
             F.count(F.lit(1)).alias("total_establecimientos"), F.count_if(pharmacy).alias("total_farmacias")
         ),
-        "top_sectors": count_by(here.filter(F.col("sector_actividad_id") != ""), ["sector_actividad_id"])
-        .orderBy(F.desc("count"), F.asc("sector_actividad_id"))
-        .limit(top),
-        "clinics": with_total(inside.orderBy("clues").limit(sample), inside, "total_clues").select(
+        "top_sectors": first(
+            count_by(here.filter(F.col("sector_actividad_id") != ""), ["sector_actividad_id"]).orderBy(
+                F.desc("count"), F.asc("sector_actividad_id")
+            ),
+            top,
+        ),
+        "clinics": with_total(first(inside.orderBy("clues"), sample), inside, "total_clues").select(
             "clues", "lat", "lon", "total_clues"
         ),
     }
@@ -193,22 +196,22 @@ BLOCK_ORDERS = ["pobtot", "tvivpar", "vph_inter"]
 LOCALITY_ORDERS = ["pobtot", "tamloc", "altitud_m", "vph_inter", "nom_loc"]
 
 
-def blocks_of_tract(blocks: DataFrame, tract: str, order: str = "pobtot", limit: int = 100) -> DataFrame:
+def blocks_of_tract(blocks: DataFrame, tract: str, order: str = "pobtot", limit: int | None = None) -> DataFrame:
     """Blocks of a tract in one of three orders."""
     rows = blocks.filter(F.col("cvegeo_ageb") == tract).withColumn(
         "cvegeo_mza", make_key((F.col("cvegeo_ageb"), None), (F.col("mza"), None))
     )
     columns = ["cvegeo_mza", "mza", "pobtot", "pobfem", "pobmas", "tvivpar", "vph_inter", "vph_autom"]
     orders = {c: [F.desc_nulls_last(c), F.asc("mza")] for c in BLOCK_ORDERS}
-    return ranked_by(rows.select(*columns), order, orders, limit, 500)
+    return ranked_by(rows.select(*columns), order, orders, limit)
 
 
 def localities_of_municipality(
-    localities: DataFrame, municipality: str, order: str = "pobtot", limit: int = 100
+    localities: DataFrame, municipality: str, order: str = "pobtot", limit: int | None = None
 ) -> DataFrame:
     """Localities in one of five orders, beside their total number."""
     rows = localities.filter(F.col("cve_mun") == municipality)
     columns = ["cve_loc", "nom_loc", "tamloc", "altitud_m", "pobtot", "tvivpar", "vph_inter"]
     orders = {c: [F.desc_nulls_last(c), F.asc("cve_loc")] for c in LOCALITY_ORDERS}
     orders["nom_loc"] = [F.asc_nulls_last("nom_loc"), F.asc("cve_loc")]
-    return with_total(ranked_by(rows.select(*columns), order, orders, limit, 1000), rows, "total_localities")
+    return with_total(ranked_by(rows.select(*columns), order, orders, limit), rows, "total_localities")

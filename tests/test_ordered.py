@@ -91,9 +91,10 @@ def test_page_and_order_checks(points):
     with pytest.raises(ValueError):
         ordered.page(points, [F.asc("id")], 0, 10)
     with pytest.raises(ValueError):
-        ordered.ranked_by(points, "nope", {"v": [F.asc("v")]}, 5, 10)
+        ordered.ranked_by(points, "nope", {"v": [F.asc("v")]}, 5)
     with pytest.raises(ValueError):
-        ordered.ranked_by(points, "v", {"v": [F.asc("v")]}, 11, 10)
+        ordered.ranked_by(points, "v", {"v": [F.asc("v")]}, 0)
+    assert ordered.ranked_by(points, "v", {"v": [F.asc("v")]}).count() == points.count()
 
 
 def test_running_total_without_groups(spark):

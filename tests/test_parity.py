@@ -7,7 +7,6 @@ from workbench.catalogue import ORACLE, QUERIES
 from workbench.compare import connect, difference
 
 WITHOUT_TWIN = {
-    "compact_labels",
     "kmeans_cluster_summary",
     "kmeans_cluster_members",
     "prevalence_model_by_tract",

@@ -133,8 +133,8 @@ def pinned(t):
 
 @query(
     "months_to_rows",
-    """SELECT cve_mun, ano, mes, bien_juridico, subtipo_delito, CAST(sum(count) AS BIGINT) AS count FROM {crime_long}
-    WHERE length(cve_mun) = 5 GROUP BY ALL""",
+    """SELECT lpad(CASE WHEN k LIKE '0%' THEN substr(k, 2, 4) ELSE k END, 5, '0') AS cve_mun, ano, mes, bien_juridico, subtipo_delito, count
+    FROM (SELECT cve_mun AS k, ano, mes, bien_juridico, subtipo_delito, CAST(sum(count) AS BIGINT) AS count FROM {crime_long} GROUP BY ALL)""",
 )
 def months(t):
     from demarca.plans.incidence import crime_long
@@ -367,7 +367,7 @@ def ranked(t):
         "price": [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")],
         "key": [F.asc("o_orderkey")],
     }
-    return ordered.with_total(ordered.ranked_by(rows, "price", orders, 30, 100), rows, "total")
+    return ordered.with_total(ordered.ranked_by(rows, "price", orders, 30), rows, "total")
 
 
 @query(
@@ -422,15 +422,34 @@ def rates(t):
 
 @query(
     "zero_row_for_absent_unit",
-    "SELECT '9999' AS unit, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS q FROM (SELECT count(*) FROM {lineitem})",
+    """SELECT u.unit, count(l_suppkey) AS n, coalesce(CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT), 0) AS q
+      FROM (VALUES ('9999'), ('S1'), ('S7')) u(unit) LEFT JOIN {lineitem} l ON 'S' || l_suppkey = u.unit GROUP BY 1""",
 )
 def zero(t):
     rows = t.lineitem.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("unit")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q")
     )
-    return reshape.zero_row(rows, "unit", "9999", ["n", "q"])
+    parts = [reshape.zero_row(rows, "unit", unit, ["n", "q"]) for unit in ("9999", "S1", "S7")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("compact_labels")
+_LABELS = [("1e9", "1e9", 1, "B"), ("1e6", "1e6", 1, "M"), ("1e3", "1e3", 1, "k"), ("10", "1", 1, ""), ("1", "1", 2, ""), ("0", "1", 3, "")]
+_LABEL = " ".join(f"WHEN abs(v) >= {lo} THEN printf('%.{n}f{tail}', round(v / {by}, {n}) + 0.0)" for lo, by, n, tail in _LABELS)
+
+
+@query(
+    "compact_labels",
+    f"""SELECT o_orderkey, part, CASE WHEN v IS NULL OR isinf(v) THEN '—' {_LABEL} END AS label FROM (
+      SELECT o_orderkey, 'whole' AS part, o_totalprice AS v FROM {{orders}}
+      UNION ALL SELECT o_orderkey, 'small' AS part, o_totalprice / 1e6 - 0.1 AS v FROM {{orders}}
+      UNION ALL SELECT o_orderkey, 'large' AS part, CASE o_orderkey % 3 WHEN 0 THEN 'Infinity'::DOUBLE WHEN 1 THEN NULL
+        ELSE o_totalprice * 1e5 END AS v FROM {{orders}})""",
+)
 def labels(t):
-    return t.orders.select("o_orderkey", text.compact_number(F.col("o_totalprice")).alias("label"))
+    price, k = F.col("o_totalprice"), F.col("o_orderkey") % 3
+    odd = F.when(k == 0, float("inf")).when(k == 2, price * 1e5)
+    parts = {"whole": price, "small": price / 1e6 - 0.1, "large": odd}
+    found = [
+        t.orders.select("o_orderkey", F.lit(name).alias("part"), text.compact_number(v).alias("label")) for name, v in parts.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])

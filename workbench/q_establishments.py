@@ -78,7 +78,7 @@ def municipality_panel(t):
     FROM ({PANEL_SQL}) x WHERE poblacion > 10000 ORDER BY poblacion DESC, cve_mun LIMIT 10""",
 )
 def health_cover(t):
-    return est.health_cover_top(panel(t))
+    return est.health_cover_top(panel(t), floor=10_000, limit=10)
 
 
 @query(
@@ -98,7 +98,7 @@ def density(t):
       GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) c LEFT JOIN {SECTORS_SQL} ON sec.scian = c.scian""",
 )
 def top_sectors(t):
-    return est.top_sectors(t.registry, lookup(t.spark, "sectors"), STATE)
+    return est.top_sectors(t.registry, lookup(t.spark, "sectors"), STATE, limit=10)
 
 
 @query(
@@ -118,7 +118,7 @@ def sector_list(t):
     FROM {registry} WHERE sector_actividad_id = '46' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def sector_national(t):
-    return est.sector_national(t.registry, "46")
+    return est.sector_national(t.registry, "46", limit=10)
 
 
 @query(
@@ -126,7 +126,7 @@ def sector_national(t):
     """SELECT clase_actividad_id, count(*) AS total FROM {registry} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def top_classes(t):
-    return est.top_classes(t.registry)
+    return est.top_classes(t.registry, limit=10)
 
 
 @query(
@@ -134,7 +134,7 @@ def top_classes(t):
     """SELECT area_geo, count(*) AS total FROM {registry} WHERE area_geo IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
 )
 def top_municipalities(t):
-    return est.top_municipalities(t.registry)
+    return est.top_municipalities(t.registry, limit=20)
 
 
 @query(
@@ -194,7 +194,7 @@ def state_list(t):
     FROM (SELECT count(*) AS n FROM {{registry}} WHERE entidad = '{STATE}')""",
 )
 def state_summary(t):
-    parts = est.state_summary(t.registry, totals(t), STATE)
+    parts = est.state_summary(t.registry, totals(t), STATE, top=10)
 
     def flat(df, label, name):
         rows = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("n"), F.col(label).alias("l"))))
@@ -214,7 +214,7 @@ LABELLED = "colonia IS NOT NULL AND trim(colonia) <> ''"
     WHERE area_geo = '16000' AND {LABELLED} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 def neighbourhoods(t):
-    return est.neighbourhoods(t.registry, "16000")
+    return est.neighbourhoods(t.registry, "16000", limit=50)
 
 
 @query(
@@ -223,7 +223,7 @@ def neighbourhoods(t):
     WHERE ageb = '1600000010002' AND {LABELLED} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 def neighbourhoods_tract(t):
-    return est.neighbourhoods_of_tract(t.registry, "1600000010002")
+    return est.neighbourhoods_of_tract(t.registry, "1600000010002", limit=50)
 
 
 @query(
@@ -288,7 +288,7 @@ HAVERSINE = (
     f"""SELECT clee, nombre FROM {{shops}} WHERE entidad = '05' AND longitud IS NOT NULL AND {HAVERSINE} <= 150 ORDER BY clee LIMIT 50""",
 )
 def search_radius(t):
-    found = search(t.shops, "clee", "nombre", state="05", around=(19.4, -98.9, 150.0))
+    found = search(t.shops, "clee", "nombre", state="05", around=(19.4, -98.9, 150.0), size=50)
     return found.select("clee", "nombre")
 
 

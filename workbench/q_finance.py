@@ -199,11 +199,14 @@ def licences_one(t):
 
 @query(
     "licences_of_tract_without_any",
-    f"""SELECT '9999900019999' AS cvegeo_ageb, coalesce(CAST(sum(total_licenciadas) AS BIGINT), 0) AS total_licenciadas,
-    coalesce(CAST(sum(con_controlados) AS BIGINT), 0) AS con_controlados FROM ({TRACT_LICENCES_SQL}) WHERE cvegeo_ageb = '9999900019999'""",
+    f"""SELECT u.k AS cvegeo_ageb, coalesce(CAST(sum(total_licenciadas) AS BIGINT), 0) AS total_licenciadas,
+    coalesce(CAST(sum(con_controlados) AS BIGINT), 0) AS con_controlados FROM (SELECT '9999900019999' AS k UNION ALL
+      SELECT min(cvegeo_ageb) AS k FROM ({TRACT_LICENCES_SQL})) u LEFT JOIN ({TRACT_LICENCES_SQL}) x ON x.cvegeo_ageb = u.k GROUP BY 1""",
 )
 def licences_none(t):
-    return health.tract_licences(flagged(t), "9999900019999")
+    rows = flagged(t)
+    known = health.licences_by_tract(rows).agg(F.min("cvegeo_ageb")).first()[0]
+    return health.tract_licences(rows, "9999900019999").unionByName(health.tract_licences(rows, known))
 
 
 def _cases(cols: str) -> str:

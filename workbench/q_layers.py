@@ -57,7 +57,8 @@ def latest_inner(t):
 
 @query(
     "one_row_from_two_sides",
-    """SELECT 'S1' AS unit, (SELECT count(*) FROM {lineitem} WHERE l_suppkey = 1) AS lines, CAST(NULL AS BIGINT) AS orders""",
+    """SELECT 'S1' AS unit, (SELECT count(*) FROM {lineitem} WHERE l_suppkey = 1) AS lines, CAST(NULL AS BIGINT) AS orders
+    UNION ALL SELECT 'C1' AS unit, CAST(NULL AS BIGINT) AS lines, nullif((SELECT count(*) FROM {orders} WHERE o_custkey = 1), 0) AS orders""",
 )
 def one_row(t):
     lines = t.lineitem.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("unit")).agg(
@@ -66,7 +67,7 @@ def one_row(t):
     other = t.orders.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("unit")).agg(
         F.count(F.lit(1)).alias("orders")
     )
-    return joins.one_row("unit", "S1", [lines, other])
+    return joins.one_row("unit", "S1", [lines, other]).unionByName(joins.one_row("unit", "C1", [lines, other]))
 
 
 @query(
@@ -367,19 +368,44 @@ def per_pharmacy(t):
     return indices.demand_per_supplier(demand, shops, "cve_mun", 500)
 
 
-@query("prevalence_model_by_tract")
-def prevalence(t):
+def modelled(t):
     sample = t.lineitem.select(
         (F.col("l_returnflag") == "R").cast("double").alias("sick"),
         (F.col("l_quantity") / 50).alias("older"),
         (F.col("l_discount") * 10).alias("schooling"),
     )
-    areas = t.tract_census.filter("pobtot > 0").select(
+    areas = t.tract_census.select(
         "cvegeo",
-        (F.col("p_60ymas") / F.col("pobtot")).alias("older"),
+        F.try_divide(F.col("p_60ymas"), F.col("pobtot")).alias("older"),
         (F.col("graproes").cast("double") / 20).alias("schooling"),
     )
-    return indices.prevalence_model(sample, "sick", ["older", "schooling"], areas)
+    return sample, areas, ["older", "schooling"]
+
+
+@query("prevalence_model_by_tract")
+def prevalence(t):
+    sample, areas, covariates = modelled(t)
+    return indices.prevalence_model(sample, "sick", covariates, areas)
+
+
+@query(
+    "prevalence_model_checked",
+    """SELECT count(*) AS areas, count(*) FILTER (pobtot IS NULL OR pobtot = 0) AS without, CAST(0 AS BIGINT) AS outside,
+      (SELECT count(*) FROM {lineitem} WHERE l_returnflag = 'R') AS labelled,
+      true AS predicted_equals_labelled FROM {tract_census}""",
+)
+def prevalence_checked(t):
+    """All areas are there, those without a covariate without a value, and the sample's total is met."""
+    sample, areas, covariates = modelled(t)
+    found = indices.prevalence_model(sample, "sick", covariates, areas).agg(
+        F.count(F.lit(1)).alias("areas"),
+        F.count_if(F.col("prevalence").isNull()).alias("without"),
+        F.count_if(~F.col("prevalence").between(0, 1)).alias("outside"),
+    )
+    again = indices.prevalence_model(sample, "sick", covariates, sample)
+    met = again.agg(F.sum("sick").cast("long").alias("labelled"), F.sum("prevalence").alias("predicted"))
+    near = F.abs(F.col("predicted") - F.col("labelled")) <= F.col("labelled") / 1000
+    return joins.with_single(found, met.select("labelled", near.alias("predicted_equals_labelled")))
 
 
 ORDERS_TEXT = "o_orderkey o_custkey o_orderstatus o_orderpriority".split()

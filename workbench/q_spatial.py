@@ -123,8 +123,9 @@ def tract_detail(t):
         F.concat("entidad", "mun", "loc").alias("cve_loc"), F.col("pobtot").cast("long").alias("pobtot"), "nom_loc"
     )
     parts = tracts.tract_detail(
-        areas(t), t.registry, clinic_points(t), t.tract_census, t.tract_lag, localities, TRACT, pharmacy_by_class(), CELL
-    )
+        areas(t), t.registry, clinic_points(t), t.tract_census, t.tract_lag, localities, TRACT, pharmacy_by_class(), CELL,
+        top=10, sample=30,
+    )
 
     sectors = parts["top_sectors"].agg(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("sector_actividad_id").alias("s")))).alias("_s")
@@ -150,7 +151,7 @@ def blocks(t):
     from demarca.plans.census import block_census
 
     rows = block_census(t.tract_raw)
-    return tracts.blocks_of_tract(rows, rows.agg(F.min("cvegeo_ageb")).scalar())
+    return tracts.blocks_of_tract(rows, rows.agg(F.min("cvegeo_ageb")).scalar(), limit=100)
 
 
 @query(
@@ -165,7 +166,7 @@ def localities(t):
     from demarca.plans.census import census
 
     rows = census(t.census_raw, "locality")
-    return tracts.localities_of_municipality(rows, rows.agg(F.min("cve_mun")).scalar(), "vph_inter")
+    return tracts.localities_of_municipality(rows, rows.agg(F.min("cve_mun")).scalar(), "vph_inter", limit=100)
 
 
 NOTCHED = "longitud >= x0 AND longitud < x1 AND latitud >= y0 AND latitud < y1 AND NOT (notched AND longitud >= xm AND latitud >= ym)"
@@ -269,6 +270,46 @@ def cluster_members(t):
     return spatial.cluster_points(t.shops, "longitud", "latitud", 8).select("cluster_id", "clee")
 
 
+@query(
+    "kmeans_checked",
+    """SELECT count(*) AS points, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_at_nearest
+      FROM {shops} WHERE longitud IS NOT NULL AND latitud IS NOT NULL""",
+)
+def kmeans_checked(t):
+    """Every point is counted once and lies in the cluster of the centre nearest to it."""
+    placed, centres = spatial.fit_clusters(t.shops, "longitud", "latitud", 8)
+    away = [F.pow(F.col("longitud") - x, 2) + F.pow(F.col("latitud") - y, 2) for x, y in centres]
+    own = F.element_at(F.array(*away), F.col("cluster_id") + 1)
+    return placed.agg(
+        F.count(F.lit(1)).alias("points"),
+        F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(own > F.least(*away) + 1e-9).alias("not_at_nearest"),
+    )
+
+
+RADIUS_POINTS = """SELECT l_orderkey AS k, l_linenumber AS line, CAST((l_partkey * 7919) % 720 AS DOUBLE) / 100 - 3.6 AS turn,
+    CAST((l_orderkey * 6007) % 400 AS DOUBLE) / 100 - 2 AS lat FROM {lineitem}"""
+_DATE_LINE = f"""SELECT k, line, lat, CASE WHEN turn < 0 THEN 180 + turn ELSE turn - 180 END AS lon FROM ({RADIUS_POINTS})"""
+
+
+@query(
+    "radius_across_date_line",
+    f"""SELECT k, line, CAST(count(*) AS BIGINT) AS n FROM (SELECT k, line, 2 * 6371.0088 * asin(sqrt(least(1.0,
+        pow(sin(radians(lat - 0.1) / 2), 2) + cos(radians(0.1)) * cos(radians(lat)) * pow(sin(radians(lon - 179.9) / 2), 2)))) AS d
+      FROM ({_DATE_LINE})) WHERE d <= 90 GROUP BY 1, 2""",
+)
+def radius_across_date_line(t):
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    turn = (part * 7919 % 720).cast("double") / 100 - 3.6
+    points = t.lineitem.select(
+        k.alias("k"),
+        F.col("l_linenumber").alias("line"),
+        ((k * 6007 % 400).cast("double") / 100 - 2).alias("lat"),
+        F.when(turn < 0, 180 + turn).otherwise(turn - 180).alias("lon"),
+    )
+    return spatial.within_radius(points, "lat", "lon", 0.1, 179.9, 90.0).groupBy("k", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 FOLD = "trim(regexp_replace(regexp_replace(upper(strip_accents(coalesce(colonia, ''))), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 GEO_SQL = f"""WITH r AS (SELECT state, postcode, mun, tract, CASE WHEN f = '' THEN [] ELSE string_split(f, ' ') END AS w FROM (SELECT *, {FOLD} AS f FROM {{geo_registry}}
       WHERE postcode <> '' AND state <> '')),

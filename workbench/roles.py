@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demarca.sources.lookups import SECTORS
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -28,7 +30,16 @@ def _milli(expr: str) -> str:
 
 ENT = _pad("s.s_nationkey + 1", 2)
 MUN = f"{ENT} || {_pad('s.s_suppkey % 1000', 3)}"
-SECTOR_DIGITS = "1121222331323343464849515253545556616271"
+SECTOR_DIGITS = "".join(list(SECTORS)[:20])
+
+
+def _paired(table: str, key: str, other: str, name: str) -> str:
+    """A table with ``name``: its key spread over all keys of another table, which run from 0."""
+    return f"(SELECT x.*, x.{key} % (SELECT count(*) FROM {{{other}}} n) AS {name} FROM {{{table}}} x)"
+
+
+CUSTOMERS = _paired("customer", "c_custkey", "supplier", "seller")
+ORDERS = _paired("orders", "o_custkey", "supplier", "seller")
 
 
 def _digits(pk: str) -> str:
@@ -81,7 +92,7 @@ ROLES: dict[str, str] = {
           CASE WHEN c.c_custkey % 41 = 0 THEN NULL ELSE {_milli("(c.c_custkey * 7919) % 4000 - 100000")} END AS longitud,
           {_milli("(c.c_custkey * 6007) % 4000 + 18000")} AS latitud,
           c.c_mktsegment AS segment
-        FROM {{customer}} c JOIN {{supplier}} s ON s.s_suppkey = c.c_custkey % 100""",
+        FROM {CUSTOMERS} c JOIN {{supplier}} s ON s.s_suppkey = c.seller""",
     "clinics": """
         SELECT clee AS clues, area_geo AS cve_mun, entidad,
           CASE WHEN num % 37 = 0 THEN '' WHEN num % 43 = 0 THEN 'sin dato' ELSE CAST(latitud AS STRING) END AS latitud,
@@ -115,13 +126,13 @@ ROLES: dict[str, str] = {
           CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Robo a negocio' WHEN '2-HIGH' THEN 'Homicidio doloso'
             WHEN '3-MEDIUM' THEN 'Extorsión' ELSE 'Otro' END AS subtipo_delito,
           1 + o.o_orderkey % 3 AS count
-        FROM {{orders}} o JOIN {{supplier}} s ON s.s_suppkey = o.o_custkey % 100""",
+        FROM {ORDERS} o JOIN {{supplier}} s ON s.s_suppkey = o.seller""",
     "crime_wide": f"""
         SELECT CAST(ano AS STRING) AS ano,
           CASE WHEN substr(cve_mun, 1, 1) = '0' THEN substr(cve_mun, 2, 4) ELSE cve_mun END AS cve_municipio,
           bien_juridico, subtipo_delito,
           {", ".join(f"coalesce(CAST(sum(CASE WHEN mes = {i} THEN count END) AS STRING), '') AS {m}" for i, m in enumerate(MONTHS, 1))}
-        FROM {{crime_long}} t WHERE length(cve_mun) = 5
+        FROM {{crime_long}} t
         GROUP BY ano, cve_mun, bien_juridico, subtipo_delito""",
     "deaths": f"""
         SELECT {_pad("l_suppkey % 36", 2)} AS ent_resid,
@@ -170,7 +181,7 @@ ROLES: dict[str, str] = {
             ELSE '049999' END AS intermediario_financiero,
           CAST(o.o_orderkey % 3 AS STRING) AS acciones,
           CAST(CAST(o.o_totalprice AS DECIMAL(20,2)) AS STRING) AS monto
-        FROM {{orders}} o JOIN {{supplier}} s ON s.s_suppkey = o.o_custkey % 100""",
+        FROM {ORDERS} o JOIN {{supplier}} s ON s.s_suppkey = o.seller""",
     "stations_raw": """
         SELECT x.*, 'Estado ' || entidad AS estado FROM (
           SELECT entidad, CASE WHEN longitud IS NULL THEN '' ELSE CAST(longitud AS STRING) END AS longitud,
@@ -230,7 +241,7 @@ ROLES: dict[str, str] = {
           CAST(o.o_custkey % 4 AS STRING) AS adm03, CAST(o.o_orderkey % 6 AS STRING) AS aha02,
           CASE WHEN o.o_orderkey % 4 = 0 THEN 'NULL' ELSE CAST(o.o_custkey % 8 AS STRING) END AS aob02,
           '7' AS aob_extra
-        FROM {{orders}} o JOIN {{supplier}} s ON s.s_suppkey = o.o_custkey % 100""",
+        FROM {ORDERS} o JOIN {{supplier}} s ON s.s_suppkey = o.seller""",
     "morbidity": """
         SELECT cve_mun, 2020 + k % 3 AS anio, CAST(CAST((k * 11) % 900 AS DOUBLE) / 10 AS DECIMAL(12,1)) AS casos_dm2_promedio,
           CAST(CAST((k * 13) % 800 AS DOUBLE) / 10 AS DECIMAL(12,1)) AS casos_hta_promedio,
@@ -266,7 +277,7 @@ ROLES: dict[str, str] = {
           CASE WHEN c.c_custkey % 10 = 0 THEN NULL WHEN c.c_custkey % 23 = 0 THEN 'x' ELSE {MUN} END AS cve_mun,
           CASE WHEN c.c_custkey % 10 = 0 THEN NULL WHEN c.c_custkey % 15 = 1 THEN substr({MUN}, 1, 5) || '001A'
             ELSE {MUN} || '0001' || {_pad("1 + c.c_custkey % 4", 4)} END AS cvegeo_ageb
-        FROM {{customer}} c JOIN {{supplier}} s ON s.s_suppkey = c.c_custkey % 100""",
+        FROM {CUSTOMERS} c JOIN {{supplier}} s ON s.s_suppkey = c.seller""",
     "census_raw": f"""
         SELECT CASE WHEN c_custkey % 200 = 0 THEN '00' ELSE {_pad("c_nationkey + 1", 2)} END AS entidad,
           CASE WHEN c_custkey % 25 = 0 THEN '000' ELSE {_pad("1 + c_custkey % 50", 3)} END AS mun,
@@ -345,8 +356,7 @@ ROLES: dict[str, str] = {
     "movements": """
         SELECT CASE WHEN o.o_orderkey % 3 = 0 THEN ' ' || lower(n.n_name) ELSE n.n_name END AS airport_name,
           year(o.o_orderdate) AS ano, 1 + o.o_orderkey % 5 AS mar_flights, o.o_orderstatus AS operator
-        FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey
-        WHERE c.c_nationkey % 6 <> 1 OR year(o.o_orderdate) <> 1996""",
+        FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey""",
     "geo_registry": f"""
         SELECT {_pad("1 + p_partkey % 5", 2)} AS state, {_pad("p_partkey % 30", 5)} AS postcode,
           CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN upper(p_name)
@@ -360,7 +370,7 @@ ROLES: dict[str, str] = {
           CASE WHEN c.c_custkey % 13 = 0 THEN NULL WHEN c.c_custkey % 4 = 0 THEN p.p_name || ' Norte'
             WHEN c.c_custkey % 4 = 1 THEN p.p_name || ' ' || p.p_type || ' sección ' || CAST(c.c_custkey % 3 AS STRING)
             WHEN c.c_custkey % 4 = 2 THEN substr(p.p_name, 1, 3) ELSE p.p_name END AS colonia
-        FROM {{customer}} c LEFT JOIN {{part}} p ON p.p_partkey = c.c_custkey % 200""",
+        FROM {_paired("customer", "c_custkey", "part", "product")} c LEFT JOIN {{part}} p ON p.p_partkey = c.product""",
     "registry_export": """
         SELECT CASE WHEN c_custkey % 50 = 0 THEN '2' ELSE lpad(CAST(c_nationkey + 1 AS STRING), 2, '0')
             || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')
