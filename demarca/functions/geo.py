@@ -1,4 +1,4 @@
-"""Geometry on plain columns: points are two doubles, a polygon is one ring.
+"""Geometry on plain columns: points are two doubles, a polygon is one ring or several.
 
 A ring is ``array<struct<lon:double,lat:double>>`` whose last point repeats the
 first. Containment uses a half-open edge rule, so a point on an edge shared by
@@ -94,6 +94,16 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def ring_twice_area(ring: Column) -> Column:
+    """Twice the signed planar area of a ring, positive if it runs against the clock."""
+    ox, oy = ring[0]["lon"], ring[0]["lat"]
+    return F.aggregate(
+        ring_edges(ring),
+        F.lit(0.0),
+        lambda acc, e: acc + (e["x1"] - ox) * (e["y2"] - oy) - (e["x2"] - ox) * (e["y1"] - oy),
+    )
+
+
 def ring_area_km2(ring: Column) -> Column:
     """Area on the sphere in square kilometres."""
     total = F.aggregate(

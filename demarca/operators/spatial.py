@@ -15,6 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from demarca.functions import geo
 from demarca.operators.ordered import SALTS, top_per_group
@@ -27,8 +28,19 @@ def with_point(df: DataFrame, lon: str, lat: str) -> DataFrame:
     return df.withColumn("has_point", geo.has_point(F.col(lon), F.col(lat)))
 
 
+def _rings(polygons: DataFrame, ring: str) -> Column:
+    """The rings of an area: a column of one ring, or of several."""
+    several = isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
+    return F.col(ring) if several else F.array(F.col(ring))
+
+
 def area_geometry(polygons: DataFrame, ring: str = "ring") -> DataFrame:
-    """Centroid and bounds to 6 digits, area in square kilometres to 4."""
+    """Centroid and bounds to 6 digits, area in square kilometres to 4.
+
+    Of several rings, those that run against the first one's direction are holes.
+    """
+    if isinstance(polygons.schema[ring].dataType.elementType, ArrayType):
+        return _several_geometry(polygons, ring)
     x, y = geo.ring_centroid(F.col(ring))
     bounds = {k: F.round(c, 6) for k, c in geo.ring_bbox(F.col(ring)).items()}
     return polygons.withColumns(
@@ -41,21 +53,52 @@ def area_geometry(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     )
 
 
+def _several_geometry(polygons: DataFrame, ring: str) -> DataFrame:
+    """``area_geometry`` of areas with several rings: signed sums of the rings' areas and moments."""
+    rings, points = F.col(ring), F.flatten(F.col(ring))
+
+    def summed(term) -> Column:
+        return F.aggregate(F.transform(rings, term), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+
+    twice = summed(geo.ring_twice_area)
+    x = summed(lambda r: geo.ring_centroid(r)[0] * geo.ring_twice_area(r)) / F.nullif(twice, F.lit(0.0))
+    y = summed(lambda r: geo.ring_centroid(r)[1] * geo.ring_twice_area(r)) / F.nullif(twice, F.lit(0.0))
+    size = F.abs(summed(lambda r: geo.ring_area_km2(r) * F.sign(geo.ring_twice_area(r))))
+    bounds = {k: F.round(c, 6) for k, c in geo.ring_bbox(points).items()}
+    return polygons.withColumns(
+        {"centroid_lon": F.round(x, 6), "centroid_lat": F.round(y, 6), "area_km2": F.round(size, 4), **bounds}
+    )
+
+
 def area_cells(polygons: DataFrame, area: list[str], cell: float, ring: str = "ring") -> DataFrame:
-    """One row per area and grid cell its bounds touch, with bounds and edges for the exact test."""
-    box = geo.ring_bbox(F.col(ring))
+    """One row per area and grid cell its bounds touch, with bounds and edges for the exact test.
+
+    ``ring`` holds one ring, or an array of rings: parts and holes, told apart by counting
+    crossings. A cell carries only the edges that a ray to the east from inside it can
+    cross; a cell without any lies outside and is dropped.
+    """
+    rings = _rings(polygons, ring)
+    box = geo.ring_bbox(F.flatten(rings))
 
     def span(lo: Column, hi: Column) -> Column:
         return F.sequence(F.floor(lo / F.lit(cell)).cast("long"), F.floor(hi / F.lit(cell)).cast("long"))
 
+    def reachable(e: Column) -> Column:
+        slack = cell * 1e-6
+        south, west = F.col("_cy") * F.lit(cell) - slack, F.col("_cx") * F.lit(cell) - slack
+        across = (F.least(e["y1"], e["y2"]) <= south + cell + 2 * slack) & (F.greatest(e["y1"], e["y2"]) >= south)
+        return across & (F.greatest(e["x1"], e["x2"]) >= west)
+
     return (
         polygons.select(
             *area,
             *[c.alias(f"_{k}") for k, c in box.items()],
-            geo.ring_edges(F.col(ring)).alias("_edges"),
+            F.flatten(F.transform(rings, geo.ring_edges)).alias("_edges"),
         )
         .withColumn("_cx", F.explode(span(F.col("_min_lon"), F.col("_max_lon"))))
         .withColumn("_cy", F.explode(span(F.col("_min_lat"), F.col("_max_lat"))))
+        .withColumn("_edges", F.filter("_edges", reachable))
+        .filter(F.size("_edges") > 0)
     )
 
 
@@ -69,7 +112,12 @@ def _place_join(points: DataFrame, cells: DataFrame, lon: str, lat: str, cell: f
     p = points.withColumns({"_px": px, "_py": py})
     on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & _inside(F.col(lon), F.col(lat))
     helper = ["_px", "_py", "_cx", "_cy", "_edges", "_min_lon", "_min_lat", "_max_lon", "_max_lat"]
-    return p.join(cells, on, how).drop(*helper)
+    known = geo.has_point(F.col(lon), F.col(lat))
+    found = p.filter(known).join(cells, on, how).drop(*helper)
+    if how != "left":
+        return found
+    # Rows without a position match nothing; they stay out of the join, where they would share one key.
+    return found.unionByName(points.filter(~known), allowMissingColumns=True)
 
 
 def point_in_polygon(
@@ -88,12 +136,9 @@ def assign_area(
     """Fill a missing area code from the position; codes already present stay."""
     code = "_found"
     poly = polygons.withColumnRenamed(area, code)
-    at = {
-        "_lon": F.when(F.col(into).isNull(), F.col(lon)),
-        "_lat": F.when(F.col(into).isNull(), F.col(lat)),
-    }
-    found = point_in_polygon(points.withColumns(at), poly, [code], "_lon", "_lat", cell, "left")
-    return found.withColumn(into, F.coalesce(F.col(into), F.col(code))).drop(code, "_lon", "_lat")
+    found = point_in_polygon(points.filter(F.col(into).isNull()), poly, [code], lon, lat, cell, "left")
+    found = found.withColumn(into, F.col(code)).drop(code)
+    return found.unionByName(points.filter(F.col(into).isNotNull()))
 
 
 def points_per_area(

@@ -7,6 +7,7 @@ plan is built; rows are read by the executors, in splits.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -24,6 +25,14 @@ def _paths(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def files_of(spark: SparkSession, paths: Paths) -> list[str]:
+    """The files that paths, folders or globs stand for, in name order."""
+    found = sorted(spark.read.text(_paths(paths)).inputFiles())
+    if not found:
+        raise ValueError(f"no files in {paths}")
+    return found
+
+
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
@@ -36,13 +45,24 @@ def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
     if first is None or first.line is None:
         raise ValueError(f"{path} is empty")
     line = first.line.removeprefix(BOM).rstrip("\r")
-    return [c.strip().strip('"') for c in line.split(sep)]
+    return [c.strip() for c in next(csv.reader([line], delimiter=sep))]
 
 
 def _rows(
-    spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str, sep: str, strict: bool = False
+    spark: SparkSession,
+    paths: list[str],
+    columns: Sequence[str],
+    encoding: str,
+    sep: str,
+    strict: bool = False,
+    multi_line: bool = False,
+    tag: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Text rows; ``strict`` makes the reader compare the header of every file it opens."""
+    """Text rows; ``strict`` makes the reader compare the header of every file it opens.
+
+    ``multi_line`` allows line breaks in quoted cells; such files can't be split. ``tag``
+    maps a new column to a pattern whose first group is taken from the file's name.
+    """
     df = (
         spark.read.schema(text_schema(columns))
         .option("header", True)
@@ -50,15 +70,25 @@ def _rows(
         .option("encoding", encoding)
         .option("sep", sep)
         .option("mode", "FAILFAST")
+        .option("multiLine", multi_line)
+        .option("escape", '"')
         .csv(paths)
     )
     cells = {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
     cells[columns[-1]] = F.regexp_replace(cells[columns[-1]], "\r$", "")
-    return df.select(*[c.alias(n) for n, c in cells.items()])
+    name = F.col("_metadata.file_name")
+    tags = [F.regexp_extract(name, pattern, 1).alias(c) for c, pattern in (tag or {}).items()]
+    return df.select(*[c.alias(n) for n, c in cells.items()], *tags)
 
 
 def read_contract_csv(
-    spark: SparkSession, paths: Paths, columns: Sequence[str], encoding: str = "UTF-8", sep: str = ","
+    spark: SparkSession,
+    paths: Paths,
+    columns: Sequence[str],
+    encoding: str = "UTF-8",
+    sep: str = ",",
+    multi_line: bool = False,
+    tag: dict[str, str] | None = None,
 ) -> DataFrame:
     """Text columns of files whose header must list exactly these columns, in order.
 
@@ -70,33 +100,44 @@ def read_contract_csv(
         found = header_of(spark, f, encoding, sep)
         if [c.lower() for c in found] != [c.lower() for c in columns]:
             raise ValueError(f"{f}: header {found} does not match {list(columns)}")
-    return _rows(spark, files, columns, encoding, sep, strict=True)
+    return _rows(spark, files, columns, encoding, sep, strict=True, multi_line=multi_line, tag=tag)
 
 
 def read_header_csv(
     spark: SparkSession,
-    path: str,
+    paths: Paths,
     encoding: str = "UTF-8",
     required: Sequence[str] = (),
     renames: dict[str, str] | None = None,
     sep: str = ",",
+    multi_line: bool = False,
+    tag: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Text columns named by the file's own header, in lower case.
+    """Text columns named by the files' own headers, in lower case.
 
-    ``renames`` maps header names (blanks as ``_``) to canonical ones and is then
-    complete: an unlisted name is an error. Names must be plain identifiers.
+    Paths may be files, folders or globs. Every file's header is read: files may order
+    their columns differently, but must have the same ones. ``renames`` maps header names
+    (blanks as ``_``) to canonical ones and is then complete: an unlisted name is an
+    error. Names must be plain identifiers.
     """
-    names = [re.sub(r"\s+", "_", c.lower()) for c in header_of(spark, path, encoding, sep)]
-    if renames is not None:
-        unknown = [c for c in names if c not in renames]
-        if unknown:
-            raise ValueError(f"{path}: unknown columns {unknown}")
-        names = [renames[c] for c in names]
-    bad = [c for c in names if not IDENTIFIER.fullmatch(c)]
-    missing = [c for c in required if c not in names]
-    if bad or missing:
-        raise ValueError(f"{path}: bad column names {bad}, missing columns {missing}")
-    return _rows(spark, [path], names, encoding, sep)
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path in files_of(spark, paths):
+        names = [re.sub(r"\s+", "_", c.lower()) for c in header_of(spark, path, encoding, sep)]
+        if renames is not None:
+            unknown = [c for c in names if c not in renames]
+            if unknown:
+                raise ValueError(f"{path}: unknown columns {unknown}")
+            names = [renames[c] for c in names]
+        bad = [c for c in names if not IDENTIFIER.fullmatch(c)]
+        missing = [c for c in required if c not in names]
+        if bad or missing:
+            raise ValueError(f"{path}: bad column names {bad}, missing columns {missing}")
+        first = next(iter(alike), tuple(names))
+        if sorted(first) != sorted(names):
+            raise ValueError(f"{path}: columns {names} differ from {list(first)}")
+        alike.setdefault(tuple(names), []).append(path)
+    parts = [_rows(spark, files, names, encoding, sep, multi_line=multi_line, tag=tag) for names, files in alike.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str], strict: bool = True) -> DataFrame:
@@ -108,14 +149,30 @@ def rename_columns(df: DataFrame, mapping: dict[str, str], strict: bool = True)
 
 
 def select_by_position(
-    spark: SparkSession, path: str, positions: dict[str, int], encoding: str = "UTF-8", sep: str = ","
+    spark: SparkSession,
+    paths: Paths,
+    positions: dict[str, int],
+    encoding: str = "UTF-8",
+    sep: str = ",",
+    tag: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Columns picked by 1-based position, for files whose names change but whose order does not."""
-    width = len(header_of(spark, path, encoding, sep))
-    if max(positions.values()) > width:
-        raise ValueError(f"{path} has only {width} columns")
-    everything = _rows(spark, [path], [f"c{i}" for i in range(1, width + 1)], encoding, sep)
-    return everything.select(*[F.col(f"c{i}").alias(name) for name, i in positions.items()])
+    """Columns picked by 1-based position, for files whose names change but whose order does not.
+
+    Files of different widths are read apart.
+    """
+    alike: dict[int, list[str]] = {}
+    for path in files_of(spark, paths):
+        width = len(header_of(spark, path, encoding, sep))
+        if max(positions.values()) > width:
+            raise ValueError(f"{path} has only {width} columns")
+        alike.setdefault(width, []).append(path)
+    picked = [
+        _rows(spark, files, [f"c{i}" for i in range(1, width + 1)], encoding, sep, tag=tag).select(
+            *[F.col(f"c{i}").alias(name) for name, i in positions.items()], *(tag or {})
+        )
+        for width, files in alike.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), picked)
 
 
 def select_positions(df: DataFrame, positions: dict[str, int]) -> DataFrame:

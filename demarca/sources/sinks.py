@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demarca.functions.geo import has_point
-from demarca.operators.ordered import latest_per_key
+from demarca.operators.ordered import SALTS, latest_per_key
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -23,7 +23,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: list[Colum
 
 
 def replace_partition(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Write a partitioned table, replacing only the partitions the rows belong to."""
+    """Write a partitioned table, replacing only the partitions the rows belong to.
+
+    Rows are dealt by the keys and a salt first, so a task opens few files and a large
+    partition is written by several tasks.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+    df = df.repartition(*keys, salt)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 

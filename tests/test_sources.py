@@ -162,3 +162,22 @@ def test_typed_view_fails_on_unexpected_text(spark):
                                 "cve_mun_local string, pob_total string, irs_indice string, irs_grado string, irs_lugar_nacional string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         social_lag(raw).collect()
+
+
+def test_files_of_one_folder_may_order_columns_but_not_change_them(spark, tmp_path):
+    (tmp_path / "a_01.csv").write_text('x,"y, long"\n1,2\n')
+    (tmp_path / "a_02.csv").write_text('"y, long",x\n4,3\n')
+    names = {"x": "x", "y,_long": "y"}
+    df = delimited.read_header_csv(spark, str(tmp_path), renames=names, tag={"part": r"_(\d+)\."})
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "2", "01"), ("3", "4", "02")]
+    (tmp_path / "a_03.csv").write_text("x\n5\n")
+    with pytest.raises(ValueError):
+        delimited.read_header_csv(spark, str(tmp_path), renames=names)
+    picked = delimited.select_by_position(spark, str(tmp_path), {"first": 1})
+    assert sorted(r.first for r in picked.collect()) == ["1", "4", "5"]
+
+
+def test_quoted_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n"one\ntwo, ""three""",2\n')
+    df = delimited.read_contract_csv(spark, str(tmp_path / "m.csv"), ["a", "b"], multi_line=True)
+    assert [tuple(r) for r in df.collect()] == [('one\ntwo, "three"', "2")]

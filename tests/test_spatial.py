@@ -118,3 +118,34 @@ def test_flags(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, 2.0)], "lon double, lat double")
     assert [r.has_point for r in spatial.with_point(df, "lon", "lat").collect()] == [False, True]
     assert spatial.with_point(df, "lon", "lat").filter(F.col("has_point")).count() == 1
+
+
+def test_rows_that_need_no_place_stay_out_of_the_join(spark):
+    """Filled rows and rows without a position are not joined, so they can't share a NULL key."""
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    areas = spark.createDataFrame([("A", square)], "area string, ring array<struct<lon:double,lat:double>>")
+    rows = [(i, 0.5 if i % 2 else None, 0.5, "B" if i % 10 else None) for i in range(100)]
+    points = spark.createDataFrame(rows, "id long, lon double, lat double, code string")
+    out = spatial.assign_area(points, areas, "area", "lon", "lat", 0.5, "code")
+    got = {r.id: r.code for r in out.collect()}
+    assert len(got) == 100 and got[1] == "B" and got[10] is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(code" in plan and "isnotnull(lon" in plan
+
+
+def test_distance_searches_cross_the_date_line(spark):
+    points = spark.createDataFrame([(1, 0.0, 179.95), (2, 0.0, -179.95), (3, 0.0, 170.0)], "id long, lat double, lon double")
+    assert {r.id for r in spatial.within_radius(points, "lat", "lon", 0.0, 179.99, 50.0).collect()} == {1, 2}
+    anchors = spark.createDataFrame([(9, 0.0, -179.99)], "id long, lat double, lon double")
+    assert {r.id for r in spatial.near(points, anchors, "lon", "lat", 20.0).collect()} == {1, 2}
+
+
+def test_geometry_of_a_ring_with_a_hole(spark):
+    outer = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    hole = [(0.5, 0.5), (0.5, 1.5), (1.5, 1.5), (1.5, 0.5), (0.5, 0.5)]
+    kind = "area string, ring array<array<struct<lon:double,lat:double>>>"
+    both = spatial.area_geometry(spark.createDataFrame([("A", [outer, hole])], kind)).first()
+    one = spatial.area_geometry(spark.createDataFrame([("A", [outer])], kind)).first()
+    less = spatial.area_geometry(spark.createDataFrame([("A", [hole])], kind)).first()
+    assert (both.centroid_lon, both.centroid_lat) == (1.0, 1.0)
+    assert abs(both.area_km2 - (one.area_km2 - less.area_km2)) < 0.01

@@ -8,7 +8,7 @@ from demarca.functions.measures import ordinal
 from demarca.operators import filters, joins, layers, ordered
 from demarca.plans import finance, health, incidence, indices
 from demarca.plans.establishments import pharmacy_by_prefix
-from demarca.sources import delimited, sinks
+from demarca.sources import delimited, registry, sinks
 from demarca.sources.lookups import lookup
 from workbench.kit import query, ratio
 from workbench.q_finance import LICENCES_SQL, TRACT_LICENCES_SQL, flagged, finance_rows, wide
@@ -431,6 +431,36 @@ def header_csv(t):
     return delimited.read_header_csv(t.spark, path, "ISO-8859-1", renames=renames)
 
 
+@query(
+    "state_files_read",
+    """SELECT CASE WHEN o_orderstatus = 'F' THEN '01' ELSE '02' END AS estado, CAST(o_orderkey AS VARCHAR) AS clave,
+      'a, "b"' || chr(10) || o_orderpriority AS nota, 'csv' AS formato FROM {orders}""",
+)
+def state_files(t):
+    """Two folders of files, the columns in different orders, quoted cells with line breaks, a tag from the files' names."""
+    root = scratch_folder(t.spark)
+    note = F.concat(F.lit('a, "b"\n'), "o_orderpriority").alias("nota")
+    key = F.col("o_orderkey").cast("string").alias("clave")
+    for state, keep, columns in (("01", F.lit(True), [key, note]), ("02", F.lit(False), [note, key])):
+        part = t.orders.filter((F.col("o_orderstatus") == "F") == keep).select(*columns)
+        part.write.options(header=True, escape='"').csv(f"{root}/{state}")
+    found = delimited.read_header_csv(t.spark, [f"{root}/01", f"{root}/02"], multi_line=True, tag={"formato": r"\.(\w+)$"})
+    paid = t.orders.filter(F.col("o_orderstatus") == "F").select(key).withColumn("estado", F.lit("01"))
+    state = F.coalesce("estado", F.lit("02")).alias("estado")
+    return found.join(paid, "clave", "left").select(state, "clave", "nota", "formato")
+
+
+@query(
+    "registry_json_read",
+    """SELECT CLEE AS clee, Id AS registro_id, RAMA_ACTIVIDAD_ID AS rama, Latitud AS latitud FROM {registry_export}""",
+)
+def registry_json(t):
+    path = f"{scratch_folder(t.spark)}/registry"
+    t.registry_export.write.json(path)
+    rows = registry.read_registry(t.spark, path, lines=True)
+    return rows.select(F.col("CLEE").alias("clee"), F.col("Id").alias("registro_id"), F.col("RAMA_ACTIVIDAD_ID").alias("rama"), F.col("Latitud").alias("latitud"))
+
+
 @query("positional_csv", "SELECT CAST(o_orderpriority AS VARCHAR) AS p, CAST(o_orderkey AS VARCHAR) AS k FROM {orders}")
 def positional_csv(t):
     return delimited.select_by_position(t.spark, _orders_csv(t), {"p": 4, "k": 1})

@@ -287,6 +287,31 @@ def kmeans_checked(t):
     )
 
 
+def _square(x, y, side, back=False):
+    ends = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    points = [F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in (ends[::-1] if back else ends)]
+    return F.array(*points)
+
+
+@query(
+    "points_in_multipart_areas",
+    """SELECT area, count(*) AS n, min(clee) AS first FROM (SELECT clee, CASE
+        WHEN longitud >= -99.5 AND longitud < -98.0 AND latitud >= 18.5 AND latitud < 20.0
+          AND NOT (longitud >= -99.0 AND longitud < -98.5 AND latitud >= 19.0 AND latitud < 19.5) THEN 'ring and island'
+        WHEN longitud >= -97.5 AND longitud < -97.25 AND latitud >= 18.5 AND latitud < 18.75 THEN 'ring and island'
+        WHEN longitud >= -99.0 AND longitud < -98.5 AND latitud >= 19.0 AND latitud < 19.5 THEN 'hole' END AS area FROM {shops})
+      WHERE area IS NOT NULL GROUP BY 1""",
+)
+def points_in_multipart_areas(t):
+    """One area with a hole and an island, and another one in the hole."""
+    one = t.shops.limit(1)
+    rings = F.array(_square(-99.5, 18.5, 1.5), _square(-99.0, 19.0, 0.5, back=True), _square(-97.5, 18.5, 0.25))
+    areas = one.select(F.lit("ring and island").alias("area"), rings.alias("ring"))
+    areas = areas.unionByName(one.select(F.lit("hole").alias("area"), F.array(_square(-99.0, 19.0, 0.5)).alias("ring")))
+    found = spatial.point_in_polygon(t.shops, areas, ["area"], "longitud", "latitud", 0.1)
+    return found.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.min("clee").alias("first"))
+
+
 RADIUS_POINTS = """SELECT l_orderkey AS k, l_linenumber AS line, CAST((l_partkey * 7919) % 720 AS DOUBLE) / 100 - 3.6 AS turn,
     CAST((l_orderkey * 6007) % 400 AS DOUBLE) / 100 - 2 AS lat FROM {lineitem}"""
 _DATE_LINE = f"""SELECT k, line, lat, CASE WHEN turn < 0 THEN 180 + turn ELSE turn - 180 END AS lon FROM ({RADIUS_POINTS})"""
