@@ -32,6 +32,7 @@ def _col(name: str) -> Callable[[], Column]:
     return lambda: F.col(name)
 
 
+# The published map layers and the table column behind each.
 LAYERS: dict[str, Layer] = {
     "pobreza_pct": Layer("muni", "poverty", "cve_mun", _col("pobreza_pct")),
     "pobreza_extrema_pct": Layer("muni", "poverty", "cve_mun", _col("pobreza_extrema_pct")),
@@ -210,7 +211,7 @@ def next_level(levels: list, current: str | int, down: bool) -> str | int:
 
 @dataclass(frozen=True)
 class Field:
-    """A measure of the explorer and the column that carries it in each dataset."""
+    """A measure of the explorer and the column that carries it in each dataset, the preferred dataset first."""
 
     ident: str
     kind: str
@@ -218,48 +219,115 @@ class Field:
     columns: dict[str, str]
 
 
-# Datasets, their grain, and the fields each carries.
+# Datasets and their grain.
 DATASETS = {
+    "treemap_by_state": "estado",
+    "municipality_panel": "muni",
+    "top_sectors": "nacional",
+    "crime_summary": "muni",
+    "mortality_summary": "muni",
     "municipality_wide": "muni",
-    "tract_wide": "ageb",
     "state_wide": "estado",
-    "neighbourhood_opportunity": "colonia",
+    "tract_wide": "ageb",
 }
+
+# The published fields in their order, with kind, grain and the column in each dataset.
+# Two have no dataset. The registry's own prefix is ``registro``.
 FIELDS = {
     f.ident: f
     for f in [
-        Field("censo.cve_mun", "categorical", "muni", {"municipality_wide": "cve_mun"}),
-        Field("censo.municipio", "categorical", "muni", {"municipality_wide": "municipio"}),
-        Field("censo.pobtot", "numeric_count", "muni", {"municipality_wide": "poblacion"}),
-        Field("censo.pea", "numeric_count", "muni", {"municipality_wide": "pea"}),
-        Field("censo.graproes", "numeric_rate", "muni", {"municipality_wide": "graproes"}),
+        Field(
+            "registro.total_establecimientos",
+            "numeric_count",
+            "muni",
+            {
+                "municipality_wide": "establecimientos",
+                "municipality_panel": "establecimientos",
+                "treemap_by_state": "establecimientos",
+                "top_sectors": "count",
+            },
+        ),
+        Field("registro.entidad_nombre", "categorical_nominal", "estado", {"treemap_by_state": "entidad", "state_wide": "nom_ent"}),
+        Field(
+            "registro.municipio_nombre",
+            "categorical_nominal",
+            "muni",
+            {
+                "municipality_wide": "municipio",
+                "municipality_panel": "municipio",
+                "crime_summary": "municipio",
+                "mortality_summary": "municipio",
+            },
+        ),
+        Field("registro.scian_sector", "categorical_nominal", "nacional", {"top_sectors": "name"}),
+        Field(
+            "censo.pobtot",
+            "numeric_count",
+            "muni",
+            {
+                "municipality_wide": "poblacion",
+                "municipality_panel": "poblacion",
+                "crime_summary": "poblacion",
+                "mortality_summary": "poblacion",
+            },
+        ),
+        Field("censo.cve_ageb", "categorical_nominal", "ageb", {"tract_wide": "cve_ageb"}),
+        Field("censo.pobtot_ageb", "numeric_count", "ageb", {"tract_wide": "pobtot_ageb"}),
         Field("censo.pct_pea", "numeric_pct", "muni", {"municipality_wide": "pct_pea"}),
-        Field("censo.sin_cobertura", "numeric_pct", "muni", {"municipality_wide": "pct_sin_cobertura_salud"}),
-        Field("registro.total", "numeric_count", "muni", {"municipality_wide": "establecimientos"}),
-        Field("registro.farmacias", "numeric_count", "muni", {"municipality_wide": "farmacias"}),
-        Field("salud.unidades", "numeric_count", "muni", {"municipality_wide": "unidades_salud"}),
-        Field("pobreza.pct", "numeric_pct", "muni", {"municipality_wide": "pobreza_pct"}),
-        Field("pobreza.extrema_pct", "numeric_pct", "muni", {"municipality_wide": "pobreza_extrema_pct"}),
-        Field("rezago.indice", "numeric_rate", "muni", {"municipality_wide": "irs_indice"}),
-        Field("rezago.grado", "categorical_ordinal", "muni", {"municipality_wide": "irs_grado"}),
-        Field("trafico.total", "numeric_count", "muni", {"municipality_wide": "tdpa_total"}),
-        Field("credito.monto", "numeric_count", "muni", {"municipality_wide": "credito_monto_total"}),
-        Field("vivienda.monto", "numeric_count", "muni", {"municipality_wide": "vivienda_monto_total"}),
-        Field("tramo.cvegeo", "categorical", "ageb", {"tract_wide": "cvegeo"}),
-        Field("tramo.pobtot", "numeric_count", "ageb", {"tract_wide": "pobtot_ageb"}),
-        Field("tramo.grado", "categorical_ordinal", "ageb", {"tract_wide": "grado_rezago_ageb"}),
-        Field("estado.cve_ent", "categorical", "estado", {"state_wide": "cve_ent"}),
-        Field("empleo.informalidad", "numeric_pct", "estado", {"state_wide": "tasa_informalidad"}),
-        Field("empleo.desocupacion", "numeric_pct", "estado", {"state_wide": "tasa_desocupacion"}),
-        Field("ingreso.mediana", "numeric_rate", "estado", {"state_wide": "ingreso_corriente_mediana"}),
-        Field("ingreso.alimentos", "numeric_pct", "estado", {"state_wide": "pct_gasto_alimentos"}),
+        Field("censo.graproes", "numeric_continuous", "muni", {"municipality_wide": "graproes"}),
+        Field("censo.pct_sin_cobertura_salud", "numeric_pct", "muni", {"municipality_wide": "pct_sin_cobertura_salud"}),
+        Field(
+            "coneval.pobreza_pct",
+            "numeric_pct",
+            "muni",
+            {
+                "municipality_wide": "pobreza_pct",
+                "municipality_panel": "pobreza_pct",
+                "treemap_by_state": "pobreza_pct_promedio",
+            },
+        ),
+        Field("coneval.pobreza_extrema_pct", "numeric_pct", "muni", {"municipality_wide": "pobreza_extrema_pct"}),
+        Field("coneval.carencia_acceso_salud_pct", "numeric_pct", "muni", {"municipality_wide": "carencia_acceso_salud_pct"}),
+        Field("coneval.irs_indice", "numeric_continuous", "muni", {"municipality_wide": "irs_indice", "municipality_panel": "irs_indice"}),
+        Field(
+            "coneval.irs_grado",
+            "categorical_ordinal",
+            "muni",
+            {"municipality_wide": "irs_grado", "municipality_panel": "irs_grado", "treemap_by_state": "modal_irs_grado"},
+        ),
+        Field("coneval.grado_rezago_ageb", "categorical_ordinal", "ageb", {"tract_wide": "grado_rezago_ageb"}),
+        Field("sesnsp.homicidio_doloso", "numeric_count", "muni", {"crime_summary": "homicidio_doloso"}),
+        Field("sesnsp.total_delitos", "numeric_count", "muni", {"crime_summary": "total_delitos"}),
+        Field("sesnsp.ano", "temporal", "muni", {}),
+        Field("edr.total_defunciones", "numeric_count", "muni", {"mortality_summary": "total_defunciones"}),
+        Field("edr.def_circulatorio", "numeric_count", "muni", {"mortality_summary": "def_circulatorio"}),
+        Field("edr.def_neoplasias", "numeric_count", "muni", {"mortality_summary": "def_neoplasias"}),
+        Field("clues.total", "numeric_count", "muni", {"municipality_wide": "unidades_salud", "municipality_panel": "unidades_clues"}),
+        Field("sinba.casos_dm2_promedio", "numeric_count", "muni", {"municipality_wide": "dm2_promedio"}),
+        Field("sinba.casos_hta_promedio", "numeric_count", "muni", {"municipality_wide": "hta_promedio"}),
+        Field("sinba.casos_obesidad_promedio", "numeric_count", "muni", {"municipality_wide": "obesidad_promedio"}),
+        Field("cofepris.total_licenciadas", "numeric_count", "muni", {"municipality_wide": "total_licenciadas"}),
+        Field("cofepris.con_estupefacientes", "numeric_count", "muni", {"municipality_wide": "con_estupefacientes"}),
+        Field("cofepris.con_controlados_ageb", "numeric_count", "ageb", {}),
+        Field("ce2024.ue", "numeric_count", "muni", {"municipality_wide": "economico_ue"}),
+        Field("ce2024.personal_ocupado", "numeric_count", "muni", {"municipality_wide": "economico_personal_ocupado"}),
+        Field("ce2024.valor_agregado", "numeric_continuous", "muni", {"municipality_wide": "economico_valor_agregado"}),
+        Field("enigh.ingreso_p50", "numeric_continuous", "estado", {"state_wide": "ingreso_corriente_mediana"}),
+        Field("enigh.engel_coefficient", "numeric_pct", "estado", {"state_wide": "pct_gasto_alimentos"}),
+        Field("enoe.pct_informal", "numeric_pct", "estado", {"state_wide": "tasa_informalidad"}),
+        Field("enoe.tasa_desocupacion", "numeric_pct", "estado", {"state_wide": "tasa_desocupacion"}),
+        Field("sict.tdpa_total", "numeric_count", "muni", {"municipality_wide": "tdpa_total"}),
+        Field("sedatu.monto_total", "numeric_continuous", "muni", {"municipality_wide": "vivienda_monto_total"}),
+        Field("sedatu.acciones_total", "numeric_count", "muni", {"municipality_wide": "vivienda_acciones_total"}),
+        Field("cnbv.monto_total", "numeric_continuous", "muni", {"municipality_wide": "credito_monto_total"}),
+        Field("cnbv.pct_femenino", "numeric_pct", "muni", {"municipality_wide": "credito_pct_femenino"}),
     ]
 }
 
 
 def pick_dataset(fields: list[str]) -> str:
-    """The dataset that carries all the chosen fields."""
-    for name in DATASETS:
+    """The first dataset of the first field that carries all the chosen fields."""
+    for name in FIELDS[fields[0]].columns:
         if all(name in FIELDS[f].columns for f in fields):
             return name
     raise ValueError("no dataset carries all of these fields")

@@ -116,3 +116,13 @@ def test_haversine_and_box(spark):
     assert abs(km - 461.2) < 1.5
     dlon, dlat = geo.degrees_around(19.4, 10)
     assert math.isclose(dlat, math.degrees(10 / geo.EARTH_KM)) and dlon > dlat
+
+
+def test_folding_keeps_letters_outside_latin_1(spark):
+    assert values(spark, text.fold_text, ["1ª Sección", "Łódź", "Nº 5", None]) == ["1A SECCION", "ODZ", "NO 5", ""]
+
+
+def test_compact_label_of_infinity(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (1234.0,)], "v double")
+    got = [r[0] for r in df.select(text.compact_number(F.col("v"))).collect()]
+    assert got == ["—", "—", "—", "1.2k"]

@@ -120,20 +120,26 @@ def test_drill_steps():
     assert layers.next_level(layers.GEO_LEVELS, "municipality", True) == "tract"
     assert layers.next_level(layers.GEO_LEVELS, "tract", True) == "tract"
     assert layers.next_level(layers.ACTIVITY_LEVELS, 2, False) == 2
-    assert layers.pick_dataset(["tramo.pobtot", "tramo.grado"]) == "tract_wide"
+    assert layers.pick_dataset(["censo.pobtot_ageb", "coneval.grado_rezago_ageb"]) == "tract_wide"
     with pytest.raises(ValueError):
-        layers.pick_dataset(["tramo.pobtot", "censo.pobtot"])
+        layers.pick_dataset(["censo.pobtot_ageb", "censo.pobtot"])
+    assert layers.pick_dataset(["registro.municipio_nombre", "sesnsp.homicidio_doloso"]) == "crime_summary"
+    assert layers.pick_dataset(["registro.entidad_nombre", "coneval.pobreza_pct"]) == "treemap_by_state"
+    carried = {d for f in layers.FIELDS.values() for d in f.columns}
+    assert carried == set(layers.DATASETS)
 
 
 def test_explorer_drops_rows_without_population(spark):
     df = spark.createDataFrame(
         [("01001", 100, 5, "Alto"), ("01002", None, 7, "Bajo"), (" ", 10, 1, "Bajo"), ("01003", 50, 1, "sin_dato")],
-        "cve_mun string, poblacion long, establecimientos long, irs_grado string",
+        "municipio string, poblacion long, establecimientos long, irs_grado string",
     )
     data = {"municipality_wide": df}
-    rates = layers.explorer_rows(data, "censo.cve_mun", "registro.total", "rezago.grado", per_1000=True)
+    rates = layers.explorer_rows(
+        data, "registro.municipio_nombre", "registro.total_establecimientos", "coneval.irs_grado", per_1000=True
+    )
     assert rows(rates) == [("01001", 50.0, 3.0), ("01003", 20.0, None)]
-    counts = layers.explorer_rows(data, "censo.cve_mun", "censo.pobtot", per_1000=True, pins=["01001", "01002"])
+    counts = layers.explorer_rows(data, "registro.municipio_nombre", "censo.pobtot", per_1000=True, pins=["01001", "01002"])
     assert rows(counts) == [("01001", 100.0, None)]
 
 
@@ -177,3 +183,28 @@ def test_weighted_ratio(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 1, 3), ("b", 5, 0)], "k string, n long, d long")
     got = df.groupBy("k").agg(aggregate.weighted_ratio(F.col("n"), F.col("d")).cast("string").alias("r"))
     assert rows(got) == [("a", "33.33"), ("b", None)]
+
+
+def test_infinite_values_have_no_class(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)] + [(10, float("inf")), (11, float("nan")), (12, None)], "id int, v double")
+    got = {r.id: r.b for r in layers.quantile_bins(df, "v", 3, "b").collect()}
+    assert [got[i] for i in range(9)] == [0] * 3 + [1] * 3 + [2] * 3 and got[10] is got[11] is got[12] is None
+
+
+def test_profile_of_small_values_numeric_text_and_one_row(spark):
+    df = spark.createDataFrame([(1e-5, "3", "x", 1), (3e-5, " 4 ", "5", None)], "a double, b string, c string, d int")
+    got = {r.column: (r.min, r.max, r.mean) for r in quality.profile(df).collect()}
+    assert got == {"a": (1e-5, 3e-5, pytest.approx(2e-5)), "b": (3.0, 4.0, 3.5)}
+    assert quality.profile(df.limit(1)).count() == 3
+
+
+def test_every_role_keeps_the_rows_of_its_table(spark, small):
+    """Roles on customers and orders lose none, at any number of suppliers."""
+    from workbench.kit import Tables
+
+    t = Tables(spark, small)
+    for name in ("shops", "licences", "geo_targets", "clinics"):
+        assert getattr(t, name).count() == t.customer.count(), name
+    for name in ("crime_long", "finance_raw", "morbidity_raw", "movements"):
+        assert getattr(t, name).count() == t.orders.count(), name
+    assert getattr(t, "shops").select("area_geo").distinct().count() == t.units.count()

@@ -258,13 +258,13 @@ def drilled(t):
 
 @query(
     "explorer_rates_by_grade",
-    """SELECT m.cve_mun AS x, CAST(d.n AS DOUBLE) * 1000 / m.pobtot AS y, CAST(CASE i.irs_grado WHEN 'Muy bajo' THEN 0 WHEN 'Bajo' THEN 1 WHEN 'Medio' THEN 2
+    """SELECT m.nom_mun AS x, CAST(d.n AS DOUBLE) * 1000 / m.pobtot AS y, CAST(CASE i.irs_grado WHEN 'Muy bajo' THEN 0 WHEN 'Bajo' THEN 1 WHEN 'Medio' THEN 2
       WHEN 'Alto' THEN 3 WHEN 'Muy alto' THEN 4 END AS DOUBLE) AS z FROM {census_municipal} m JOIN (SELECT area_geo, count(*) AS n FROM {registry} GROUP BY 1) d
       ON d.area_geo = m.cve_mun LEFT JOIN {lag} i ON i.cve_mun = m.cve_mun WHERE m.pobtot > 0""",
 )
 def explorer(t):
     return layers.explorer_rows(
-        {"municipality_wide": wide(t)}, "censo.cve_mun", "registro.total", "rezago.grado", per_1000=True
+        {"municipality_wide": wide(t)}, "registro.municipio_nombre", "registro.total_establecimientos", "coneval.irs_grado", per_1000=True
     )
 
 
