@@ -12,9 +12,12 @@ import json
 import os
 import time
 
+from demarca.plans.details import municipality_wide_from
 from demarca.session import build_session
 from demarca.sources.summaries import build_summaries, summary_or_live
 from workbench.catalogue import QUERIES
+from workbench.kit import Tables
+from workbench.q_finance import wide_sources
 from workbench.scratch import scratch_folder
 
 HEADLINE = [
@@ -83,6 +86,15 @@ def main() -> None:
         times[f"{name}_stored_read"] = timed(
             lambda: run(summary_or_live(spark, f"{root}/{name}", builders[name]))
         )
+    sources = wide_sources(Tables(spark, sf))
+    keep = {n: (lambda df: lambda: df)(df) for n, df in sources.items()}
+    times["refresh_wide_sources"] = timed(lambda: build_summaries(keep, f"{root}/wide", list(keep)))
+
+    def stored_wide():
+        return municipality_wide_from({n: spark.read.parquet(f"{root}/wide/{n}") for n in keep})
+
+    run(stored_wide())
+    times["municipality_wide_stored_read"] = timed(lambda: run(stored_wide()))
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()

@@ -9,7 +9,6 @@ from demarca.functions.keys import at_grain
 from demarca.functions.measures import ratio_positive
 from demarca.operators.aggregate import agg_where, count_by
 from demarca.operators.joins import enrich
-from demarca.operators.ordered import latest_per_key
 from demarca.operators.reshape import any_known, nest
 from demarca.plans.census import CENSUS_GROUPS, economic_totals
 from demarca.plans.finance import MODALITY_SHARES, TIER_SHARES
@@ -36,19 +35,50 @@ def municipality_wide(
     pharmacy: Column,
     state: str | None = None,
 ) -> DataFrame:
-    """One row per municipality with measures of ten sources on the census spine.
+    """One row per municipality with measures of ten sources on the census spine."""
+    sources = municipality_sources(
+        census, registry, clinics, poverty, lag, economic, morbidity, licences, traffic, credit, housing, pharmacy, state
+    )
+    return municipality_wide_from(sources)
+
 
-    Every source is one row per municipality before it is joined; those with several
-    periods give their latest (a missing period counts as latest, as in the published
-    result).
+def municipality_wide_from(sources: dict[str, DataFrame]) -> DataFrame:
+    """The wide row from ``municipality_sources``, live or stored."""
+    spine, *measures = sources.values()
+    return enrich(spine, measures, "cve_mun").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("establecimientos", "farmacias", "unidades_salud")}
+    )
+
+
+def municipality_sources(
+    census: DataFrame,
+    registry: DataFrame,
+    clinics: DataFrame,
+    poverty: DataFrame,
+    lag: DataFrame,
+    economic: DataFrame,
+    morbidity: DataFrame,
+    licences: DataFrame,
+    traffic: DataFrame,
+    credit: DataFrame,
+    housing: DataFrame,
+    pharmacy: Column,
+    state: str | None = None,
+) -> dict[str, DataFrame]:
+    """The census spine, then ten sources with one row per municipality each, by name.
+
+    Sources with several periods give their latest (a missing period counts as latest, as
+    in the published result). Each is small enough to be stored and joined many times.
     """
     rows = _in_state(registry.withColumnRenamed("area_geo", "cve_mun").filter(F.col("cve_mun").isNotNull()), "cve_mun", state)
     counts = agg_where(rows, ["cve_mun"], {"establecimientos": (None, None), "farmacias": (pharmacy, None)})
     units = count_by(_in_state(clinics, "cve_mun", state), ["cve_mun"], "unidades_salud")
 
     def latest(df: DataFrame, period: str, columns: dict[str, str]) -> DataFrame:
-        newest = latest_per_key(_in_state(df, "cve_mun", state), ["cve_mun"], [F.desc_nulls_first(period)])
-        return newest.select("cve_mun", *[F.col(c).alias(n) for n, c in columns.items()])
+        values = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+        order = F.struct(F.col(period).isNull().alias("open"), F.col(period).alias("period"))
+        newest = _in_state(df, "cve_mun", state).groupBy("cve_mun").agg(F.max_by(values, order).alias("_newest"))
+        return newest.select("cve_mun", *[F.col(f"_newest.{n}") for n in columns])
 
     people, adults = F.col("pobtot"), F.col("p_15ymas")
     spine = _in_state(census, "cve_mun", state).select(
@@ -71,27 +101,23 @@ def municipality_wide(
         "hta_promedio": "casos_hta_promedio",
         "obesidad_promedio": "casos_obesidad_promedio",
     }
-    out = enrich(
-        spine,
-        [
-            counts,
-            units,
-            poverty.select("cve_mun", "pobreza_pct", "pobreza_extrema_pct", "carencia_acceso_salud_pct"),
-            lag.select("cve_mun", "irs_indice", "irs_grado"),
-            totals,
-            latest(morbidity, "anio", disease),
-            licences.select("cve_mun", "total_licenciadas", "con_estupefacientes"),
-            traffic.select("cve_mun", "tdpa_total"),
-            latest(credit, "periodo", {"credito_monto_total": "monto_total", "credito_pct_femenino": "pct_femenino"}),
-            latest(
-                housing, "periodo", {"vivienda_monto_total": "monto_total", "vivienda_acciones_total": "acciones_total"}
-            ),
-        ],
-        "cve_mun",
-    )
-    return out.withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in ("establecimientos", "farmacias", "unidades_salud")}
-    )
+    return {
+        "spine": spine,
+        "registry": counts,
+        "clinics": units,
+        "poverty": poverty.select("cve_mun", "pobreza_pct", "pobreza_extrema_pct", "carencia_acceso_salud_pct"),
+        "lag": lag.select("cve_mun", "irs_indice", "irs_grado"),
+        "economic": totals,
+        "morbidity": latest(morbidity, "anio", disease),
+        "licences": licences.select("cve_mun", "total_licenciadas", "con_estupefacientes"),
+        "traffic": traffic.select("cve_mun", "tdpa_total"),
+        "credit": latest(
+            credit, "periodo", {"credito_monto_total": "monto_total", "credito_pct_femenino": "pct_femenino"}
+        ),
+        "housing": latest(
+            housing, "periodo", {"vivienda_monto_total": "monto_total", "vivienda_acciones_total": "acciones_total"}
+        ),
+    }
 
 
 def _prefixed(df: DataFrame, key: str, prefix: str, columns: list[str]) -> DataFrame:

@@ -72,6 +72,11 @@ def _keys(grain: str) -> list[str]:
     return ["cve_mun", "cve_ent"] if grain == "municipality" else ["cve_ent"]
 
 
+def finance_totals(rows: DataFrame, grain: str) -> DataFrame:
+    """Totals and shares of the measures that both kinds of finance have, without leading categories."""
+    return rows.groupBy(*_keys(grain)).agg(*_measures())
+
+
 def housing_finance(rows: DataFrame, bodies: DataFrame, grain: str) -> DataFrame:
     """Totals, shares by modality, sex, credit type and dwelling tier, and the leading body."""
     keys = _keys(grain)

@@ -8,8 +8,10 @@ from demarca.operators import quality
 from demarca.plans import census, details, finance, health, traffic
 from demarca.plans.establishments import pharmacy_by_prefix
 from demarca.sources.lookups import BANKS, BODIES, lookup
+from demarca.sources.summaries import build_summaries
 from workbench.kit import big, dbl, query, ratio
 from workbench.roles import CELL, rings
+from workbench.scratch import scratch_folder
 
 CODES = "ano mes organismo modalidad tipo sexo vivienda_valor poblacion_indigena linea_credito esquema".split()
 BODIES_SQL = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in BODIES.items()) + ") bod(code, nombre)"
@@ -388,10 +390,10 @@ def inclusion_state(t):
     return census.inclusion_state(t.inclusion_state_raw)
 
 
-def wide(t, state=None):
+def wide_sources(t, state=None):
     muni = "municipality"
-    rows = finance_rows(t, muni)
-    return details.municipality_wide(
+    totals = finance.finance_totals(finance_rows(t, muni), muni)
+    return details.municipality_sources(
         t.census_municipal,
         t.registry,
         t.clinics,
@@ -401,15 +403,18 @@ def wide(t, state=None):
         t.morbidity,
         health.licences_by_municipality(flagged(t)),
         traffic.traffic(placed(t), muni),
-        finance.commercial_credit(rows, lookup(t.spark, "banks"), muni),
-        finance.housing_finance(rows, lookup(t.spark, "bodies"), muni),
+        totals,
+        totals,
         pharmacy_by_prefix("4641"),
         state,
     )
 
 
-@query(
-    "municipality_wide",
+def wide(t, state=None):
+    return details.municipality_wide_from(wide_sources(t, state))
+
+
+WIDE_SQL = (
     f"""WITH d AS (SELECT area_geo AS cve_mun, count(*) AS n, count(*) FILTER (WHERE clase_actividad_id LIKE '4641%') AS f FROM {{registry}} GROUP BY 1),
     c AS (SELECT cve_mun, count(*) AS n FROM {{clinics}} GROUP BY 1),
     s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_mun ORDER BY anio DESC) AS rn FROM {{morbidity}}) WHERE rn = 1),
@@ -428,12 +433,23 @@ def wide(t, state=None):
     FROM {{census_municipal}} m LEFT JOIN d ON d.cve_mun = m.cve_mun LEFT JOIN c ON c.cve_mun = m.cve_mun LEFT JOIN {{poverty}} p ON p.cve_mun = m.cve_mun
       LEFT JOIN {{lag}} i ON i.cve_mun = m.cve_mun LEFT JOIN (SELECT * FROM ({ECONOMIC_SQL}) WHERE sector IS NULL AND id_estrato IS NULL) ec ON ec.cve_mun = m.cve_mun
       LEFT JOIN s ON s.cve_mun = m.cve_mun LEFT JOIN ({LICENCES_SQL}) li ON li.cve_mun = m.cve_mun LEFT JOIN tr ON tr.cve_mun = m.cve_mun
-      LEFT JOIN fin ON fin.cve_mun = m.cve_mun""",
+      LEFT JOIN fin ON fin.cve_mun = m.cve_mun"""
 )
+
+
+@query("municipality_wide", WIDE_SQL)
 def municipality_wide(t):
     return wide(t)
 
 
+@query("municipality_wide_stored", WIDE_SQL)
+def municipality_wide_stored(t):
+    """The same rows, from stored one-row-per-municipality sources."""
+    root, sources = scratch_folder(t.spark), wide_sources(t)
+    build_summaries({n: (lambda df: lambda: df)(df) for n, df in sources.items()}, root, list(sources))
+    return details.municipality_wide_from({n: t.spark.read.parquet(f"{root}/{n}") for n in sources})
+
+
 def municipality_flat(t):
     muni = "municipality"
     rows = finance_rows(t, muni)
