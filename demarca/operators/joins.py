@@ -1,8 +1,8 @@
 """Joins of units with their measures.
 
-Measure tables come in at one row per unit, aggregated before the join. Only
-fixed lookup tables carry a broadcast hint; for everything else the engine picks
-broadcast or shuffle from measured sizes and splits skewed partitions.
+Measure tables come in at one row per unit, aggregated before the join. No join
+carries a hint: the engine picks broadcast or shuffle from measured sizes and
+splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def with_label(
     df: DataFrame, lookup: DataFrame, code: str, label: str, name: str, missing: Column | None = None
 ) -> DataFrame:
     """Name of a code from a fixed lookup (columns ``code``, ``label``)."""
-    names = F.broadcast(lookup.select(F.col("code").alias(code), F.col(label).alias(name)))
+    names = lookup.select(F.col("code").alias(code), F.col(label).alias(name))
     out = df.join(names, code, "left")
     return out if missing is None else out.withColumn(name, F.coalesce(F.col(name), missing))
 

@@ -160,15 +160,15 @@ def official(totals: DataFrame) -> DataFrame:
 
 def coverage_report(registry: DataFrame, totals: DataFrame) -> DataFrame:
     """Coverage of every state against the authoritative totals."""
-    return coverage_status(registry_coverage(registry), F.broadcast(official(totals)), "entidad")
+    return coverage_status(registry_coverage(registry), official(totals), "entidad")
 
 
 def state_list(registry: DataFrame, states: DataFrame, totals: DataFrame) -> DataFrame:
     """All 32 states, loaded or not, with their coverage status."""
     loaded = count_by(registry, ["entidad"], "loaded")
-    spine = F.broadcast(states).withColumnsRenamed({"code": "entidad"})
+    spine = states.withColumnsRenamed({"code": "entidad"})
     known = spine.join(loaded, "entidad", "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
-    return coverage_status(known, F.broadcast(official(totals)), "entidad").drop("coverage_pct")
+    return coverage_status(known, official(totals), "entidad").drop("coverage_pct")
 
 
 def state_summary(registry: DataFrame, totals: DataFrame, state: str, top: int | None = None) -> dict[str, DataFrame]:

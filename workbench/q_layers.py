@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demarca.functions.measures import ordinal
-from demarca.operators import filters, joins, layers, ordered
-from demarca.plans import finance, health, incidence, indices
+from demarca.operators import aggregate, filters, joins, layers, ordered
+from demarca.plans import finance, health, incidence, indices, traffic
 from demarca.plans.establishments import pharmacy_by_prefix
 from demarca.sources import delimited, registry, sinks
-from demarca.sources.lookups import lookup
+from demarca.sources.lookups import AIRPORTS, DESTINATIONS, MODALITIES, TIERS, lookup
 from workbench.kit import query, ratio
-from workbench.q_finance import LICENCES_SQL, TRACT_LICENCES_SQL, flagged, finance_rows, wide
+from workbench.q_finance import LICENCES_SQL, PLACED_SQL, TRACT_LICENCES_SQL, _rows_sql, flagged, finance_rows, placed, wide
 from workbench.q_incidence import DEATHS_SQL
 from workbench.scratch import scratch_folder
 
@@ -119,6 +119,8 @@ def muni_tables(t):
         "licences_municipal": health.licences_by_municipality(flagged(t)),
         "morbidity": t.morbidity,
         "housing_municipal": finance.housing_finance(rows, lookup(t.spark, "bodies"), "municipality"),
+        "credit_municipal": finance.commercial_credit(rows, lookup(t.spark, "banks"), "municipality"),
+        "traffic_municipal": traffic.traffic(placed(t), "municipality"),
     }
 
 
@@ -170,6 +172,87 @@ def layers_tracts(t):
     return layers.layer_values(tables, "ageb", names)
 
 
+OTHER_LAYERS = [
+    "pobreza_pct",
+    "pobreza_extrema_pct",
+    "irs_indice",
+    "homicidio_doloso_year",
+    "farmacias_licenciadas",
+    "monto_credito_comercial",
+    "pct_femenino_credito",
+    "monto_subsidiado_vivienda",
+    "acciones_vivienda_total",
+    "tdpa_total",
+]
+
+
+@query(
+    "layers_of_all_other_sources",
+    f"""WITH k AS (SELECT DISTINCT cve_mun AS k FROM {{census_municipal}}),
+    h AS (SELECT cve_mun, avg(n) AS v FROM (SELECT cve_mun, ano, CAST(coalesce(sum(count) FILTER (WHERE subtipo_delito = 'Homicidio doloso'), 0) AS DOUBLE) AS n
+      FROM {{crime_long}} WHERE length(cve_mun) = 5 AND ano < 2001 AND right(cve_mun, 3) NOT IN ('998', '999') GROUP BY 1, 2) GROUP BY 1),
+    r AS ({_rows_sql("municipality")}),
+    fin AS (SELECT cve_mun, sum(monto) AS monto, sum(acciones) AS acciones,
+      {ratio("coalesce(sum(acciones) FILTER (WHERE sexo = 2), 0)", "sum(acciones) FILTER (WHERE sexo IS NOT NULL)", 100)} AS fem FROM r GROUP BY 1),
+    tr AS (SELECT cve_mun, sum(tdpa) AS tdpa FROM ({PLACED_SQL}) WHERE cve_mun IS NOT NULL GROUP BY 1),
+    x AS (SELECT k.k, CAST(p.pobreza_pct AS DOUBLE) AS pobreza_pct, CAST(p.pobreza_extrema_pct AS DOUBLE) AS pobreza_extrema_pct,
+      CAST(i.irs_indice AS DOUBLE) AS irs_indice, round(h.v, 6) AS homicidio_doloso_year, CAST(l.total_licenciadas AS DOUBLE) AS farmacias_licenciadas,
+      CAST(fin.monto AS DOUBLE) AS monto_credito_comercial, fin.fem AS pct_femenino_credito, CAST(fin.monto AS DOUBLE) AS monto_subsidiado_vivienda,
+      CAST(fin.acciones AS DOUBLE) AS acciones_vivienda_total, CAST(tr.tdpa AS DOUBLE) AS tdpa_total
+      FROM k LEFT JOIN {{poverty}} p ON p.cve_mun = k.k LEFT JOIN {{lag}} i ON i.cve_mun = k.k LEFT JOIN h ON h.cve_mun = k.k
+        LEFT JOIN ({LICENCES_SQL}) l ON l.cve_mun = k.k LEFT JOIN fin ON fin.cve_mun = k.k LEFT JOIN tr ON tr.cve_mun = k.k)
+    SELECT * FROM x WHERE coalesce({", ".join(OTHER_LAYERS)}) IS NOT NULL""",
+)
+def layers_others(t):
+    out = layers.layer_values(muni_tables(t), "muni", OTHER_LAYERS, as_of=2001)
+    return out.withColumn("homicidio_doloso_year", F.round("homicidio_doloso_year", 6))
+
+
+@query("layer_of_tract_population", "SELECT cvegeo AS k, CAST(pobtot AS DOUBLE) AS pobtot_ageb FROM {tract_census} WHERE pobtot IS NOT NULL")
+def layer_tract_population(t):
+    return layers.layer_values({"tract_areas": t.tract_boxes, "census_tract": t.tract_census}, "ageb", ["pobtot_ageb"])
+
+
+def _names(table: dict) -> str:
+    return "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in table.items()) + ")"
+
+
+@query(
+    "finance_by_named_categories",
+    f"""SELECT m.nombre AS modalidad, d.nombre AS destino, v.nombre AS valor, CAST(sum(acciones) AS BIGINT) AS acciones FROM ({_rows_sql("state")}) r
+      LEFT JOIN {_names(MODALITIES)} m(code, nombre) ON m.code = r.modalidad LEFT JOIN {_names(DESTINATIONS)} d(code, nombre) ON d.code = r.organismo
+      LEFT JOIN {_names(TIERS)} v(code, nombre) ON v.code = r.vivienda_valor GROUP BY ALL""",
+)
+def named_categories(t):
+    rows = finance_rows(t, "state").withColumnRenamed("organismo", "destino")
+    rows = rows.groupBy("modalidad", "destino", "vivienda_valor").agg(F.sum("acciones").alias("acciones"))
+    for code, table, name in (("modalidad", "modalities", "m"), ("destino", "destinations", "d"), ("vivienda_valor", "tiers", "v")):
+        rows = joins.with_label(rows, lookup(t.spark, table), code, "nombre", name)
+    named = rows.groupBy(F.col("m").alias("modalidad"), F.col("d").alias("destino"), F.col("v").alias("valor"))
+    return named.agg(F.sum("acciones").cast("long").alias("acciones"))
+
+
+@query(
+    "airports_with_registry",
+    """SELECT a.airport_name, a.cve_mun, count(r.clee) AS n FROM (VALUES """
+    + ", ".join(f"('{k}', '{v}')" for k, v in AIRPORTS.items())
+    + """) a(airport_name, cve_mun) LEFT JOIN {registry} r ON r.area_geo = a.cve_mun GROUP BY 1, 2""",
+)
+def airports_with_registry(t):
+    counts = t.registry.groupBy(F.col("area_geo").alias("cve_mun")).agg(F.count(F.lit(1)).alias("n"))
+    joined = lookup(t.spark, "airports").join(counts, "cve_mun", "left")
+    return joined.select("airport_name", "cve_mun", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    "weighted_ratio_by_group",
+    f"""SELECT g, {ratio("sum(w) FILTER (WHERE v > 5000)", "sum(w)", 100)} AS pct FROM {{survey_points}} GROUP BY 1""",
+)
+def weighted_ratio_by_group(t):
+    large = F.when(F.col("v") > 5000, F.col("w")).otherwise(0)
+    return t.survey_points.groupBy("g").agg(aggregate.weighted_ratio(large, F.col("w")).alias("pct"))
+
+
 @query(
     "per_thousand_of_counts",
     """SELECT cve_mun, pea * 1000.0::DOUBLE / pobtot AS pea, CAST(pct AS DOUBLE) AS pct, pobtot FROM (SELECT cve_mun, CAST(pea AS DOUBLE) AS pea, graproes AS pct, pobtot
