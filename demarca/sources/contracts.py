@@ -1,7 +1,7 @@
 """Column lists of the published files the readers accept.
 
-Every column arrives as text. The lists state the file formats and must match
-them exactly, in this order.
+Every column arrives as text. The lists state the file formats, in file order. Those of
+the inclusion files name the measures only.
 """
 
 from __future__ import annotations
@@ -11,19 +11,6 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
-_INSTITUTIONS = _words("bm bd socap sofipo total")
-
-
-def _by_institution(*stems: str) -> list[str]:
-    return [f"{stem}_{who}" for stem in stems for who in _INSTITUTIONS]
-
-
-_TERMINALS = _words(
-    "tpv_bm tpv_bd tpv_socap tpv_sofipo tpv_total_eacp tpv_agregadores tpv_adq_no_banc tpv_total_ag_adq tpv_total"
-)
-_ACCESS = [*_by_institution("sucursales"), "corresponsales_max", *_by_institution("cajeros"), *_TERMINALS]
-_GENDER = [f"{c}_{g}" for c in _by_institution("g_cuentas", "g_creditos") for g in ("m", "h", "b")]
-
 REGISTRY = _words(
     """CLEE Id Nombre Razon_social Clase_actividad Estrato Tipo_vialidad Calle Num_Exterior Num_Interior Colonia CP
     Ubicacion Telefono Correo_e Sitio_internet Tipo Longitud Latitud tipo_corredor_industrial nom_corredor_industrial
@@ -83,14 +70,12 @@ INCOME_SURVEY = _words(
 )
 #: 1-based positions in the labour survey file; names changed within a year, positions did not.
 LABOUR_POSITIONS = {"ent": 11, "eda": 25, "fac_tri": 53, "clase1": 55, "clase2": 56, "ingocup": 97, "emp_ppal": 107}
-POVERTY = _words("clave_entidad entidad_federativa clave_municipio municipio poblacion") + [
-    f"{stem}{end}"
-    for stem in _words(
-        "pobreza pobreza_e pobreza_m vul_car vul_ing npnv ic_rezedu ic_asalud ic_segsoc ic_cv ic_sbv ic_ali carencias "
-        "carencias3 plp plp_e"
-    )
-    for end in ("", "_pob")
-]
+POVERTY = _words(
+    """clave_entidad entidad_federativa clave_municipio municipio poblacion pobreza pobreza_pob pobreza_e
+    pobreza_e_pob pobreza_m pobreza_m_pob vul_car vul_car_pob vul_ing vul_ing_pob npnv npnv_pob ic_rezedu
+    ic_rezedu_pob ic_asalud ic_asalud_pob ic_segsoc ic_segsoc_pob ic_cv ic_cv_pob ic_sbv ic_sbv_pob ic_ali
+    ic_ali_pob carencias carencias_pob carencias3 carencias3_pob plp plp_pob plp_e plp_e_pob"""
+)
 SOCIAL_LAG = _words(
     """cve_ent entidad cve_mun_local municipio pob_total analfabeta_15ymas no_asisten_6a14 edu_basica_incompleta_15ymas
     sin_derechohab_salud piso_tierra sin_excusado sin_agua sin_drenaje sin_electricidad sin_lavadora sin_refrigerador
@@ -122,27 +107,30 @@ COMMERCIAL_CREDIT = _words(
     """ano mes cve_ent entidad cve_mun municipio modalidad linea_credito esquema intermediario_financiero sexo edad_rango
     ingresos_rango vivienda_valor poblacion_indigena zona monto acciones"""
 )
-INCLUSION_MUNICIPAL_NUMBERS = [
-    *_words("poblacion_total poblacion_adulta"),
-    *_ACCESS,
-    "puntos_acceso_sca",
-    *_by_institution("cuentas", "creditos", "tx_tpv"),
-    *_words("remesas_mdd remesas_per_capita"),
-    *_GENDER,
-]
-INCLUSION_STATE_NUMBERS = [
-    *_words("poblacion_total poblacion_adulta"),
-    *_ACCESS,
-    *_by_institution("cuentas", "creditos"),
-    *_words("sar_asignado sar_registrado sar_total"),
-    *[f"seg_{k}" for k in _words("vida pensiones accidentes danos_sin_autos automoviles total")],
-    *_by_institution("tx_tpv"),
-    *_words("remesas_mdd condusef_ubicacion condusef_reclamaciones"),
-    *[f"ac_inf_{k}" for k in _words("sucursales corresponsales cajeros tpv total_ag_adq")],
-    *[
-        f"ac_pf_{k}"
-        for k in _words("captacion credito afore vida pensiones accidentes danos_sin_autos automoviles")
-    ],
-    *[f"ac_mp_{k}" for k in _words("tx_tpv remesas ubicacion reclamaciones")],
-]
+#: Measures of the inclusion files; key and label columns stand before them.
+INCLUSION_MUNICIPAL_NUMBERS = _words(
+    """poblacion_total poblacion_adulta sucursales_bm sucursales_bd sucursales_socap sucursales_sofipo
+    sucursales_total corresponsales_max cajeros_bm cajeros_bd cajeros_socap cajeros_sofipo cajeros_total tpv_bm
+    tpv_bd tpv_socap tpv_sofipo tpv_total_eacp tpv_agregadores tpv_adq_no_banc tpv_total_ag_adq tpv_total
+    puntos_acceso_sca cuentas_bm cuentas_bd cuentas_socap cuentas_sofipo cuentas_total creditos_bm creditos_bd
+    creditos_socap creditos_sofipo creditos_total tx_tpv_bm tx_tpv_bd tx_tpv_socap tx_tpv_sofipo tx_tpv_total
+    remesas_mdd remesas_per_capita g_cuentas_bm_m g_cuentas_bm_h g_cuentas_bm_b g_cuentas_bd_m g_cuentas_bd_h
+    g_cuentas_bd_b g_cuentas_socap_m g_cuentas_socap_h g_cuentas_socap_b g_cuentas_sofipo_m g_cuentas_sofipo_h
+    g_cuentas_sofipo_b g_cuentas_total_m g_cuentas_total_h g_cuentas_total_b g_creditos_bm_m g_creditos_bm_h
+    g_creditos_bm_b g_creditos_bd_m g_creditos_bd_h g_creditos_bd_b g_creditos_socap_m g_creditos_socap_h
+    g_creditos_socap_b g_creditos_sofipo_m g_creditos_sofipo_h g_creditos_sofipo_b g_creditos_total_m
+    g_creditos_total_h g_creditos_total_b"""
+)
+INCLUSION_STATE_NUMBERS = _words(
+    """poblacion_total poblacion_adulta sucursales_bm sucursales_bd sucursales_socap sucursales_sofipo
+    sucursales_total corresponsales_max cajeros_bm cajeros_bd cajeros_socap cajeros_sofipo cajeros_total tpv_bm
+    tpv_bd tpv_socap tpv_sofipo tpv_total_eacp tpv_agregadores tpv_adq_no_banc tpv_total_ag_adq tpv_total
+    cuentas_bm cuentas_bd cuentas_socap cuentas_sofipo cuentas_total creditos_bm creditos_bd creditos_socap
+    creditos_sofipo creditos_total sar_asignado sar_registrado sar_total seg_vida seg_pensiones seg_accidentes
+    seg_danos_sin_autos seg_automoviles seg_total tx_tpv_bm tx_tpv_bd tx_tpv_socap tx_tpv_sofipo tx_tpv_total
+    remesas_mdd condusef_ubicacion condusef_reclamaciones ac_inf_sucursales ac_inf_corresponsales ac_inf_cajeros
+    ac_inf_tpv ac_inf_total_ag_adq ac_pf_captacion ac_pf_credito ac_pf_afore ac_pf_vida ac_pf_pensiones
+    ac_pf_accidentes ac_pf_danos_sin_autos ac_pf_automoviles ac_mp_tx_tpv ac_mp_remesas ac_mp_ubicacion
+    ac_mp_reclamaciones"""
+)
 INCLUSION_STATE_LABELS = _words("ac_inf_estado ac_pf_estado ac_mp_estado_a ac_mp_estado_b")
