@@ -308,12 +308,13 @@ def repeated_regions(texts: DataFrame) -> DataFrame:
     cut = same_document(searched, texts).select(*CONTENT, "copies", "windows", "part", "split", data)
     dealt = cut.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
     found = stored(dealt.mapInArrow(shards, FOUND))
-    open_ = found.select(*CONTENT, F.inline("open")).repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b")
+    open_ = found.select(*CONTENT, F.inline("open")).repartition(n, "a", "b").sortWithinPartitions("a", "b")
     across = open_.mapInArrow(merged, "anchor long, digest_a long, digest_b long, at int")
     single = F.struct(F.col("at").alias("first"), (F.col("at") + 1).alias("stop")).alias("span")
     whole = met.where("copies > 1").select(*CONTENT, F.struct(F.lit(0).alias("first"), F.col("windows").alias("stop")).alias("span"))
     spans = found.select(*CONTENT, F.explode("spans").alias("span")).unionByName(across.select(*CONTENT, single))
     spans = spans.unionByName(whole).groupBy(*CONTENT).agg(F.collect_list("span").alias("spans"))  # of one region
+    spans = stored(spans)  # so that a region with very many copies can be split in the join
     back = all_regions.join(spans, CONTENT).select(*KEYS, "start", F.explode("spans").alias("span"))
     return back.select(
         *KEYS, (F.col("start") + F.col("span.first")).alias("first"), (F.col("start") + F.col("span.stop") + (SPAN - 1)).alias("stop")
