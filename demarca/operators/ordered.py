@@ -20,6 +20,7 @@ SUB_BINS = 1024
 CUTS = 900
 STEP = 30
 SALTS = 64
+RANGE_ROWS = 100_000
 
 
 def top_per_group(
@@ -198,7 +199,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, tupl
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str = "running"
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    ties: list[str],
+    value: str,
+    name: str = "running",
+    levels: int | None = None,
 ) -> DataFrame:
     """Running sum of every row, ordered by ``order`` and then by ``ties``.
 
@@ -206,7 +213,16 @@ def running_total(
     unique. An order value that many rows share becomes a range of its own, which
     is split again by the first tie column. Also returns ``<name>_total``, the
     group's sum. Neither order column may be NULL.
+
+    Ranges are cut again, and again, until about ``RANGE_ROWS`` rows are left in one,
+    so they grow in number with the table and not in size. ``levels`` fixes how often;
+    without it the rows are counted when this function is called.
     """
+    if levels is None:
+        levels, reach = 1, CUTS * RANGE_ROWS
+        rows = df.count()
+        while rows > reach:
+            levels, reach = levels + 1, reach * CUTS
     df, by = _keyed(df, keys)
     rows = df.select(*by, F.col(order).alias("_v"), F.col(ties[0]).alias("_t"))
     # Rows, not distinct values, are sampled, so a value many rows share is sure to be picked.
@@ -228,10 +244,17 @@ def running_total(
         }
     ).drop("_cuts", "_heads", "_tcuts", "_theads", "_below")
     spans = _offsets(ranged, by, value).select(*by, "_range", "_before", "_total")
-    inside = Window.partitionBy(*by, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    if levels > 1:
+        inner = f"_range{levels}"
+        deeper = running_total(
+            ranged.withColumnRenamed("_range", inner), [*by, inner], order, ties, value, "_deep", levels - 1
+        )
+        summed = deeper.drop("_deep_total").withColumnsRenamed({inner: "_range", "_deep": "_run"})
+    else:
+        inside = Window.partitionBy(*by, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        summed = ranged.withColumn("_run", F.sum(value).over(inside))
     out = (
-        ranged.withColumn("_run", F.sum(value).over(inside))
-        .join(spans, [*by, "_range"])
+        summed.join(spans, [*by, "_range"])
         .withColumn(name, F.col("_before") + F.col("_run"))
         .withColumn(f"{name}_total", F.col("_total"))
         .drop("_run", "_range", "_before", "_total")

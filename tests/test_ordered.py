@@ -101,3 +101,17 @@ def test_running_total_without_groups(spark):
     df = spark.createDataFrame([(v, i, 1) for i, v in enumerate([5, 5, 1, 9, 5])], "v long, id long, w long")
     got = {r.id: (r.run, r.run_total) for r in ordered.running_total(df, [], "v", ["id"], "w", "run").collect()}
     assert got == {2: (1, 5), 0: (2, 5), 1: (3, 5), 4: (4, 5), 3: (5, 5)}
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_running_total_of_cut_ranges_cut_again(spark, levels, monkeypatch):
+    """With few cut points per level, also a hot value and a hot group."""
+    monkeypatch.setattr(ordered, "CUTS", 6)
+    rows = [("a" if i % 3 else "b", 7 if i % 2 else i % 50, i, i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v long, id long, w long")
+    got = {r.id: (r.run, r.run_total) for r in ordered.running_total(df, ["g"], "v", ["id"], "w", "run", levels).collect()}
+    for g in "ab":
+        total, own = 0, sorted((v, i, w) for h, v, i, w in rows if h == g)
+        for _, i, w in own:
+            total += w
+            assert got[i] == (total, sum(x[2] for x in own))
