@@ -8,6 +8,8 @@ word once, keeps its ids in a table and joins them back by position.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -40,26 +42,27 @@ class WordTable:
     def add(self, missing: list[str]) -> None:
         """Segment words that the table lacks."""
         for word, ids in zip(missing, self.sp.encode(missing, num_threads=1), strict=True):
-            self.made[word] = np.asarray(ids, dtype=np.int32).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit numbers, without begin and end."""
-        if not text:
-            return b""
-        text = text.replace(MARKER, " ")
-        parts = text.split(" ")
-        if "" in parts:
-            parts = self.joined(parts)
-        missing = [w for w in set(parts) if w not in self.made]
+            self.made[word] = array("i", ids).tobytes()
+        if "" in self.made:  # a lone marker; the library gives an empty text none
+            self.made[""] = array("i", [self.sp.piece_to_id(MARKER)]).tobytes()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as 32-bit numbers, without begin and end; words of all texts are added at once."""
+        parts = [self.words(t) for t in texts]
+        missing = [w for w in set().union(*parts) if w not in self.made]
+        if len(self.made) + len(missing) > self.limit:
+            self.made.clear()
+            missing = list(set().union(*parts))
         if missing:
-            if len(self.made) + len(missing) > self.limit:
-                self.made.clear()
-                missing = list(set(parts))
-            if "" in missing:  # a lone marker; the library gives an empty text none
-                missing.remove("")
-                self.made[""] = np.asarray([self.sp.piece_to_id(MARKER)], dtype=np.int32).tobytes()
             self.add(missing)
-        return b"".join(map(self.made.__getitem__, parts))
+        return [b"".join(map(self.made.__getitem__, p)) for p in parts]
+
+    def words(self, text: str) -> list[str]:
+        """Marked words of a text, each without the one marker before it."""
+        if not text:
+            return []
+        parts = text.replace(MARKER, " ").split(" ")
+        return self.joined(parts) if "" in parts else parts
 
     @staticmethod
     def joined(parts: list[str]) -> list[str]:
@@ -92,7 +95,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         last = np.asarray([table.sp.eos_id()] if end else [], dtype=np.int32).tobytes()
 
         def work(ids, texts):
-            coded = [table.ids(t or "") + last for t in texts]
+            coded = [c + last for c in table.many([t or "" for t in texts])]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
             values = np.frombuffer(b"".join(coded), dtype=np.int32)
             lists = [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]

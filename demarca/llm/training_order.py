@@ -80,9 +80,8 @@ def sequences(docs: DataFrame, model: str, length: int, doc_id: str, text: str)
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 row, seq, size, record = [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.concatenate([np.frombuffer(table.ids(text or ""), dtype=np.int32), end])
-                    ids = ids.astype("<u2")
+                for i, coded in enumerate(table.many([t or "" for t in part.column("text").to_pylist()])):
+                    ids = np.concatenate([np.frombuffer(coded, dtype=np.int32), end]).astype("<u2")
                     for n, first in enumerate(range(0, len(ids), length)):
                         piece = ids[first : first + length]
                         row.append(i)
