@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             w = ["", *fold(text), ""]
             for before, word, after in zip(w, w[1:], w[2:], strict=False):
-                place = hash((before, after))
+                place = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
                 seen.update((e, place) for e in entries(word))
     yield pa.RecordBatch.from_pylist(
         [{"entry": e, "place": p} for e, p in seen], schema=pa.schema([("entry", pa.string()), ("place", pa.int64())])
