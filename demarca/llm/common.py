@@ -116,19 +116,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links`` (a, b longs): rows (node, root), root the smallest node.
 
     Alternates two steps until nothing changes: every node hangs its larger neighbours
-    on its smallest one, then its smaller neighbours. Each step is an aggregate and a
-    join, both of which split or combine hot nodes; each round is stored. No links give
-    no rows; self links and repeats don't matter.
+    on its smallest one, then its smaller neighbours. Each step is an aggregate, which
+    combines a hot node's rows, and a join of stored tables, in which Spark can split them.
+    No links give no rows; self links and repeats don't matter.
     """
     a, b = F.col("a"), F.col("b")
     edges = links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, before = stored(edges), None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         edges = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        edges = edges.where(a != b).distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        edges = stored(edges.where(a != b).distinct())
+        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")))
         small = edges.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -86,7 +86,7 @@ def later_runs(marked: DataFrame, least_words: int) -> DataFrame:
     found = whole.join(head, ["level", "at"])
     found = found.withColumn("tail_at", F.expr("at + size - shiftleft(1, level)")).join(tail, ["level", "tail_at"])
     found = stored(found.select("size", "head", "tail", "at"))
-    first = found.groupBy("size", "head", "tail").agg(F.min("at").alias("first_at"))
+    first = stored(found.groupBy("size", "head", "tail").agg(F.min("at").alias("first_at")))  # a very common run can be split
     return found.join(first, ["size", "head", "tail"]).where(F.col("at") > F.col("first_at")).select("at", "size")
 
 
