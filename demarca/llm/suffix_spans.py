@@ -340,8 +340,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     same document or another, goes from all its places, judged on the input. ``spans`` are
     the maximal removed runs (first byte, byte after the last); ``kept`` is what is left,
     which need not be valid text. A null text counts as empty; texts shorter than the span
-    lose nothing unless repeated whole strings reach it; rows repeated in id and text count
-    as rows, so they lose what they share; null ids are ids; an empty table gives no rows.
+    lose nothing; rows repeated in id and text count as rows, so they lose what they share;
+    null ids are ids; an empty table gives no rows.
     """
     rows = keyed(docs, doc_id, text)
     found = repeated_regions(rows).groupBy(*KEYS).agg(F.collect_set(F.struct("first", "stop")).alias("found"))
