@@ -269,6 +269,18 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The first ``size`` rows behind a key (None: from the start), in key order.
+
+    Each task keeps ``size`` rows at most, however deep the page is; the last row's key
+    is where the next page starts. The key must be unique and not NULL.
+    """
+    if size < 1:
+        raise ValueError("a page size starts at 1")
+    rows = df if after is None else df.filter(F.col(key) > after)
+    return rows.orderBy(key).limit(size)
+
+
 def with_total(limited: DataFrame, whole: DataFrame, name: str) -> DataFrame:
     """Put the row count of the whole set beside a limited list of its rows."""
     return limited.withColumn(name, whole.agg(F.count(F.lit(1))).scalar())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demarca.operators.filters import name_contains
-from demarca.operators.ordered import page
+from demarca.operators.ordered import page, page_after
 from demarca.operators.spatial import within_radius
 
 
@@ -36,6 +36,6 @@ def search(
         rows = rows.filter(name_contains(F.col(name), text))
     if around is not None:
         rows = within_radius(rows, lat, lon, *around).drop("distance_km")
-    if after is not None:
-        rows = rows.filter(F.col(key) > after)
-    return rows if size is None else page(rows, [F.asc(key)], number, size)
+    if size is None:
+        return rows if after is None else rows.filter(F.col(key) > after)
+    return page(rows, [F.asc(key)], number, size) if after is None else page_after(rows, key, after, size)

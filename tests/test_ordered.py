@@ -115,3 +115,13 @@ def test_running_total_of_cut_ranges_cut_again(spark, levels, monkeypatch):
         for _, i, w in own:
             total += w
             assert got[i] == (total, sum(x[2] for x in own))
+
+
+def test_pages_behind_a_key(points):
+    """Walking key by key gives every row once, in order."""
+    seen, after = [], None
+    while got := [r.id for r in ordered.page_after(points, "id", after, 700).collect()]:
+        seen, after = seen + got, got[-1]
+    assert seen == sorted(r.id for r in points.collect())
+    with pytest.raises(ValueError):
+        ordered.page_after(points, "id", None, 0)

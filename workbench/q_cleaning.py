@@ -21,7 +21,10 @@ def _clean(c: str) -> str:
 
 @query(
     "registry_normalised",
-    f"""SELECT CLEE AS clee, {_clean("Nombre")} AS nombre, {_clean("Razon_social")} AS razon_social,
+    f"""SELECT CLEE AS clee, {_clean("Id")} AS registro_id, CAST(NULL AS VARCHAR) AS telefono, CAST(NULL AS VARCHAR) AS ageb,
+      CASE WHEN regexp_full_match(substr(CLEE, 6, 3), '[0-9]<3>') THEN substr(CLEE, 6, 3) END AS subsector_actividad_id,
+      CASE WHEN regexp_full_match(substr(CLEE, 6, 5), '[0-9]<5>') THEN substr(CLEE, 6, 5) END AS subrama_actividad_id,
+      {_clean("Ubicacion")} AS ubicacion, {_clean("Nombre")} AS nombre, {_clean("Razon_social")} AS razon_social,
       CASE WHEN trim(split_part({_clean("Ubicacion")}, ',', 1)) = '' THEN NULL ELSE trim(split_part({_clean("Ubicacion")}, ',', 1)) END
         AS municipio,
       CASE WHEN length(CLEE) >= 2 THEN substr(CLEE, 1, 2) END AS entidad,
@@ -40,7 +43,8 @@ def registry_normalised(t):
     rows = normalize_registry(export.withColumns({c: F.lit(None).cast("string") for c in absent}))
     return rows.select(
         "clee", "nombre", "razon_social", "municipio", "entidad", "clase_actividad_id", "sector_actividad_id",
-        "rama_actividad_id", "area_geo", "latitud", "longitud", "fecha_alta",
+        "rama_actividad_id", "area_geo", "latitud", "longitud", "fecha_alta", "registro_id", "telefono", "ageb",
+        "subsector_actividad_id", "subrama_actividad_id", "ubicacion",
     )
 
 

@@ -277,6 +277,14 @@ def search_name(t):
     return found.select("clee", "nombre", "entidad", "latitud", "longitud")
 
 
+@query(
+    "keyset_page",
+    """SELECT clee, nombre FROM {shops} WHERE clee > 'E000000070' AND entidad <> '05' ORDER BY clee LIMIT 25""",
+)
+def keyset_page(t):
+    return search(t.shops.filter(F.col("entidad") != "05"), "clee", "nombre", after="E000000070", size=25).select("clee", "nombre")
+
+
 HAVERSINE = (
     "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(latitud - 19.4) / 2), 2) + cos(radians(19.4)) * cos(radians(latitud))"
     " * pow(sin(radians(longitud + 98.9) / 2), 2))))"
