@@ -10,7 +10,7 @@ or 43) = 131 variants a fingerprint, against 2,081 for whole fingerprints within
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +218,14 @@ def one_per_class(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     Rows that repeat the id and the text are one document, of which the least row stays;
     null ids come first. All wordless texts are one class.
     """
+    return one_per(docs, lambda names: classes(names, words, seed, doc_id="name"))
+
+
+def one_per(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``one_per_class`` for the classes (doc_id, component_id) that ``find`` makes of rows (name, text)."""
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
     names = docs.select(F.struct("doc_id", text_key).alias("name"), "text")
-    first = classes(names, words, seed, doc_id="name").where(F.col("doc_id") == F.col("component_id"))
+    first = find(names).where(F.col("doc_id") == F.col("component_id"))
     key = ["id_key", "text_key"]
     first = first.select(F.xxhash64("doc_id.doc_id").alias("id_key"), F.col("doc_id.text_key").alias("text_key")).distinct()
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
