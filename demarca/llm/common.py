@@ -55,13 +55,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/demarca-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write a step to the shared folder and read it back: its lineage ends, lost executors don't matter."""
-    path = shared_folder(df.sparkSession)
+def stored(df: DataFrame, compression: str = "snappy", path: str | None = None) -> DataFrame:
+    """Write a step to the shared folder and read it back: its lineage ends, lost executors don't matter.
+
+    ``path`` is a name from ``shared_folder`` for steps that the caller removes with ``drop_stored``.
+    """
+    path = path or shared_folder(df.sparkSession)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Remove a stored step that nothing reads any more; its folder must be one of this module's."""
+    if not path.rsplit("/", 1)[-1].startswith("demarca-"):
+        raise ValueError(f"not a stored step: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ordered(df: DataFrame, keys: list[Column], name: str) -> tuple[DataFrame, int]:
     """Number rows 0, 1, .. in the order of ``keys`` as column ``name``; also the number of rows.
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demarca.llm import decontamination, line_runs, mixture, pieces, quality_rules, simhash, suffix_spans
-from demarca.llm import token_counts, toxicity, training_order
+from demarca.llm import centroids, decontamination, line_runs, mixture, pieces, quality_rules, ranked_search, simhash
+from demarca.llm import suffix_spans, token_counts, toxicity, training_order, url_filter
 from demarca.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +262,91 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of all documents."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+CLUSTERS, ROUNDS, DIMS, SCALE = 16, 3, 64, 64
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in sixteen clusters after three rounds."""
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, DIMS, SCALE)
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    of_cluster = [x if x < 1 << 63 else None for x in found.inertias]
+    total = sum(found.inertias)
+    clusters = spark.createDataFrame(
+        list(zip(range(len(digests)), of_cluster, digests, strict=True)),
+        "cluster int, cluster_inertia long, centroid_sha256 string",
+    )
+    rows = found.rows.join(F.broadcast(clusters), "cluster")  # one row per centroid
+    inertia = F.lit(total if total < 1 << 63 else None).cast("long").alias("inertia")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", inertia, "centroid_sha256")
+
+
+def _op11_sql() -> str:
+    steps = f"""
+WITH v AS (
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings
+    WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {DIMS}),
+e AS (SELECT k, i AS j, x[i] AS x FROM v, range(1, {DIMS + 1}) t(i)),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x
+    FROM v QUALIFY c < {CLUSTERS})"""
+    for n in range(ROUNDS + 1):
+        steps += f""",
+p{n} AS (
+    SELECT k, c, list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i])))::BIGINT AS d
+    FROM v, c{n} m),
+a{n} AS (SELECT k, c, d FROM p{n} QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, c) = 1)"""
+        if n < ROUNDS:
+            steps += f""",
+s{n} AS (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM a{n} JOIN e USING (k) GROUP BY c, j),
+m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{n} GROUP BY c),
+c{n + 1} AS (SELECT c, coalesce(m.x, o.x) AS x FROM c{n} o LEFT JOIN m{n} m USING (c))"""
+    return f"""{steps}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} m USING (c) JOIN v USING (k)
+"""
+
+
+ORACLE["op11_centroid_clusters"] = _op11_sql()
+
+ALLOWED = [("org", "/"), ("com", "/fr/")]
+BLOCKED = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
+
+
+@query
+def op12_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by rules, then by a model trained from the default labelled URLs."""
+    model = url_filter.trained(spark.createDataFrame(url_filter.sample_urls(), "url string, blocked int"))
+    return url_filter.judged(table(spark, sf_dir, "pages"), ALLOWED, BLOCKED, model)
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op13_sql() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    words = words.format("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM d),
+t AS (SELECT k, word, count(*) AS tf FROM (SELECT k, unnest(w) AS word FROM d) GROUP BY ALL),
+b AS (SELECT DISTINCT item_id, unnest({words}) AS word FROM benchmark),
+f AS (
+    SELECT word, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM t, c GROUP BY word, docs),
+s AS (
+    SELECT item_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + 50 * len(w) * docs // total))))::BIGINT AS score
+    FROM b JOIN f USING (word) JOIN t USING (word) JOIN d USING (k), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s JOIN d USING (k) WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+ORACLE["op13_ranked_search"] = _op13_sql()

@@ -32,7 +32,7 @@ def sha(data):
 def test_one_query_per_operator():
     import __spark_entry__
 
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
