@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from demarca.functions.keys import at_grain, label_key
 from demarca.functions.measures import NO_GRADE, per_hundred_thousand, per_thousand, ratio
-from demarca.operators.aggregate import agg_where, count_by, mode_by, weighted_mean
+from demarca.operators.aggregate import agg_where, best_category, count_by, mode_by, weighted_mean
 from demarca.operators.filters import taxonomy_filter
 from demarca.operators.joins import enrich, one_row, with_label, with_single
 from demarca.operators.ordered import first, ranked_by
 from demarca.operators.quality import coverage, coverage_status, filled, with_status
+from demarca.sources.increments import Summary
 
 LEVEL_COLUMNS = {
     2: "sector_actividad_id",
@@ -54,6 +55,20 @@ def national_treemap(registry: DataFrame, lag: DataFrame, poverty: DataFrame) ->
     return enrich(counts, [grades, poor], "entidad")
 
 
+#: Per state the establishments, how many classes they have, and the class most of them share, kept by change.
+STATE_CLASSES = Summary(
+    "state_classes",
+    ("entidad", "clase_actividad_id"),
+    lambda registry, keys: count_by(registry.filter(F.col("entidad").isNotNull()), keys, "n"),
+    {"n": "sum"},
+    lambda cells: enrich(
+        cells.groupBy("entidad").agg(F.sum("n").alias("establecimientos"), F.count("clase_actividad_id").alias("clases")),
+        [best_category(cells.filter(F.col("clase_actividad_id").isNotNull()), ["entidad"], "clase_actividad_id", F.sum("n"), ("clase_modal", "en_clase_modal"))],
+        "entidad",
+    ),
+)
+
+
 def sector_grade_matrix(registry: DataFrame, lag: DataFrame) -> DataFrame:
     """Establishments by sector and grade of their municipality."""
     cells = count_by(

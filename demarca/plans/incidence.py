@@ -10,6 +10,7 @@ from demarca.functions.measures import change_percent, per_thousand
 from demarca.operators.aggregate import agg_where, complete_periods, large_periods, latest_period
 from demarca.operators.joins import enrich
 from demarca.operators.reshape import months_to_rows
+from demarca.sources.increments import Summary
 
 # Categories counted apart, as (column, value).
 CRIME_CATEGORIES = {
@@ -50,6 +51,15 @@ def crime_yearly(long: DataFrame, categories: Categories = CRIME_CATEGORIES) ->
     return agg_where(keyed, ["cve_mun", "ano"], _crime_measures(categories))
 
 
+#: The same roll-up, kept by change of its monthly rows' partitions.
+CRIME_YEARLY = Summary(
+    "crime_yearly",
+    ("cve_mun", "ano"),
+    lambda long, keys: agg_where(long.filter(F.length("cve_mun") == 5), keys, _crime_measures(CRIME_CATEGORIES)),
+    dict.fromkeys([*CRIME_CATEGORIES, "total_delitos"], "sum"),
+)
+
+
 def crime_summary(
     yearly: DataFrame, census: DataFrame, state: str, current: int, baseline: int, categories: Categories
 ) -> DataFrame:

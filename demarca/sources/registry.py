@@ -9,6 +9,7 @@ from demarca.functions.keys import derive_code
 from demarca.functions.text import clean_text, first_part, parse_coord, parse_date
 from demarca.sources.contracts import REGISTRY
 from demarca.sources.delimited import Paths, text_schema
+from demarca.sources.json_arrays import read_json_arrays
 
 # Normal column and the export field it is cleaned from.
 PLAIN_FIELDS = {
@@ -48,13 +49,10 @@ ACTIVITY_START = 6
 
 
 def read_registry(spark: SparkSession, paths: Paths, lines: bool = False) -> DataFrame:
-    """Export files, all fields text.
-
-    A file that is one JSON array can only be read by one task; export one file per
-    state, or JSON lines (``lines=True``), which split.
-    """
+    """Export files, all fields text: each a JSON array of records, or JSON lines. Both are split over tasks."""
     files = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(text_schema(REGISTRY)).option("multiLine", not lines).json(files)
+    schema = text_schema(REGISTRY)
+    return spark.read.schema(schema).json(files) if lines else read_json_arrays(spark, files, schema)
 
 
 def normalize_registry(df: DataFrame) -> DataFrame:

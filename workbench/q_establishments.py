@@ -9,9 +9,11 @@ from demarca.operators.aggregate import count_by
 from demarca.operators.joins import with_single
 from demarca.operators.search import search
 from demarca.plans import establishments as est
+from demarca.sources import increments
 from demarca.sources.lookups import OFFICIAL_TOTALS, SECTORS, STATES, lookup
-from demarca.sources.sinks import to_geojson_lines, without_geometry
+from demarca.sources.sinks import replace_partition, to_geojson_lines, without_geometry
 from workbench.kit import big, query, ratio
+from workbench.scratch import scratch_folder
 
 PHARMACY = "4641"
 STATE = "16"
@@ -49,6 +51,29 @@ def matrix(t):
     return est.sector_grade_matrix(t.registry, t.lag)
 
 
+@query(
+    "state_classes_refreshed",
+    """SELECT entidad, CAST(sum(n) AS BIGINT) AS establecimientos, count(clase_actividad_id) AS clases,
+      arg_max(clase_actividad_id, n * 10000000 - CAST(clase_actividad_id AS BIGINT)) FILTER (WHERE clase_actividad_id IS NOT NULL) AS clase_modal,
+      CAST(max(n) FILTER (WHERE clase_actividad_id IS NOT NULL) AS BIGINT) AS en_clase_modal
+    FROM (SELECT entidad, clase_actividad_id, count(*) AS n FROM {registry} WHERE entidad IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
+)
+def state_classes(t):
+    """Counts per class are kept by state; states come in two loads; one has its rows twice and is replaced."""
+    root = scratch_folder(t.spark)
+    source = f"{root}/registry"
+    rows = t.registry.select("clee", "entidad", "clase_actividad_id").withColumn("carga", F.col("entidad"))
+    first = F.col("entidad") < STATE
+    replace_partition(rows.filter(first), source, ["carga"])
+    increments.refresh(t.spark, est.STATE_CLASSES, source, root)
+    twice = rows.filter(F.col("entidad") == STATE)
+    replace_partition(rows.filter(~first).unionByName(twice), source, ["carga"])
+    increments.refresh(t.spark, est.STATE_CLASSES, source, root)
+    replace_partition(twice, source, ["carga"])
+    increments.refresh(t.spark, est.STATE_CLASSES, source, root)
+    return increments.stored_or_live(t.spark, est.STATE_CLASSES, source, root)
+
+
 PANEL_SQL = f"""WITH e AS (SELECT area_geo AS cve_mun, count(*) AS establecimientos,
       count(*) FILTER (WHERE clase_actividad_id LIKE '{PHARMACY}%') AS farmacias
     FROM {{registry}} WHERE entidad = '{STATE}' AND area_geo IS NOT NULL GROUP BY 1),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from demarca.functions.keys import at_grain
 from demarca.operators.joins import compare_periods
 from demarca.plans import airports, incidence, surveys
+from demarca.sources import increments
+from demarca.sources.sinks import replace_partition
 from demarca.sources.summaries import build_summaries, summary_or_live
 from workbench.kit import big, dbl, query, ratio
 from workbench.scratch import scratch_folder
@@ -30,10 +33,10 @@ CRIME_SUMMARY_SQL = f"""WITH cur AS (SELECT cve_mun, {_crime_sums()}, {big("sum(
   FROM cur LEFT JOIN b ON b.cve_mun = cur.cve_mun LEFT JOIN {{census_municipal}} m ON m.cve_mun = cur.cve_mun"""
 
 
-@query(
-    "crime_yearly",
-    f"""SELECT cve_mun, ano, {_crime_sums()}, {big("sum(count)")} AS total_delitos FROM {{crime_long}} WHERE length(cve_mun) = 5 GROUP BY 1, 2""",
-)
+YEARLY_CRIME_SQL = f"""SELECT cve_mun, ano, {_crime_sums()}, {big("sum(count)")} AS total_delitos FROM {{crime_long}} WHERE length(cve_mun) = 5 GROUP BY 1, 2"""
+
+
+@query("crime_yearly", YEARLY_CRIME_SQL)
 def crime_yearly(t):
     return incidence.crime_yearly(t.crime_long)
 
@@ -52,6 +55,22 @@ def crime_stored(t):
     return incidence.crime_summary(yearly, t.census_municipal, STATE, NOW, BASE, CATS)
 
 
+@query("crime_yearly_refreshed", YEARLY_CRIME_SQL)
+def crime_refreshed(t):
+    """A first refresh over wrong rows of one state; the state is replaced, and a second refresh computes it alone."""
+    root = scratch_folder(t.spark)
+    source = f"{root}/monthly"
+    rows = t.crime_long.withColumn("estado", at_grain(F.col("cve_mun"), "state"))
+    wrong = F.when(F.col("estado") == STATE, F.col("count") + 7).otherwise(F.col("count"))
+    replace_partition(rows.withColumn("count", wrong), source, ["estado"])
+    increments.refresh(t.spark, incidence.CRIME_YEARLY, source, root)
+    replace_partition(rows.filter(F.col("estado") == STATE), source, ["estado"])
+    done = increments.refresh(t.spark, incidence.CRIME_YEARLY, source, root)
+    if done.computed != [f"estado={STATE}"]:
+        raise ValueError(f"one state was replaced, but {done.computed} were computed")
+    return increments.stored(t.spark, incidence.CRIME_YEARLY, source, root)
+
+
 @query("crime_summary_fallback", CRIME_SUMMARY_SQL)
 def crime_fallback(t):
     """No stored summary exists at the path, so the live form answers."""

@@ -544,6 +544,21 @@ def registry_json(t):
     return rows.select(F.col("CLEE").alias("clee"), F.col("Id").alias("registro_id"), F.col("RAMA_ACTIVIDAD_ID").alias("rama"), F.col("Latitud").alias("latitud"))
 
 
+@query(
+    "registry_array_read",
+    """SELECT CLEE AS clee, Id AS registro_id, RAMA_ACTIVIDAD_ID AS rama, Latitud AS latitud FROM {registry_export}""",
+)
+def registry_array(t):
+    """The export as one file that holds one JSON array; a last, empty record closes it."""
+    path = f"{scratch_folder(t.spark)}/registry"
+    record = F.to_json(F.struct(*t.registry_export.columns), {"ignoreNullFields": "false"})
+    lines = t.registry_export.select(F.lit(1).alias("at"), F.concat(record, F.lit(",")).alias("line"))
+    ends = t.spark.createDataFrame([(0, "["), (2, "{}"), (3, "]")], "at int, line string")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+    rows = registry.read_registry(t.spark, path).filter(F.col("CLEE").isNotNull())
+    return rows.select(F.col("CLEE").alias("clee"), F.col("Id").alias("registro_id"), F.col("RAMA_ACTIVIDAD_ID").alias("rama"), F.col("Latitud").alias("latitud"))
+
+
 @query("positional_csv", "SELECT CAST(o_orderpriority AS VARCHAR) AS p, CAST(o_orderkey AS VARCHAR) AS k FROM {orders}")
 def positional_csv(t):
     return delimited.select_by_position(t.spark, _orders_csv(t), {"p": 4, "k": 1})
