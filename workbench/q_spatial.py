@@ -8,8 +8,10 @@ from demarca.operators import geocode, quality, spatial
 from demarca.operators.joins import with_single
 from demarca.plans import tracts
 from demarca.plans.establishments import pharmacy_by_class
+from demarca.sources import place_layout
 from workbench.kit import big, dbl, query, ratio
 from workbench.roles import CELL, rings
+from workbench.scratch import scratch_folder
 
 PHARMACY = ["464111", "464112"]
 UNIT = "16000"
@@ -218,6 +220,31 @@ def within_radius(t):
     )
 
 
+def laid_out(t, table: str):
+    """A role written by place and read back."""
+    path = f"{scratch_folder(t.spark)}/{table}"
+    place_layout.lay_out(getattr(t, table), path, "longitud", "latitud")
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "within_radius_laid_out",
+    f"SELECT clee, round({_haversine('-98.0', '20.0', 'longitud', 'latitud')}, 6) AS distance_km FROM {{registry}} WHERE longitud IS NOT NULL AND {_haversine('-98.0', '20.0', 'longitud', 'latitud')} <= 25",
+)
+def within_radius_laid_out(t):
+    found = place_layout.within_radius(laid_out(t, "registry"), "latitud", "longitud", 20.0, -98.0, 25.0)
+    return found.select("clee", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query(
+    "within_box_laid_out",
+    "SELECT clee, place_key IS NOT NULL AS keyed FROM (SELECT clee, longitud, latitud, 1 AS place_key FROM {shops}) WHERE longitud BETWEEN -99.5 AND -98.25 AND latitud BETWEEN 18.125 AND 21.75",
+)
+def within_box_laid_out(t):
+    found = place_layout.within_box(laid_out(t, "shops"), "longitud", "latitud", -99.5, 18.125, -98.25, 21.75)
+    return found.select("clee", F.col(place_layout.PLACE).isNotNull().alias("keyed"))
+
+
 @query(
     "points_near_anchors",
     f"""SELECT p.clee FROM {{shops}} p WHERE p.longitud IS NOT NULL AND EXISTS (SELECT 1 FROM (SELECT DISTINCT longitud, latitud FROM {{shops}}
@@ -260,6 +287,16 @@ def one_tile(t):
     return spatial.one_tile(t.shops, "clee", "longitud", "latitud", 9, 115, 227, keep).select("clee", "px", "py")
 
 
+@query(
+    "one_tile_laid_out",
+    f"""SELECT t.clee, px, py FROM ({TILE_SQL}) t JOIN {{shops}} s ON s.clee = t.clee WHERE s.entidad IN ('03', '21', '09') AND x = 115 AND y = 227""",
+)
+def one_tile_laid_out(t):
+    keep = F.col("entidad").isin("03", "21", "09")
+    laid = laid_out(t, "shops")
+    return place_layout.one_tile(laid, "clee", "longitud", "latitud", 9, 115, 227, keep).select("clee", "px", "py")
+
+
 @query("kmeans_cluster_summary")
 def clusters(t):
     return spatial.cluster_summary(spatial.cluster_points(t.shops, "longitud", "latitud", 8), "longitud", "latitud")
