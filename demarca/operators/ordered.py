@@ -11,9 +11,12 @@ same in every evaluation; results never depend on which rows were picked.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 RELATIVE = 4096.0
 SUB_BINS = 1024
@@ -44,6 +47,62 @@ def top_per_group(
     return out if rank else out.drop(pos)
 
 
+def _places(df: DataFrame, ident: str) -> Column:
+    """A whole number that never falls as the id rises: the id itself, or six bytes behind the beginning that all ids share."""
+    if isinstance(df.schema[ident].dataType, IntegralType):
+        return F.col(ident).cast("long")
+    ends = df.agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"))
+    alike = F.expr("size(filter(sequence(1, greatest(1, least(length(lo), length(hi)))), i -> left(lo, i) = left(hi, i)))")
+    skip = F.octet_length(F.left("lo", alike))
+    rest = F.substring(F.col(ident).cast("binary"), ends.select(F.coalesce(skip, F.lit(0))).scalar() + 1, F.lit(6))
+    return F.conv(F.hex(F.rpad(rest, F.lit(6), F.unhex(F.lit("00")))), 16, 10).cast("long")
+
+
+def smallest_per_group(df: DataFrame, keys: list[str], ident: str, n: int) -> DataFrame:
+    """The rows with the ``n`` smallest ids of every group, whatever its size. Ids are unique in a group and not NULL.
+
+    Groups of up to ``n`` rows are left as they are. In a larger one the ids' range is cut
+    into bins, only bin totals are put in order, and the bin that holds the n-th row is cut
+    again. Rows below it stay without being sorted; those of the last bin are ranked.
+    """
+    place = F.col("_place")
+    rows = df.withColumn("_place", _places(df, ident))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_low"), F.max(place).alias("_high"))
+    sizes = sizes.withColumns({"_need": F.lit(n).cast("long"), "_width": F.expr(f"(_high - _low) div {SUB_BINS} + 1")})
+    rows = _on_keys(rows, sizes.drop("_high"), keys)
+    small, large = rows.filter(F.col("_n") <= n), rows.filter(F.col("_n") > n)
+    kept = small
+    for _ in range(2):
+        binned = large.withColumn("_bin", F.expr("(_place - _low) div _width"))
+        totals = binned.groupBy(*keys, "_bin", "_low", "_width", "_need").agg(F.count(F.lit(1)).alias("_own"))
+        up_to = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        totals = totals.withColumn("_upto", F.sum("_own").over(up_to))
+        last = totals.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_own") < F.col("_need")))
+        last = last.select(
+            *keys,
+            F.col("_bin").alias("_last"),
+            (F.col("_need") - F.col("_upto") + F.col("_own")).alias("_left"),
+            (F.col("_low") + F.col("_bin") * F.col("_width")).alias("_from"),
+            F.expr(f"(_width - 1) div {SUB_BINS} + 1").alias("_finer"),
+        )
+        met = _on_keys(binned, last, keys)
+        helpers = ["_bin", "_last", "_left", "_from", "_finer"]
+        kept = kept.unionByName(met.filter(F.col("_bin") < F.col("_last")).drop(*helpers))
+        inner = met.filter(F.col("_bin") == F.col("_last"))
+        finer = {"_need": F.col("_left"), "_low": F.col("_from"), "_width": F.col("_finer")}
+        large = inner.withColumns(finer).drop(*helpers)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ident))
+    found = large.withColumn("_rank", rank).filter((F.col("_rank") <= n) & (F.col("_rank") <= F.col("_need"))).drop("_rank")
+    return kept.unionByName(found).drop("_place", "_n", "_need", "_low", "_width")
+
+
+def _on_keys(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their group's values; a group without a key value is a group too."""
+    named = side.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(named, on).drop(*[f"_key_{k}" for k in keys])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the given order."""
     return top_per_group(df, keys, order, 1)

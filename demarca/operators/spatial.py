@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from demarca.functions import geo
-from demarca.operators.ordered import SALTS, top_per_group
+from demarca.operators.ordered import smallest_per_group
 
 MAX_ZOOM = 22
 
@@ -227,6 +227,18 @@ def fit_clusters(
     return model.transform(points).drop("_at"), [(float(x), float(y)) for x, y in model.clusterCenters()]
 
 
+def assign_to_centres(df: DataFrame, lon: str, lat: str, centres: list[tuple[float, float]]) -> DataFrame:
+    """Every point with the number of the given centre (lon, lat) nearest to it, in degrees; the smaller one of equals.
+
+    With the centres of an earlier fit, new points join its clusters without fitting again.
+    """
+    if not centres:
+        raise ValueError("no centres")
+    away = F.array(*[(F.col(lon) - x) * (F.col(lon) - x) + (F.col(lat) - y) * (F.col(lat) - y) for x, y in centres])
+    known = df.filter(geo.has_point(F.col(lon), F.col(lat)))
+    return known.withColumn("cluster_id", (F.array_position(away, F.array_min(away)) - 1).cast("int"))
+
+
 def cluster_summary(clustered: DataFrame, lon: str, lat: str) -> DataFrame:
     """Centroid to 6 digits and size of each cluster."""
     return clustered.groupBy("cluster_id").agg(
@@ -268,8 +280,7 @@ def tile_points(
     ).drop("_fx", "_fy")
     if cap is None:
         return rows
-    salt = F.pmod(F.xxhash64(ident), F.lit(SALTS))
-    return top_per_group(rows, ["z", "x", "y"], [F.asc(ident)], cap, salt=salt)
+    return smallest_per_group(rows, ["z", "x", "y"], ident, cap)
 
 
 def beyond_cap(tiled: DataFrame, cap: int) -> DataFrame:

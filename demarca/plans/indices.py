@@ -130,3 +130,13 @@ def prevalence_model(sample: DataFrame, label: str, covariates: list[str], areas
     scored = model.transform(assemble.transform(areas))
     prevalence = F.when(known, vector_to_array("probability")[1])
     return scored.withColumn("prevalence", prevalence).select(*areas.columns, "prevalence")
+
+
+def prevalence_by(areas: DataFrame, intercept: float, coefficients: dict[str, float]) -> DataFrame:
+    """Expected prevalence per area by a logistic model that is already fitted, from its coefficients by covariate.
+
+    An area without a covariate stays, with a NULL prevalence.
+    """
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coefficients])
+    load = reduce(lambda a, b: a + b, [F.col(c).cast("double") * w for c, w in coefficients.items()], F.lit(intercept))
+    return areas.withColumn("prevalence", F.when(known, 1 / (1 + F.exp(-load))))

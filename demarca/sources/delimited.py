@@ -1,23 +1,31 @@
 """Delimited files in which every column is text.
 
 Types are never inferred: inference would drop the leading zeros of codes. Files
-are checked against their header line, which is the only part read while the
-plan is built; rows are read by the executors, in splits.
+are checked against their header lines, which one job reads while the plan is built;
+rows are read by the executors, in splits.
 """
 
 from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 IDENTIFIER = re.compile(r"[a-z][a-z0-9_]*")
 BOM = "\ufeff"
+#: Every file counts as a full task, and a task hands over one line at a time.
+FIRST_LINES = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 40),
+    "spark.sql.files.openCostInBytes": str(1 << 40),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+}
 Paths = str | Sequence[str]
 
 
@@ -27,7 +35,7 @@ def _paths(paths: Paths) -> list[str]:
 
 def files_of(spark: SparkSession, paths: Paths) -> list[str]:
     """The files that paths, folders or globs stand for, in name order."""
-    found = sorted(spark.read.text(_paths(paths)).inputFiles())
+    found = sorted(unquote(f) for f in spark.read.text(_paths(paths)).inputFiles())
     if not found:
         raise ValueError(f"no files in {paths}")
     return found
@@ -37,15 +45,39 @@ def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",") -> list[str]:
-    """Column names of one file, without byte-order mark or carriage return."""
-    # The file's first line, read as one unsplit column.
-    reader = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "")
-    first = reader.csv(path, schema="line string").first()
-    if first is None or first.line is None:
-        raise ValueError(f"{path} is empty")
-    line = first.line.removeprefix(BOM).rstrip("\r")
-    return [c.strip() for c in next(csv.reader([line], delimiter=sep))]
+def headers_of(spark: SparkSession, paths: Paths, encoding: str = "UTF-8", sep: str = ",") -> dict[str, list[str]]:
+    """Column names of every file that paths stand for, in name order, without byte-order mark or carriage return.
+
+    One job reads them all: each file is one task, which stops after the first line. An
+    empty file raises.
+    """
+    reading = spark.newSession()  # settings of its own: no file shares a task or is cut, lines come one by one
+    for name, value in FIRST_LINES.items():
+        reading.conf.set(name, value)
+    # A line is read as one unsplit column.
+    lines = reading.read.options(encoding=encoding, sep="\x01", quote="").csv(_paths(paths), schema="line string")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "line")
+    files = {_plain(f): f for f in files_of(spark, paths)}
+    found = {_plain(unquote(r.file)): r.line for r in lines.mapInArrow(_first_row, "file string, line string").collect()}
+    headers = {}
+    for name, file in files.items():
+        if found.get(name) is None:
+            raise ValueError(f"{file} is empty")
+        line = found[name].removeprefix(BOM).rstrip("\r")
+        headers[file] = [c.strip() for c in next(csv.reader([line], delimiter=sep))]
+    return headers
+
+
+def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def _plain(path: str) -> str:
+    """A file's path with one slash behind its scheme, however it was written."""
+    return re.sub(r"^([A-Za-z0-9+.-]+):/*", r"\1:/", path)
 
 
 def _rows(
@@ -92,12 +124,11 @@ def read_contract_csv(
 ) -> DataFrame:
     """Text columns of files whose header must list exactly these columns, in order.
 
-    The first file of a folder is checked at once, the others when they are read.
+    Every file is checked at once, in one job, and again when it is read.
     Blank cells stay empty strings, as in the file.
     """
     files = _paths(paths)
-    for f in files:
-        found = header_of(spark, f, encoding, sep)
+    for f, found in headers_of(spark, files, encoding, sep).items():
         if [c.lower() for c in found] != [c.lower() for c in columns]:
             raise ValueError(f"{f}: header {found} does not match {list(columns)}")
     return _rows(spark, files, columns, encoding, sep, strict=True, multi_line=multi_line, tag=tag)
@@ -121,8 +152,8 @@ def read_header_csv(
     error. Names must be plain identifiers.
     """
     alike: dict[tuple[str, ...], list[str]] = {}
-    for path in files_of(spark, paths):
-        names = [re.sub(r"\s+", "_", c.lower()) for c in header_of(spark, path, encoding, sep)]
+    for path, header in headers_of(spark, paths, encoding, sep).items():
+        names = [re.sub(r"\s+", "_", c.lower()) for c in header]
         if renames is not None:
             unknown = [c for c in names if c not in renames]
             if unknown:
@@ -161,8 +192,8 @@ def select_by_position(
     Files of different widths are read apart.
     """
     alike: dict[int, list[str]] = {}
-    for path in files_of(spark, paths):
-        width = len(header_of(spark, path, encoding, sep))
+    for path, header in headers_of(spark, paths, encoding, sep).items():
+        width = len(header)
         if max(positions.values()) > width:
             raise ValueError(f"{path} has only {width} columns")
         alike.setdefault(width, []).append(path)

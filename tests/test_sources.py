@@ -181,3 +181,22 @@ def test_quoted_cells_with_line_breaks(spark, tmp_path):
     (tmp_path / "m.csv").write_text('a,b\n"one\ntwo, ""three""",2\n')
     df = delimited.read_contract_csv(spark, str(tmp_path / "m.csv"), ["a", "b"], multi_line=True)
     assert [tuple(r) for r in df.collect()] == [('one\ntwo, "three"', "2")]
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    for n in range(150):
+        (tmp_path / f"f {n:03d}.csv").write_bytes(("\ufeffA,\"b, c\"\r\n" if n % 2 else '"b, c",A\n').encode() + b"1,2\n" * 50)
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = delimited.headers_of(spark, str(tmp_path))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 150 and len(jobs) == 1
+    assert [v for _, v in sorted(found.items())][:2] == [["b, c", "A"], ["A", "b, c"]]
+    df = delimited.read_header_csv(spark, str(tmp_path), renames={"a": "a", "b,_c": "b"})
+    assert df.count() == 150 * 50 and sorted(tuple(r) for r in df.distinct().collect()) == [("1", "2"), ("2", "1")]
+    (tmp_path / "f 150.csv").write_text("A,b\n1,2\n")
+    with pytest.raises(ValueError, match="150"):
+        delimited.read_header_csv(spark, str(tmp_path), renames={"a": "a", "b": "x", "b,_c": "b"})
+    (tmp_path / "f 150.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        delimited.headers_of(spark, str(tmp_path))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from demarca.functions import keys, measures, text
 from demarca.operators import aggregate, filters, ordered, reshape
+from demarca.sources import pages as ranked_pages
 from demarca.sources.delimited import rename_columns, select_positions, undecodable_rows, union_tagged
 from demarca.sources.registry import normalize_registry
 from demarca.sources.sinks import upsert
 from workbench.kit import big, query, ratio
+from workbench.scratch import scratch_folder
 
 STRIPPED = "trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
 
@@ -361,6 +363,22 @@ def offset_page(t):
     return ordered.page(t.customer.select("c_custkey", "c_name"), [F.asc("c_custkey")], 3, 25)
 
 
+@query(
+    "ranked_page",
+    """SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) FROM {lineitem}) AS total,
+      (SELECT count(*) FROM {lineitem} WHERE l_orderkey < (SELECT max(l_orderkey) // 2 FROM {lineitem})) AS before_half
+    FROM {lineitem} ORDER BY l_orderkey, l_linenumber LIMIT 40 OFFSET 4960""",
+)
+def ranked_page(t):
+    """A page far down a table that is stored with ranks, the table's size, and the rank of a key."""
+    path = f"{scratch_folder(t.spark)}/lines"
+    rows = t.lineitem.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long"))
+    ranked_pages.write_ranked(rows, path, ["l_orderkey", "l_linenumber"], files=16)
+    half = rows.agg(F.expr("max(l_orderkey) div 2")).first()[0]
+    counts = ranked_pages.total(t.spark, path), ranked_pages.rank_of(t.spark, path, (half, 0))
+    return ranked_pages.page(t.spark, path, 125, 40).withColumns({"total": F.lit(counts[0]), "before_half": F.lit(counts[1])})
+
+
 @query(
     "allowed_order_with_total",
     """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM {orders}) AS total FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 30""",

@@ -450,6 +450,14 @@ def municipality_wide_stored(t):
     return details.municipality_wide_from({n: t.spark.read.parquet(f"{root}/{n}") for n in sources})
 
 
+@query("municipality_wide_joined_stored", WIDE_SQL)
+def municipality_wide_joined_stored(t):
+    """The joined rows themselves, stored as a summary and read back."""
+    root = scratch_folder(t.spark)
+    build_summaries({"municipality_wide": lambda: wide(t)}, root, ["municipality_wide"])
+    return t.spark.read.parquet(f"{root}/municipality_wide")
+
+
 def municipality_flat(t):
     muni = "municipality"
     rows = finance_rows(t, muni)

@@ -491,6 +491,20 @@ def prevalence_checked(t):
     return joins.with_single(found, met.select("labelled", near.alias("predicted_equals_labelled")))
 
 
+FITTED = (-1.25, {"older": 0.75, "schooling": -0.5})
+
+
+@query(
+    "prevalence_of_given_model",
+    """SELECT cvegeo, CASE WHEN older IS NOT NULL AND schooling IS NOT NULL THEN round(1 / (1 + exp(-(-1.25 + older * 0.75 + schooling * -0.5))), 9) END AS prevalence
+    FROM (SELECT cvegeo, CAST(p_60ymas AS DOUBLE) / nullif(pobtot, 0) AS older, CAST(graproes AS DOUBLE) / 20 AS schooling FROM {tract_census})""",
+)
+def prevalence_given(t):
+    """The areas' expectation from coefficients that are given, so that every area's value can be compared."""
+    found = indices.prevalence_by(modelled(t)[1], *FITTED)
+    return found.select("cvegeo", F.round("prevalence", 9).alias("prevalence"))
+
+
 ORDERS_TEXT = "o_orderkey o_custkey o_orderstatus o_orderpriority".split()
 ROUND_TRIP_SQL = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM {orders}"
 

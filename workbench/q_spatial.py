@@ -307,6 +307,26 @@ def cluster_members(t):
     return spatial.cluster_points(t.shops, "longitud", "latitud", 8).select("cluster_id", "clee")
 
 
+CENTRES = [(-99.5, 18.5), (-98.0, 19.0), (-97.0, 21.5), (-99.0, 21.0), (-96.5, 18.25), (-98.0, 20.5)]
+_AWAY = [f"(longitud - ({x})) * (longitud - ({x})) + (latitud - ({y})) * (latitud - ({y}))" for x, y in CENTRES]
+ASSIGNED_SQL = f"""SELECT clee, longitud, latitud, CAST(CASE {" ".join(f"WHEN {a} <= least({', '.join(_AWAY)}) THEN {k}" for k, a in enumerate(_AWAY))} END AS BIGINT)
+    AS cluster_id FROM {{shops}} WHERE longitud IS NOT NULL AND latitud IS NOT NULL"""
+
+
+@query("clusters_of_given_centres", f"SELECT clee, cluster_id FROM ({ASSIGNED_SQL})")
+def clusters_of_given_centres(t):
+    return spatial.assign_to_centres(t.shops, "longitud", "latitud", CENTRES).select("clee", "cluster_id")
+
+
+@query(
+    "clusters_of_given_centres_summary",
+    f"""SELECT cluster_id, round(avg(latitud), 6) AS centroid_lat, round(avg(longitud), 6) AS centroid_lon, count(*) AS member_count
+      FROM ({ASSIGNED_SQL}) GROUP BY 1""",
+)
+def clusters_of_given_centres_summary(t):
+    return spatial.cluster_summary(spatial.assign_to_centres(t.shops, "longitud", "latitud", CENTRES), "longitud", "latitud")
+
+
 @query(
     "kmeans_checked",
     """SELECT count(*) AS points, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_at_nearest
