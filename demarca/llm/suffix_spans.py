@@ -30,8 +30,11 @@ GRAM = 32
 #: Low bits of a packed hash that hold a place; a longer text is read in overlapping pieces.
 PLACE = 23
 
-#: Different regions of one anchor that stay in one shard.
-SPLIT = 2_048
+#: Different regions of one anchor that stay in one shard; it decides how work is dealt, not what is found.
+SPLIT = 512
+
+#: Strings that are merged across shards together, about; there is a bucket of digests for every so many.
+BUCKET = 1 << 21
 
 #: Bytes that a shard's suffix array is built over, about and at most; whole groups stay together.
 SHARD_BYTES, MOST_BYTES = 1 << 20, (1 << 21) - 1
@@ -122,6 +125,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     of what follows, doubling the compared length; groups of one are finished and rest.
     """
     n = len(text)
+    if n > MOST_BYTES:
+        raise ValueError(f"a shard of {n} bytes")
     places = np.arange(n, dtype=np.uint64)
     padded = np.r_[text, np.zeros(4, np.uint8)]
     key, open_ = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
@@ -190,23 +195,27 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-FOUND = "anchor long, digest_a long, digest_b long, spans array<struct<first:int,stop:int>>, open array<struct<at:int,a:long,b:long>>"
+FOUND = "anchor long, digest_a long, digest_b long, spans array<struct<first:int,stop:int>>, bucket int, pack binary"
 FOUND_TYPE = pa.schema(
     [
         *[(c, pa.int64()) for c in CONTENT],
         ("spans", pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))),
-        ("open", pa.list_(pa.struct([("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))),
+        ("bucket", pa.int32()),
+        ("pack", pa.binary()),
     ]
 )
 
+#: A string that is to be merged across shards: its digest, its place (-1 if its shard found it twice) and its region.
+STRING = np.dtype([("a", "<i8"), ("b", "<i8"), ("at", "<i4"), ("anchor", "<i8"), ("digest_a", "<i8"), ("digest_b", "<i8")])
+
 
-def shard(rows: list[dict]) -> pa.RecordBatch:
+def shard(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows of the regions ``rows`` that occur twice or more among them, copies of a region included.
 
     An interval of the suffix array whose common prefixes reach ``SPAN`` is one string. Only
     windows are counted, each once, not what overlaps into a region from its neighbours.
-    For a region of a split anchor, ``open`` names the strings to be merged across shards:
-    its own windows found once (``at``), and one of each found more often (at -1).
+    Of the regions of a split anchor, the strings to be merged across shards follow in packs,
+    one per bucket of their digests: windows found once, and one of each found more often.
     """
     text = np.frombuffer(b"".join([x for r in rows for x in (r["bytes"], b"\xff")]), dtype=np.uint8)
     size = np.array([len(r["bytes"]) + 1 for r in rows])
@@ -220,71 +229,86 @@ def shard(rows: list[dict]) -> pa.RecordBatch:
     of = np.empty(len(text), dtype=np.int64)
     of[order] = group
     again = (weight > 0) & (total[of] >= 2)
-    spans, open_ = [], [[] for _ in rows]
+    spans = []
     for r, s in zip(rows, start.tolist(), strict=True):
         first, stop = runs(again[s : s + r["windows"]])
         spans.append([{"first": a, "stop": b} for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+    names = [[r[c] for r in rows] for c in CONTENT]
+    columns = [*names, spans, [None] * len(rows), [None] * len(rows)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_TYPE, strict=True)], schema=FOUND_TYPE)
+
     split = np.array([r["split"] for r in rows])
     counted = np.flatnonzero((weight > 0) & split[owner])
     _, one = np.unique(of[counted], return_index=True)
-    data = text.tobytes()
-    for p in counted[one].tolist():
-        k = int(owner[p])
-        a, b = np.frombuffer(xxhash.xxh3_128_digest(data[p : p + SPAN]), dtype="<i8").tolist()
-        open_[k].append({"at": -1 if again[p] else p - int(start[k]), "a": a, "b": b})
-    columns = [[r[c] for r in rows] for c in CONTENT] + [spans, open_]
-    arrays = [pa.array(c, f.type) for c, f in zip(columns, FOUND_TYPE, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema=FOUND_TYPE)
-
-
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = counted[one]
+    if not len(at):
+        return
+    data, strings = text.tobytes(), np.empty(len(at), dtype=STRING)
+    digests = b"".join([xxhash.xxh3_128_digest(data[p : p + SPAN]) for p in at.tolist()])
+    strings["a"], strings["b"] = np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T
+    strings["at"] = np.where(again[at], -1, at - start[owner[at]])
+    for c, values in zip(CONTENT, names, strict=True):
+        strings[c] = np.array(values, dtype=np.int64)[owner[at]]
+    bucket = (strings["a"].view("<u8") % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    packs = np.split(strings[order], cuts)
+    none = [None] * len(packs)
+    columns = [none, none, none, none, bucket[order][np.r_[0, cuts]].tolist(), [p.tobytes() for p in packs]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_TYPE, strict=True)], schema=FOUND_TYPE)
+
+
+def shards(buckets: int):
     """Cut a partition, sorted by (anchor, part), into shards of whole groups and search each."""
-    held, held_bytes, group, group_bytes, name = [], 0, [], 0, None
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            for r in batch.slice(at, 512).to_pylist():
-                if (r["anchor"], r["part"]) != name:
-                    held, held_bytes = held + group, held_bytes + group_bytes
-                    if held_bytes >= SHARD_BYTES:
-                        yield shard(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes, group, group_bytes, name = [], 0, [], 0, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for r in batch.slice(at, 512).to_pylist():
+                    if (r["anchor"], r["part"]) != name:
+                        held, held_bytes = held + group, held_bytes + group_bytes
+                        if held_bytes >= SHARD_BYTES:
+                            yield from shard(held, buckets)
+                            held, held_bytes = [], 0
+                        group, group_bytes, name = [], 0, (r["anchor"], r["part"])
+                    if held and held_bytes + group_bytes + len(r["bytes"]) + 1 >= MOST_BYTES:
+                        yield from shard(held, buckets)
                         held, held_bytes = [], 0
-                    group, group_bytes, name = [], 0, (r["anchor"], r["part"])
-                if held and held_bytes + group_bytes + len(r["bytes"]) + 1 >= MOST_BYTES:
-                    yield shard(held)
-                    held, held_bytes = [], 0
-                group.append(r)
-                group_bytes += len(r["bytes"]) + 1
-    if held or group:
-        yield shard(held + group)
+                    group.append(r)
+                    group_bytes += len(r["bytes"]) + 1
+        if held or group:
+            yield from shard(held + group, buckets)
+
+    return run
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of several shards: search each shard's strings in the sorted strings of all of them.
 
-    Rows come sorted by digest, a shard's string once. Equal digests that continue in the
-    next batch wait for it.
+    Rows are packs sorted by bucket, in which a shard's string comes once; one bucket is held.
     """
-    waiting: list[pa.RecordBatch] = []
-
-    def found(table: pa.Table, whole: bool):
-        a = table.column("a").to_numpy()
-        b = table.column("b").to_numpy()
-        ids = np.unique(a)  # sorted; b tells apart the digests that share a
-        code = np.searchsorted(ids, a)
-        pair = np.unique(np.stack([code, b]), axis=1, return_inverse=True)[1].ravel()
-        strings = np.sort(pair)
-        count = np.searchsorted(strings, pair, side="right") - np.searchsorted(strings, pair, side="left")
-        done = np.ones(len(a), dtype=bool) if whole else a != a[-1]
-        keep = done & (count >= 2) & (table.column("at").to_numpy() >= 0)
-        out = table.filter(pa.array(keep)).select([*CONTENT, "at"]).combine_chunks().to_batches()
-        return out, table.filter(pa.array(~done)).combine_chunks().to_batches()
 
+    def found(packs: list[bytes]) -> pa.RecordBatch:
+        strings = np.frombuffer(b"".join(packs), dtype=STRING)
+        code = np.unique(strings["a"], return_inverse=True)[1]
+        pair = np.unique(np.stack([code, strings["b"]]), axis=1, return_inverse=True)[1].ravel()
+        every = np.sort(pair)
+        count = np.searchsorted(every, pair, side="right") - np.searchsorted(every, pair, side="left")
+        kept = strings[(count >= 2) & (strings["at"] >= 0)]
+        names = [*CONTENT, "at"]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[c])) for c in names], names=names)
+
+    now, packs = None, []
     for batch in batches:
-        if batch.num_rows:
-            out, waiting = found(pa.Table.from_batches([*waiting, batch]), False)
-            yield from out
-    if waiting:
-        yield from found(pa.Table.from_batches(waiting), True)[0]
+        for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            if bucket != now and packs:
+                yield found(packs)
+                packs = []
+            now = bucket
+            packs.append(pack)
+    if packs:
+        yield found(packs)
 
 
 def repeated_regions(texts: DataFrame) -> DataFrame:
@@ -306,13 +330,15 @@ def repeated_regions(texts: DataFrame) -> DataFrame:
     )
     data = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("windows") + (SPAN - 1)).alias("bytes")
     cut = same_document(searched, texts).select(*CONTENT, "copies", "windows", "part", "split", data)
+    buckets = max(n, searched.where("split").count() * (SPAN - GRAM + 1) // BUCKET)
     dealt = cut.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
-    found = stored(dealt.mapInArrow(shards, FOUND))
-    open_ = found.select(*CONTENT, F.inline("open")).repartition(n, "a", "b").sortWithinPartitions("a", "b")
-    across = open_.mapInArrow(merged, "anchor long, digest_a long, digest_b long, at int")
+    found = stored(dealt.mapInArrow(shards(buckets), FOUND))
+    packs = found.where("bucket IS NOT NULL").select("bucket", "pack").repartition(n, "bucket").sortWithinPartitions("bucket")
+    across = packs.mapInArrow(merged, "anchor long, digest_a long, digest_b long, at int")
     single = F.struct(F.col("at").alias("first"), (F.col("at") + 1).alias("stop")).alias("span")
     whole = met.where("copies > 1").select(*CONTENT, F.struct(F.lit(0).alias("first"), F.col("windows").alias("stop")).alias("span"))
-    spans = found.select(*CONTENT, F.explode("spans").alias("span")).unionByName(across.select(*CONTENT, single))
+    within = found.where("bucket IS NULL").select(*CONTENT, F.explode("spans").alias("span"))
+    spans = within.unionByName(across.select(*CONTENT, single))
     spans = spans.unionByName(whole).groupBy(*CONTENT).agg(F.collect_list("span").alias("spans"))  # of one region
     spans = stored(spans)  # so that a region with very many copies can be split in the join
     back = all_regions.join(spans, CONTENT).select(*KEYS, "start", F.explode("spans").alias("span"))

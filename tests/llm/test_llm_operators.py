@@ -430,6 +430,26 @@ def test_suffix_spans_equal_brute_force(docs, empty, monkeypatch, split):
     assert suffix_spans.dedup(empty).collect() == []
 
 
+def test_suffix_spans_of_many_near_copies(spark):
+    """Three thousand texts that differ from one in a word each, some in the same one: one anchor's regions fill many shards."""
+    base, r = prose(170, 40).split(), np.random.default_rng(41)
+    texts = []
+    for n in range(3000):
+        words = list(base)
+        words[int(r.integers(len(words)))] = f"other{n if n % 3 else n % 30}"
+        texts.append(" ".join(words).encode())
+    seen = Counter(t[i : i + suffix_spans.SPAN] for t in texts for i in range(len(t) - suffix_spans.SPAN + 1))
+    want = Counter()
+    for t in texts:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - suffix_spans.SPAN + 1):
+            if seen[t[i : i + suffix_spans.SPAN]] > 1:
+                gone[i : i + suffix_spans.SPAN] = True
+        want[bytes(b for b, g in zip(t, gone, strict=True) if not g)] += 1
+    df = spark.createDataFrame([(n, t.decode()) for n, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert Counter(bytes(x.kept) for x in suffix_spans.dedup(df).collect()) == want
+
+
 @pytest.mark.parametrize("split", [suffix_spans.SPLIT, 3])
 def test_suffix_spans_of_one_passage_in_many_texts(spark, monkeypatch, split):
     monkeypatch.setattr(suffix_spans, "SPLIT", split)
