@@ -167,44 +167,92 @@ def within_radius(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: floa
     return df.filter(box).withColumn("distance_km", away).filter(F.col("distance_km") <= km)
 
 
+#: Parts of a cell's side in ``near``, on each of two levels.
+PARTS = 8
+
+
 def near(points: DataFrame, anchors: DataFrame, lon: str, lat: str, km: float) -> DataFrame:
     """Points with at least one anchor within ``km``; both sides use the same column names.
 
     Two points of one grid cell are never further apart than ``km``, so cells that
-    hold an anchor settle all their points without a distance test. Only the other
-    points are tested, against the anchors of the cells around them, and the test
-    stops at the first anchor found. An anchor near the date line also stands a turn
+    hold an anchor settle all their points. Other cells and the anchors' cells around
+    them are cut into parts, and parts into parts again: a pair of parts that is surely
+    within reach settles the points of one, a pair out of reach is dropped. What pairs
+    there can be depends on the number of parts, not of points, so dense neighbouring
+    cells don't meet row by row. Only pairs of parts that stay open are tested, and the
+    test stops at the first anchor found. An anchor near the date line also stands a turn
     further on the other side.
     """
     side = geo.degrees_around(0.0, km)[1] / 1.4143
-    px, py = geo.cell_of(F.col(lon), F.col(lat), side)
+    sizes = [side, side / PARTS, side / PARTS**2]
     known = geo.has_point(F.col(lon), F.col(lat))
-    p = points.filter(known).withColumns({"_px": px, "_py": py})
-    a = anchors.filter(known).select(F.col(lon).alias("_ax"), F.col(lat).alias("_ay")).distinct()
-    home = a.select(*[c.alias(n) for c, n in zip(geo.cell_of(F.col("_ax"), F.col("_ay"), side), ("_px", "_py"))])
-    home = home.distinct()
-    settled = p.join(home, ["_px", "_py"], "left_semi")
 
-    dlat = F.lit(geo.degrees_around(0.0, km)[1])
-    edge = F.least(F.lit(89.0), F.abs(F.col("_ay")) + dlat)
-    dlon = dlat / F.cos(F.radians(edge))
+    def cells(df: DataFrame, x: str, y: str, mark: str) -> DataFrame:
+        places = [geo.cell_of(F.col(x), F.col(y), s) for s in sizes]
+        return df.withColumns({f"_{mark}{k}{axis}": c for k, at in enumerate(places) for axis, c in zip("xy", at)})
 
-    def span(mid: str, reach: Column) -> Column:
-        lo = F.floor((F.col(mid) - reach) / F.lit(side)).cast("long")
-        hi = F.floor((F.col(mid) + reach) / F.lit(side)).cast("long")
-        return F.sequence(lo, hi)
+    def names(mark: str, *levels: int) -> list[str]:
+        return [f"_{mark}{k}{axis}" for k in levels for axis in "xy"]
 
+    p = cells(points.filter(known), lon, lat, "p")
+    a = anchors.filter(known).select(F.col(lon).alias("_ax"), F.col(lat).alias("_ay")).distinct()
+    home = cells(a, "_ax", "_ay", "p").select(*names("p", 0)).distinct()
+    dlat = F.lit(geo.degrees_around(0.0, km)[1] * (1 + 1e-9))
+    dlon = dlat / F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("_ay")) + dlat)))
     turns = F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))
     within = F.filter(turns, lambda turn: F.abs(F.col("_ax") + turn) <= 180.0 + dlon)
     a = a.withColumn("_turn", F.explode(within)).withColumn("_ax", F.col("_ax") + F.col("_turn")).drop("_turn")
-    around = a.withColumn("_cx", F.explode(span("_ax", dlon))).withColumn("_cy", F.explode(span("_ay", dlat)))
-    rest = p.join(home, ["_px", "_py"], "left_anti")
-    on = (
-        (F.col("_px") == F.col("_cx"))
-        & (F.col("_py") == F.col("_cy"))
-        & (geo.haversine_km(F.col(lon), F.col(lat), F.col("_ax"), F.col("_ay")) <= km)
-    )
-    return settled.unionByName(rest.join(around, on, "left_semi")).drop("_px", "_py")
+    a = cells(a, "_ax", "_ay", "a")
+
+    def span(cell: str, reach: Column) -> Column:
+        low = F.floor((F.col(cell) * sizes[1] - reach) / F.lit(side)).cast("long")
+        high = F.floor(((F.col(cell) + 1) * sizes[1] + reach) / F.lit(side)).cast("long")
+        return F.sequence(low, high)
+
+    edge = F.greatest(F.abs(F.col("_a1y")), F.abs(F.col("_a1y") + 1)) * sizes[1] + dlat
+    wide = dlat / F.cos(F.radians(F.least(F.lit(89.0), edge)))
+    around = a.select(*names("a", 1)).distinct()
+    around = around.withColumn("_p0x", F.explode(span("_a1x", wide))).withColumn("_p0y", F.explode(span("_a1y", dlat)))
+    parts = p.select(*names("p", 0, 1, 2)).distinct()
+    rest = parts.join(home, names("p", 0), "left_anti")
+
+    def judged(pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Parts that are settled, and the pairs of other parts that are neither in nor out of reach."""
+        low, high = _reach(*[F.col(n) for n in [*names("p", k), *names("a", k)]], sizes[k])
+        pairs = pairs.withColumns({"_low": low, "_high": high}).filter(F.col("_low") <= km * (1 + 1e-9))
+        settled = pairs.filter(F.col("_high") <= km * (1 - 1e-9)).select(*names("p", k)).distinct()
+        return settled, pairs.drop("_low", "_high").join(settled, names("p", k), "left_anti")
+
+    first, open_ = judged(rest.select(*names("p", 0, 1)).distinct().join(around, names("p", 0)).drop(*names("p", 0)), 1)
+    finer = open_.join(rest.select(*names("p", 1, 2)), names("p", 1)).join(a.select(*names("a", 1, 2)).distinct(), names("a", 1))
+    second, open_ = judged(finer, 2)
+    settled = parts.join(home, names("p", 0), "left_semi").select(*names("p", 2))
+    settled = settled.unionByName(rest.join(first, names("p", 1), "left_semi").select(*names("p", 2))).unionByName(second)
+    tested = open_.select(*names("p", 2), *names("a", 2)).join(a.select(*names("a", 2), "_ax", "_ay"), names("a", 2))
+    tested = tested.withColumnsRenamed({n: f"_t{n}" for n in names("p", 2)})
+    on = [F.col(n) == F.col(f"_t{n}") for n in names("p", 2)]
+    on = on[0] & on[1] & (geo.haversine_km(F.col(lon), F.col(lat), F.col("_ax"), F.col("_ay")) <= km)
+    found = p.join(settled, names("p", 2), "left_semi").unionByName(p.join(tested, on, "left_semi"))
+    return found.drop(*names("p", 0, 1, 2))
+
+
+def _reach(px: Column, py: Column, ax: Column, ay: Column, side: float) -> tuple[Column, Column]:
+    """Bounds of the distances between the positions of two cells of one grid, in kilometres."""
+
+    def cosines(row: Column) -> tuple[Column, Column]:
+        ends = [F.cos(F.radians(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (row + k) * side)))) for k in (0, 1)]
+        return F.least(*ends), F.when((row == 0) | (row == -1), F.lit(1.0)).otherwise(F.greatest(*ends))
+
+    def apart(x: Column, y: Column, cos: Column) -> Column:
+        half = F.sin(F.radians(F.least(F.lit(180.0), x)) / 2)
+        across = F.sin(F.radians(F.least(F.lit(180.0), y)) / 2)
+        return F.lit(2 * geo.EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), across * across + cos * half * half)))
+
+    (p_low, p_high), (a_low, a_high) = cosines(py), cosines(ay)
+    x, y = F.abs(px - ax), F.abs(py - ay)
+    nearest = apart(F.greatest(F.lit(0), x - 1) * side, F.greatest(F.lit(0), y - 1) * side, F.greatest(F.lit(0.0), p_low * a_low))
+    furthest = apart((x + 1) * side, (y + 1) * side, p_high * a_high)
+    return nearest, furthest
 
 
 def cluster_points(df: DataFrame, lon: str, lat: str, k: int, seed: int = 7) -> DataFrame:

@@ -85,6 +85,35 @@ def test_near_equals_brute_force(spark, lat0, km):
     assert got == {i for i, x, y in pts if any(haversine((x, y), c) <= km for c in set(anchors))}
 
 
+def test_near_of_dense_neighbouring_cells(spark):
+    """Two crowds, apart by less than, about and more than the distance; no join of the plan makes pairs of their rows."""
+    import numpy as np
+
+    r, km, n = np.random.default_rng(5), 9.0, 6000
+    step = math.degrees(km / 6371.0088)
+    crowd = lambda x: np.stack([x + r.uniform(0, step / 3, n), 20 + r.uniform(0, step / 3, n)], axis=1)
+    left, right = crowd(0.0), np.concatenate([crowd(step * 0.75), crowd(step * 1.2), crowd(step * 3)])
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(right)], "id long, lon double, lat double")
+    a = spark.createDataFrame([tuple(map(float, x)) for x in left], "lon double, lat double")
+    df = spatial.near(p, a, "lon", "lat", km)
+    got = {x.id for x in df.collect()}
+    x1, y1, x2, y2 = (np.radians(v) for v in (right[:, :1], right[:, 1:], left[:, 0], left[:, 1]))
+    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+    want = set(np.flatnonzero((2 * 6371.0088 * np.arcsin(np.sqrt(h)) <= km).any(axis=1)).tolist())
+    assert got == want and n < len(want) < 2 * n
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("km", [30.0, 400.0])
+def test_near_across_the_date_line_and_far_north(spark, km):
+    r = random.Random(8)
+    pts = [(i, r.choice([180.0, -180.0]) * r.uniform(0.99, 1.0), r.uniform(70, 78)) for i in range(150)]
+    anchors = [(r.choice([180.0, -180.0]) * r.uniform(0.99, 1.0), r.uniform(70, 78)) for _ in range(6)]
+    got = spatial.near(spark.createDataFrame(pts, "id long, lon double, lat double"), spark.createDataFrame(anchors, "lon double, lat double"), "lon", "lat", km)
+    assert {x.id for x in got.collect()} == {i for i, x, y in pts if any(haversine((x, y), c) <= km for c in anchors)}
+
+
 def test_radius_limits_and_pushdown(spark, small):
     df = spark.createDataFrame([(1, 19.40, -99.1), (2, 19.41, -99.1), (3, 20.4, -99.1)], "id long, lat double, lon double")
     assert [r.id for r in spatial.within_radius(df, "lat", "lon", 19.40, -99.1, 2.0).collect()] == [1, 2]
