@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demarca.llm import centroids, decontamination, line_runs, mixture, pieces, quality_rules, ranked_search, simhash
 from demarca.llm import suffix_spans, token_counts, toxicity, training_order, url_filter
-from demarca.llm.common import stored
+from demarca.llm.common import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,8 +43,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as fixed-stride token records, each in its slot of the training order."""
-    return training_order.arranged(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), key=2026)
+    """All documents as fixed-stride token records, each in its slot of the training order and written to its shard."""
+    made = training_order.arranged(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), key=2026)
+    return training_order.write_shards(made, shared_folder(spark))
 
 
 @query

@@ -9,6 +9,7 @@ in its shard is its slot times the stride.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,49 +134,78 @@ def arranged(
     return placed.repartitionByRange(n, "shard").sortWithinPartitions("slot")
 
 
+def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder (local or shared path, or URI of hdfs, s3 or gs) and the path on it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+
+
+def shard_name(shard: int) -> str:
+    return f"{shard:08d}.bin"
+
+
 def write_shards(records: DataFrame, folder: str) -> DataFrame:
-    """Write the shards of ``arranged`` to a shared folder, by the task that holds them; returns what was written.
+    """Write the shards of ``arranged`` to a shared folder, by the task that holds them; returns the rows of ``records``.
 
-    A shard appears under its name only when it is whole, and a repeated task writes the
-    same bytes again. Rows (shard, first_slot, records, crc32).
+    Each row carries its shard's ``path`` and ``shard_crc32``, and comes out when its shard
+    is whole under that name. Every attempt of a task writes under a name of its own and
+    renames at the end; attempts write the same bytes, so it doesn't matter which one stays.
+    Null ids and repeated rows are records like others; no rows write nothing. Nothing is
+    written before the rows are asked for.
     """
+    names = records.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files, root = opened(folder)
         files.create_dir(root)
-        shard, sink, first, count, crc = None, None, 0, 0, 0
+        attempt = TaskContext.get().taskAttemptId()
+        shard, sink, crc, held = None, None, 0, []
 
-        def close():
+        def whole() -> Iterator[pa.RecordBatch]:
             sink.close()
-            files.move(f"{root}/{shard:08d}.part", f"{root}/{shard:08d}.bin")
-            columns = [[shard], [first], [count], [crc]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "first_slot", "records", "crc32"])
+            own, final = f"{root}/{shard:08d}.{attempt}.part", f"{root}/{shard_name(shard)}"
+            if files.get_file_info(final).type == pyarrow.fs.FileType.File:
+                files.delete_file(own)
+            else:
+                files.move(own, final)
+            for part in held:
+                n = part.num_rows
+                told = [pa.array([f"{folder}/{shard_name(shard)}"] * n), pa.array([crc] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=[*names, "path", "shard_crc32"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
+            shards = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
+            for at, end in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+                if shards[at] != shard:
                     if sink:
-                        yield close()
-                    shard, first, count, crc = row["shard"], row["slot"], 0, 0
-                    sink = files.open_output_stream(f"{root}/{shard:08d}.part")
-                sink.write(row["record"])
-                count, crc = count + 1, zlib.crc32(row["record"], crc)
+                        yield from whole()
+                    shard, crc, held = int(shards[at]), 0, []
+                    sink = files.open_output_stream(f"{root}/{shard:08d}.{attempt}.part")
+                part = batch.slice(at, end - at)
+                data = b"".join(part.column("record").to_pylist())
+                sink.write(data)
+                crc = zlib.crc32(data, crc)
+                held.append(part)
         if sink:
-            yield close()
+            yield from whole()
 
-    narrow = records.select("shard", "slot", "record")
-    return narrow.mapInArrow(run, "shard int, first_slot long, records long, crc32 long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
+    return records.mapInArrow(run, f"{kinds}, path string, shard_crc32 long")
 
 
 def read_records(folder: str, first: int, count: int, length: int = LENGTH, shard_records: int = SHARD_RECORDS):
-    """Records of ``count`` slots from ``first`` on, as an array; reading goes on anywhere by seeking."""
-    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    """Records of ``count`` slots from ``first`` on, as an array; reading goes on anywhere by seeking.
+
+    Slots behind the last one give fewer records; a folder without shards gives none.
+    """
+    files, root = opened(folder)
     out = []
     while count > 0:
         shard, inside = divmod(first, shard_records)
-        with files.open_input_file(f"{root}/{shard:08d}.bin") as source:
+        path = f"{root}/{shard_name(shard)}"
+        if files.get_file_info(path).type != pyarrow.fs.FileType.File:
+            break
+        with files.open_input_file(path) as source:
             source.seek(inside * 2 * length)
             data = source.read(min(count, shard_records - inside) * 2 * length)
         got = np.frombuffer(data, dtype="<u2").reshape(-1, length)

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -495,9 +496,20 @@ def test_shards_round_trip(docs, empty, tmp_path):
     rows = sorted(made.collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
     assert all(r.shard == r.slot // 50 and r.offset == r.slot % 50 * 32 for r in rows)
-    training_order.write_shards(made, folder).collect()
+    order = training_order.Permutation(len(rows), 3)
+    assert sorted(order.walk(np.array([r.slot for r in rows]), back=True).tolist()) == list(range(len(rows)))
+    for _ in range(2):  # a second run finds the shards there and leaves the same bytes
+        written = sorted(training_order.write_shards(made, folder).collect(), key=lambda r: r.slot)
+    assert [tuple(r)[:-2] for r in written] == [tuple(r) for r in rows]
+    left = sorted(p.name for p in (tmp_path / "shards").iterdir())
+    assert left == [f"{n:08d}.bin" for n in range(-(-len(rows) // 50))]
+    for r in written:
+        data = (tmp_path / "shards" / r.path.rsplit("/", 1)[1]).read_bytes()
+        assert zlib.crc32(data) == r.shard_crc32 and data[r.offset : r.offset + 32] == bytes(r.record)
     read = training_order.read_records(folder, 30, 10**9, length=16, shard_records=50)
     assert [x.tobytes() for x in read] == [bytes(r.record) for r in rows[30:]]
+    none = training_order.write_shards(training_order.arranged(empty, MODEL, key=3), f"{folder}-none")
+    assert none.collect() == [] and len(training_order.read_records(f"{folder}-none", 0, 10)) == 0
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = {i: t for i, t, *_ in TEXTS}
     for i in (1, 4, 7, 12):

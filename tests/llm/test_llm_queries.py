@@ -57,8 +57,32 @@ def test_op1(spark, texts):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
+def brute_slot(number, size, keys):
+    """The network on Python integers, walked until it is inside."""
+    half = (max(2, (max(size, 1) - 1).bit_length()) + 1) // 2
+    word, mask = (1 << 64) - 1, (1 << half) - 1
+    while True:
+        left, right = number >> half, number & mask
+        for key in keys:
+            x = (right + key) * 0x9E3779B97F4A7C15 & word
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & word
+            left, right = right, left ^ ((x ^ x >> 32) & mask)
+        number = left << half | right
+        if number < size:
+            return number
+
+
+def test_op2_slots_by_an_independent_walk():
+    for size in (1, 2, 3, 1000, 4097):
+        order = training_order.Permutation(size, 2026)
+        want = [brute_slot(n, size, [int(k) for k in order.keys]) for n in range(size)]
+        assert order.walk(np.arange(size)).tolist() == want
+
+
 def test_op2(spark, texts):
     rows = QUERIES["op2_training_order"](spark, SMALL).collect()
+    shards = {r.path: r.shard_crc32 for r in rows}
+    assert {p: zlib.crc32(open(p, "rb").read()) for p in shards} == shards
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     ids = defaultdict(dict)
     for r in rows:
