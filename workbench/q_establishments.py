@@ -9,7 +9,7 @@ from demarca.operators.aggregate import count_by
 from demarca.operators.joins import with_single
 from demarca.operators.search import search
 from demarca.plans import establishments as est
-from demarca.sources import increments
+from demarca.sources import increments, trigrams
 from demarca.sources.lookups import OFFICIAL_TOTALS, SECTORS, STATES, lookup
 from demarca.sources.sinks import replace_partition, to_geojson_lines, without_geometry
 from workbench.kit import big, query, ratio
@@ -302,6 +302,17 @@ def search_name(t):
     return found.select("clee", "nombre", "entidad", "latitud", "longitud")
 
 
+@query(
+    "search_by_trigrams",
+    """SELECT clee, nombre, entidad, latitud, longitud FROM {shops} WHERE nombre ILIKE '%omer#00000012%'""",
+)
+def search_by_trigrams(t):
+    """The same search through a stored index of the names' trigrams."""
+    path = f"{scratch_folder(t.spark)}/shops"
+    trigrams.write_index(t.shops.select("clee", "nombre", "entidad", "latitud", "longitud"), path, "nombre", ["clee"])
+    return trigrams.containing(t.spark, path, "nombre", "OMER#00000012")
+
+
 @query(
     "keyset_page",
     """SELECT clee, nombre FROM {shops} WHERE clee > 'E000000070' AND entidad <> '05' ORDER BY clee LIMIT 25""",
