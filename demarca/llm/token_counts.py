@@ -26,7 +26,7 @@ PRE_TOKEN = (
     rf"| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 )
 
-#: Outside these blocks character classes may differ between Unicode versions: the library counts such a text whole.
+#: Outside these blocks character classes may differ between Unicode versions: the library cuts such a text into pre-tokens.
 UNSURE = r"[^\x00-ɏ‐-‧€]"
 
 #: Distinct pre-tokens that a task keeps; a full table is emptied, with the same results.
@@ -49,8 +49,8 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     ``n_tokens`` is the tokenizer's count without begin, end or added special tokens;
     special strings inside a text count as the special token they are. ``n_whole`` counts
-    pre-tokens that the shortcut settled (0 in texts the library counted whole). A null or
-    empty text has zeros. One row per input row, repeats and null ids included; no rows
+    pre-tokens that the shortcut settled, in texts of any script. A null or empty text has
+    zeros. One row per input row, repeats and null ids included; no rows
     give no rows; other columns are not read. No shuffle.
     """
     whole = frozenset(whole_tokens(path))
@@ -63,8 +63,13 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         pattern, unsure = regex.compile(PRE_TOKEN), regex.compile(UNSURE)
         cut = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
 
+        def pre_tokens(text: str) -> list[str]:
+            if unsure.search(text):
+                return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            return pattern.findall(text)
+
         def plain(text: str) -> tuple[int, int]:
-            found = pattern.findall(text)
+            found = pre_tokens(text)
             rest = [t for t in found if t not in known]
             missing = [t for t in set(rest) if t not in merged]
             if missing:
@@ -77,8 +82,6 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             return ones + sum(map(merged.__getitem__, rest)), ones
 
         def count(text: str) -> tuple[int, int]:
-            if unsure.search(text):
-                return len(tokenizer.encode(text, add_special_tokens=False)), 0
             parts = cut.split(text)
             counts = [plain(p) for p in parts if p]
             return len(parts) - 1 + sum(c[0] for c in counts), sum(c[1] for c in counts)

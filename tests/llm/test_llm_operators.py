@@ -129,6 +129,28 @@ def test_counts_of_odd_texts(spark):
         assert row.n_tokens == len(tokenizer.encode(texts[row.doc_id], add_special_tokens=False)), repr(texts[row.doc_id])
 
 
+def test_counts_in_every_script(spark):
+    """Characters of all planes, alone and among Latin words, marks, white space and special strings."""
+    r = np.random.default_rng(6)
+    blocks = [(0x20, 0x24F), (0x300, 0x36F), (0x370, 0x5FF), (0x600, 0x77F), (0x900, 0xDFF), (0x1E00, 0x206F), (0x2070, 0x2BFF)]
+    blocks += [(0x2E80, 0x33FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFFFD), (0x10000, 0x1FFFF), (0xE0000, 0xE01EF)]
+    words = [" the", "word", " 'll", "  ", "\n\n ", "\u3000", "\u2028", "<|endoftext|>", " don't", "\u200d", "é", "12"]
+
+    def piece():
+        if r.random() < 0.4:
+            return words[r.integers(len(words))]
+        low, high = blocks[r.integers(len(blocks))]
+        return "".join(chr(c) for c in r.integers(low, high + 1, r.integers(1, 5)))
+
+    texts = ["".join(piece() for _ in range(r.integers(1, 14))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(BYTES)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = token_counts.count_tokens(df, BYTES).collect()
+    for row in rows:
+        assert row.n_tokens == len(tokenizer.encode(texts[row.doc_id], add_special_tokens=False)), repr(texts[row.doc_id])
+    assert sum(row.n_whole > 0 for row in rows) > 2000
+
+
 def test_whole_tokens_are_proved():
     tokenizer = Tokenizer.from_file(BYTES)
     whole = token_counts.whole_tokens(BYTES)
