@@ -9,9 +9,11 @@ length.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demarca.llm.common import by_slice, stored
+from demarca.llm.common import by_slice, keyed, stored
 
 #: Letters of other alphabets that look like Latin ones, in alphabetical order.
 LOOK_ALIKES = {
@@ -43,10 +45,10 @@ MOST_ENTRIES, MOST_EXCEPTIONS, MOST_CANDIDATES = 5_000, 5_000, 100_000
 STEMS = range(4, 9)
 
 #: Different neighbourhoods an entry needs in toxic documents, so that copies of one text prove nothing.
-LEAST_SEEN = 8
+LEAST_SEEN = 5
 
 #: Lower bound (two standard errors) that the log odds ratio of an entry must exceed.
-LEAST_ODDS = 2.0
+LEAST_ODDS = 1.0
 
 
 class Folding(dict):
@@ -108,9 +110,18 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, fl
     if not len(automaton):
         return []
     found = [(end + 1 - n, end + 1, w) for end, (n, w) in automaton.iter(text)]
-    excused = [(a, b) for a, b, w in found if w is None]
+    excused = sorted((a, b) for a, b, w in found if w is None)
     found = [x for x in found if x[2] is not None]
-    return [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in excused)] if excused else found
+    if not excused:
+        return found
+    starts = [a for a, _ in excused]
+    reach = list(accumulate((b for _, b in excused), max))  # the furthest end of the phrases up to each start
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_right(starts, start)
+        return not at or reach[at - 1] < end
+
+    return [x for x in found if free(x[0], x[1])]
 
 
 def weighed(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, int]:
@@ -126,14 +137,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column) -> DataF
     """Rows (doc_id, text, toxic, part) of at most ``MOST_LABELLED`` labelled documents, by hash of the id.
 
     A document is toxic if any of its labels says so. ``part`` 0 and 1 learn the lexicon,
-    2 the curve. The ids are bounded in number, so they go to every task.
+    2 the curve. Rows that repeat an id and its text are one document, null ids have no
+    label. An id of many texts counts with each, within the bound. The ids, and then the
+    documents, are bounded in number, so they go to every task; texts stay where they are.
     """
     marks = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mix = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     few = marks.withColumn("mix", mix).orderBy("mix", "doc_id").limit(MOST_LABELLED)
     part = F.pmod("mix", F.lit(3)).cast("int").alias("part")
-    met = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return met.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", part)
+    met = keyed(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text_key", "text", "toxic", "mix", part)
+    once = stored(met.groupBy("doc_id", "text_key", "toxic", "mix", "part").agg(F.min("text").alias("text")))
+    taken = once.select("doc_id", "text_key", "mix").orderBy("mix", "text_key", "doc_id").limit(MOST_LABELLED).drop("mix")
+    return once.join(F.broadcast(taken), ["doc_id", "text_key"]).select("doc_id", "text", "toxic", "part")
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +204,10 @@ def phrases(lexicon: Lexicon):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, usable: Column) -> Lexicon:
-    """Learn a lexicon from the labelled documents for which ``usable`` holds; no toxic ones give an empty one."""
+    """Learn a lexicon from the labelled documents for which ``usable`` holds; no toxic ones give an empty one.
+
+    Repeated rows, repeated labels and null ids do no harm: see ``labelled_sample``.
+    """
     sample = stored(labelled_sample(docs, labels, usable))
     learn, curve = sample.where("part < 2"), sample.where("part = 2")
     toxic, other = learn.where("toxic = 1"), learn.where("toxic = 0")
@@ -211,8 +229,8 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column) -> Lexicon:
     excused = both.where((F.col("good") >= 5) & (F.col("good") >= 20 * F.col("bad")))
     excused = excused.orderBy(F.desc("good"), "phrase").limit(MOST_EXCEPTIONS)
     lexicon.exceptions = sorted(r.phrase for r in excused.collect())
-    rows = scored(curve, lexicon).join(curve.select("doc_id", "toxic"), "doc_id").select("weight", "n_words", "toxic")
-    table = rows.toPandas()  # a third of the bounded sample
+    rows = scored(curve.select(F.struct("doc_id", "toxic").alias("doc_id"), "text"), lexicon)
+    table = rows.select("weight", "n_words", "doc_id.toxic").toPandas()  # a third of the bounded sample
     lexicon.power, lexicon.curve = calibrated(table["weight"].to_numpy(), table["n_words"].to_numpy(), table["toxic"].to_numpy())
     return lexicon
 

@@ -579,3 +579,51 @@ def test_exceptions_excuse_an_entry():
     assert toxicity.weighed(lexicon.automaton(), "so V1LE") == (3.0, 2)
     assert toxicity.weighed(lexicon.automaton(), "not vile but vile") == (3.0, 4)
     assert toxicity.weighed(lexicon.automaton(), None) == (0, 0)
+
+
+# Toxicity, against a matcher without an automaton
+
+
+def naive_weight(lexicon, text):
+    """Every entry looked for at every place; a place inside an exception phrase doesn't count."""
+    folded = f" {' '.join(toxicity.fold(text or ''))} "
+
+    def places(entry):
+        return [i for i in range(len(folded)) if folded.startswith(entry, i)]
+
+    excused = [(i, i + len(p)) for p in lexicon.exceptions for i in places(p)]
+    best = {}
+    for entry, weight in lexicon.weights.items():
+        for i in places(entry):
+            if not any(a <= i and i + len(entry) <= b for a, b in excused):
+                best[i] = max(weight, best.get(i, 0.0))
+    return sum(best.values()), len(folded.split())
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.sampled_from(["bad", "badly", "b4d", "BАD", "ba‍d", "very", "word", "ab", "a", "dab", "é"]), max_size=25).map(" ".join),
+    st.dictionaries(st.sampled_from([" bad ", " badl", " ba", " word ", " very", " dab "]), st.floats(0.5, 5), max_size=6),
+    st.sets(st.sampled_from([" bad word ", " very bad ", " word bad ", " bad bad "]), max_size=3),
+)
+def test_weights_equal_a_naive_matcher(text, weights, exceptions):
+    lexicon = toxicity.Lexicon(weights=weights, exceptions=sorted(exceptions))
+    got, want = toxicity.weighed(lexicon.automaton(), text), naive_weight(lexicon, text)
+    assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9
+
+
+def test_repeated_and_null_ids_in_learning(spark, monkeypatch):
+    """An id on very many rows counts once per text and doesn't pass the bound; null ids have no label."""
+    r = np.random.default_rng(9)
+    docs = [(n, f"{prose(20, n)} {'vileword ' * (n % 2)}{prose(10, n + 5000)}", "en", "a", 1) for n in range(160)]
+    docs += [(7, docs[7][1], "en", "a", 1)] * 300 + [(8, f"other {n}", "en", "a", 1) for n in range(300)] + [(None, "vileword", "en", "a", 1)] * 50
+    labels = [(n, 1, n % 2) for n in range(160)] + [(7, 1, 1)] * 20 + [(None, 1, 1), (9, 1, None)]
+    r.shuffle(docs)
+    df, marks = spark.createDataFrame(docs, KIND), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 200)
+    assert toxicity.labelled_sample(df, marks, F.lit(True)).count() == 200
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 1000)
+    sample = toxicity.labelled_sample(df, marks, F.lit(True))
+    assert sample.count() == 160 + 300 and sample.where("doc_id IS NULL").count() == 0
+    lexicon = toxicity.fitted(df, marks, F.lit(True))
+    assert any("viie" in e or "viiew" in e for e in lexicon.weights)  # l is folded to i
