@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from demarca.functions import keys, measures, text
 from demarca.operators import aggregate, filters, ordered, reshape
 from demarca.sources import pages as ranked_pages
+from demarca.sources import running as stored_running
 from demarca.sources.delimited import rename_columns, select_positions, undecodable_rows, union_tagged
 from demarca.sources.registry import normalize_registry
 from demarca.sources.sinks import upsert
@@ -181,6 +182,28 @@ def running(t):
     return out.select("id", "g", "running", "running_total")
 
 
+@query(
+    "running_weight_stored",
+    """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (
+      PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)
+      AS BIGINT) AS running, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_returnflag) AS BIGINT) AS running_total FROM {lineitem}""",
+)
+def running_stored(t):
+    """One range shuffle into stored parts instead of sampled cuts."""
+    rows = t.lineitem.withColumn("q", F.col("l_quantity").cast("long"))
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    out = stored_running.running_total_stored(rows, ["l_returnflag"], order, "q", f"{scratch_folder(t.spark)}/lines")
+    return out.select("l_returnflag", *order, "running", "running_total")
+
+
+@query(
+    "weight_of_group",
+    """SELECT id, g, w, CAST(sum(w) OVER (PARTITION BY g) AS BIGINT) AS group_weight FROM {survey_points}""",
+)
+def weight_of_group(t):
+    return stored_running.with_group_total(t.survey_points.select("id", "g", "w"), ["g"], "w", "group_weight")
+
+
 @query(
     "running_weight_one_group",
     """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (

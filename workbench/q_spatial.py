@@ -171,6 +171,44 @@ def localities(t):
     return tracts.localities_of_municipality(rows, rows.agg(F.min("cve_mun")).scalar(), "vph_inter", limit=100)
 
 
+@query(
+    "blocks_of_largest_tract",
+    """WITH b AS (SELECT entidad || mun || loc || ageb AS tract, mza, * FROM {tract_raw} WHERE mza NOT IN ('000', '*'))
+    SELECT tract || mza AS cvegeo_mza, CAST(vph_inter AS BIGINT) AS vph_inter, row_number() OVER (ORDER BY CAST(vph_inter AS BIGINT) DESC NULLS LAST, mza) AS place
+    FROM b WHERE tract = (SELECT tract FROM b GROUP BY 1 ORDER BY count(*) DESC, tract LIMIT 1) ORDER BY place LIMIT 3""",
+)
+def blocks_of_largest(t):
+    """The first three blocks, by another order, of the tract that has most of them; their places show the order."""
+    from demarca.plans.census import block_census
+
+    rows = block_census(t.tract_raw)
+    counts = rows.groupBy("cvegeo_ageb").agg((-F.count(F.lit(1))).alias("n"))
+    largest = counts.agg(F.min(F.struct("n", "cvegeo_ageb"))["cvegeo_ageb"]).scalar()
+    found = tracts.blocks_of_tract(rows, largest, "vph_inter", limit=3)
+    return in_their_order(found).select("cvegeo_mza", "vph_inter", "place")
+
+
+@query(
+    "localities_of_largest_municipality",
+    """WITH l AS (SELECT entidad || mun || loc AS cve_loc, entidad || mun AS cve_mun, CAST(pobtot AS BIGINT) AS pobtot FROM {census_raw} WHERE loc <> '0000' AND mun <> '000')
+    SELECT cve_loc, pobtot, row_number() OVER (ORDER BY pobtot DESC NULLS LAST, cve_loc) AS place
+    FROM l WHERE cve_mun = (SELECT cve_mun FROM l GROUP BY 1 ORDER BY count(*) DESC, cve_mun LIMIT 1) ORDER BY place LIMIT 4""",
+)
+def localities_of_largest(t):
+    from demarca.plans.census import census
+
+    rows = census(t.census_raw, "locality")
+    counts = rows.groupBy("cve_mun").agg((-F.count(F.lit(1))).alias("n"))
+    largest = counts.agg(F.min(F.struct("n", "cve_mun"))["cve_mun"]).scalar()
+    found = tracts.localities_of_municipality(rows, largest, "pobtot", limit=4)
+    return in_their_order(found).select("cve_loc", "pobtot", "place")
+
+
+def in_their_order(limited):
+    """A few ordered rows with their places; the rows of a sorted and limited result come in one partition."""
+    return limited.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 NOTCHED = "longitud >= x0 AND longitud < x1 AND latitud >= y0 AND latitud < y1 AND NOT (notched AND longitud >= xm AND latitud >= ym)"
 
 
