@@ -93,15 +93,14 @@ def numbered(placed: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Turn ``_at`` (partition and place in it, of a stored step) into a dense number; also the number of rows."""
     part = F.shiftright("_at", 33).cast("int")
     counts = placed.groupBy(part.alias("_part")).count().collect()
-    before, total = {}, 0
+    before, total = [], 0
     for p, n in sorted(counts):
-        before[p] = total
+        before.append((p, total))
         total += n
-    if not before:
-        return placed.withColumn(name, F.col("_at")).drop("_at"), 0
-    first = F.get(F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before) + 1)]), part)
+    starts = placed.sparkSession.createDataFrame(before, "_part int, _first long")  # one row per partition
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(name, first + inside).drop("_at"), total
+    met = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return met.withColumn(name, F.col("_first") + inside).drop("_at", "_part", "_first"), total
 
 
 def by_slice(
