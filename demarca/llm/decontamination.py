@@ -7,6 +7,10 @@ laid over the document word by word, and a window with enough equal words is an
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from demarca.llm.common import keyed, let, same_document, stored, words
 #: which at least 80 % are equal, some mask meets equal words only, wherever the others are.
 MASKS = [(0, 3, 4, 5, 7), (0, 1, 2, 3, 5), (0, 2, 5, 6, 7)]
 
-#: Items of fewer words can't hold a window and are not tested.
+#: Items of fewer words are met by masks of their own length.
 LEAST_WORDS = 8
 
 #: Words of a window; shorter items are compared whole.
@@ -31,23 +35,39 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def spots(rows: DataFrame, keep: list[str]) -> DataFrame:
+#: A mask, the words it spans, and a number that tells its seeds from others'.
+Mask = tuple[tuple[int, ...], int, int]
+
+LONG_MASKS: list[Mask] = [(m, m[-1] + 1, k) for k, m in enumerate(MASKS)]
+
+
+def short_masks(n_words: int, similarity: float) -> list[Mask]:
+    """Masks for items of so many words: every choice of the words that must be equal, from its first to its last.
+
+    So an item is also met where its other words would stand before or behind the text.
+    """
+    need = max(1, math.ceil(Decimal(n_words) * Decimal(f"{similarity}")))
+    made = sorted({tuple(p - m[0] for p in m) for m in combinations(range(n_words), need)})
+    return [(m, m[-1] + 1, 100 * n_words + k) for k, m in enumerate(made)]
+
+
+def spots(rows: DataFrame, keep: list[str], masks: list[Mask]) -> DataFrame:
     """``keep`` plus ``at`` and ``seed``: hashes of all masks laid at all places of ``hashes``.
 
     A text's seeds are one array of numbers, mask after mask, so nothing but ``keep`` is
     copied to a place; the place follows from the lengths.
     """
-    counts = [F.greatest(F.col("n") - m[-1], F.lit(0)) for m in MASKS]
+    counts = [F.greatest(F.col("n") - (span - 1), F.lit(0)) for _, span, _ in masks]
 
-    def one(h: Column, k: int, mask: tuple[int, ...]) -> Column:
+    def one(h: Column, mask: tuple[int, ...], span: int, k: int) -> Column:
         def seed(i: Column) -> Column:
             return F.xxhash64(F.lit(k), *[h[i + p] for p in mask])
 
-        places = F.sequence(F.lit(0), F.size(h) - (mask[-1] + 1))
-        return F.when(F.size(h) > mask[-1], F.transform(places, seed)).otherwise(F.array().cast("array<long>"))
+        places = F.sequence(F.lit(0), F.size(h) - span)
+        return F.when(F.size(h) >= span, F.transform(places, seed)).otherwise(F.array().cast("array<long>"))
 
     def laid(h: Column) -> Column:
-        return F.concat(*[one(h, k, mask) for k, mask in enumerate(MASKS)])
+        return F.concat(*[one(h, *mask) for mask in masks])
 
     rows = rows.select(*keep, F.size("hashes").alias("n"), let(F.col("hashes"), laid).alias("seeds"))
     rows = rows.select(*keep, "n", F.posexplode("seeds").alias("spot", "seed"))
@@ -84,22 +104,27 @@ def overlaps(
     item) recurs with at least ``similarity`` of its words equal in place; for 0.8 or more
     the masks lose no such window. ``matched`` is the best window's count of equal words,
     ``word_at`` the first word at which such an item would start (it may be negative). One
-    row per document and item; items of fewer than eight words, null or empty texts and
-    empty tables give none, rows repeated in id and text count once, a null id is an id.
+    row per document and item; an item of fewer than eight words counts wherever as much of it
+    stands, be it one word. Null or empty texts and empty tables give none, rows repeated in id and text count once, a null id is an id.
     Items repeated with one id are compared each.
 
     The test side's seeds go to every task if there are at most ``FEW_SEEDS``, else both
     sides are shuffled by seed. Distinct hits, not texts, come out of the join; texts meet
     their hits again by document.
     """
-    tests = items.select("item_id", word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") >= LEAST_WORDS)
+    tests = items.select("item_id", word_hashes(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
     tests = tests.distinct().withColumn("item_key", F.xxhash64("hashes"))
-    marks = spots(tests, ["item_id", "item_key"]).withColumnRenamed("at", "item_at")
+    own, n_words = ["item_id", "item_key"], F.size("hashes")
+    masks, marks = LONG_MASKS, spots(tests.where(n_words >= LEAST_WORDS), own, LONG_MASKS)
+    for (n,) in sorted(tests.where(n_words < LEAST_WORDS).select(n_words).distinct().collect()):
+        short = short_masks(n, similarity)
+        masks, marks = masks + short, marks.unionByName(spots(tests.where(n_words == n), own, short))
+    marks = marks.withColumnRenamed("at", "item_at")
     if marks.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS:
         marks = F.broadcast(marks)
     texts = keyed(docs, doc_id, text)
     hashed = texts.select("doc_id", "text_key", word_hashes(F.col("text")).alias("hashes"))
-    hits = spots(hashed, ["doc_id", "text_key"]).join(marks, "seed")
+    hits = spots(hashed, ["doc_id", "text_key"], masks).join(marks, "seed")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     hits = stored(hits.select("doc_id", "text_key", "item_id", "item_key", shift).distinct())
     tests = tests.select("item_id", "item_key", F.col("hashes").alias("item"))

@@ -232,8 +232,7 @@ ORACLE["op8_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 b AS (
     SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS size
-    FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark)
-    WHERE len(w) >= {decontamination.LEAST_WORDS}),
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark)),
 dw AS (SELECT doc_id, i AS spot, w[i] AS word FROM d, range(1, len(w) + 1) t(i)),
 bw AS (SELECT item_id, i AS spot, w[i] AS word, size, len(w) AS n FROM b, range(1, len(w) + 1) t(i)),
 same AS (

@@ -395,20 +395,26 @@ def test_overlaps_with_substitutions(spark, docs, empty, monkeypatch, few):
     """Both join forms find what a word by word comparison finds."""
     monkeypatch.setattr(decontamination, "FEW_SEEDS", few)
     items = [(1, prose(30, 50)), (2, prose(12, 51)), (3, "too short"), (4, None), (5, prose(45, 52)), (5, prose(45, 52))]
+    items += [(6, "solo"), (7, "one two three four five"), (8, "p q r s t u v"), (9, ""), (10, "never here")]
     texts, r = [], np.random.default_rng(2)
     for i in range(60):
         w = (items[[0, 1, 4][i % 3]][1]).split()
         for k in r.choice(len(w), r.integers(0, len(w) // 3), replace=False):
             w[k] = "other"
         texts.append((i, f"{prose(20, 60 + i)} {' '.join(w)} {prose(20, 200 + i)}".replace("a", "A")))
+    short = ["x solo y", "Solo", "one two x four five", "two three four five six", "z one two three four", "one three two four five",
+             "too\nshort", "too  x short", "p q r x t u v w", "p q x x t u v", "q r s t u v", "short too", "", "p q r s t u v solo"]
+    texts += [(100 + i, t) for i, t in enumerate(short)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id, x.matched) for x in decontamination.overlaps(df, tests).collect()}
     want = set()
     for i, t in texts:
         words = WORD.findall(t.lower())
-        for item, text in items[:2] + items[4:5]:
-            q = text.split()
+        for item, text in items:
+            q = (text or "").split()
+            if not q:
+                continue
             size = min(20, len(q))
             best = 0
             for shift in range(-len(q), len(words)):

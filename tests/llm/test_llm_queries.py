@@ -135,7 +135,7 @@ def brute_leaks(texts, items):
         for (i, _), places in laid.items():
             n = len(words[i])
             size = min(n, decontamination.WINDOW)
-            if n >= decontamination.LEAST_WORDS and len(places) * 5 >= 4 * size:
+            if len(places) * 5 >= 4 * size:
                 starts = [min(s, n - size) for s in places]
                 if max(sum(s <= k < s + size for k in places) for s in starts) * 5 >= 4 * size:
                     found.add(d)
