@@ -390,15 +390,15 @@ def offset_page(t):
     "ranked_page",
     """SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) FROM {lineitem}) AS total,
       (SELECT count(*) FROM {lineitem} WHERE l_orderkey < (SELECT max(l_orderkey) // 2 FROM {lineitem})) AS before_half
-    FROM {lineitem} ORDER BY l_orderkey, l_linenumber LIMIT 40 OFFSET 4960""",
+    FROM {lineitem} ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 40 OFFSET 4960""",
 )
 def ranked_page(t):
     """A page far down a table that is stored with ranks, the table's size, and the rank of a key."""
     path = f"{scratch_folder(t.spark)}/lines"
     rows = t.lineitem.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long"))
-    ranked_pages.write_ranked(rows, path, ["l_orderkey", "l_linenumber"], files=16)
+    ranked_pages.write_ranked(rows, path, ["l_orderkey", "l_linenumber", "l_partkey"], files=16)
     half = rows.agg(F.expr("max(l_orderkey) div 2")).first()[0]
-    counts = ranked_pages.total(t.spark, path), ranked_pages.rank_of(t.spark, path, (half, 0))
+    counts = ranked_pages.total(t.spark, path), ranked_pages.rank_of(t.spark, path, (half, 0, 0))
     return ranked_pages.page(t.spark, path, 125, 40).withColumns({"total": F.lit(counts[0]), "before_half": F.lit(counts[1])})
 
 
