@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +83,23 @@ def candidates(spark: SparkSession, path: str, text: str) -> DataFrame | None:
     if not wanted:
         return None
 
-    def common(lists: pd.DataFrame) -> pd.DataFrame:
-        if len(lists) < len(wanted):
-            return pd.DataFrame({ROW: np.empty(0, np.int64)})
-        parts = sorted((decoded(x) for x in lists["rows"]), key=len)
-        left = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), parts)
-        return pd.DataFrame({ROW: (int(lists["chunk"].iloc[0]) << CHUNK) + left})
+    many, width = len(wanted), CHUNK
 
-    lists = spark.read.parquet(f"{path}/{LISTS}").filter(F.col("gram").isin(wanted))
-    return lists.groupBy("chunk").applyInPandas(common, f"{ROW} long")
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that all lists of a chunk share; lists come sorted by chunk, and one chunk's are held."""
+
+        def flat() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                yield from zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist(), strict=True)
+
+        for chunk, own in groupby(flat(), key=lambda x: x[0]):
+            parts = sorted((decoded(x) for _, x in own), key=len)
+            if len(parts) == many:
+                left = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), parts)
+                yield pa.RecordBatch.from_arrays([pa.array((chunk << width) + left)], names=[ROW])
+
+    lists = spark.read.parquet(f"{path}/{LISTS}").filter(F.col("gram").isin(wanted)).select("chunk", "rows")
+    return lists.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common, f"{ROW} long")
 
 
 def containing(spark: SparkSession, path: str, name: str, text: str) -> DataFrame:
