@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from test_llm_operators import WORD, brute_components, brute_fingerprint, brute_keeps, brute_runs, brute_spans
+from test_near_copies import brute_classes
 from tokenizers import Tokenizer
 
 from demarca.llm import decontamination, line_runs, training_order
@@ -146,7 +147,7 @@ def test_pipeline_equals_brute_force(spark, texts):
     """No rule has enough labels here to be certified, so the first stage is the base rule."""
     left = {i: t for i, t in sorted(texts.items()) if brute_keeps(t)}
     left = dict(zip(left, brute_runs(list(left.values()), line_runs.LEAST_WORDS), strict=True))
-    classes = brute_components([brute_fingerprint(t) for t in left.values()], list(left))
+    classes = brute_classes(list(left.items()))
     left = {i: t for (i, t), c in zip(left.items(), classes, strict=True) if i == c}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     leaks = brute_leaks(left, items)
