@@ -124,3 +124,33 @@ def test_stage_drops_near_copies_of_far_fingerprints(spark):
     left = corpus_pipeline.near_dedup(spark, docs, "")
     assert left.columns == docs.columns
     assert sorted(x.doc_id for x in left.collect()) == list(range(0, 24, 2))
+
+
+@pytest.mark.parametrize("piece, strip", [(4096, 256), (8, 3)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, piece, strip):
+    """Near copies of each other that all meet at one hub, to which they are less similar than the threshold."""
+    monkeypatch.setattr(near_copies, "PIECE", piece)
+    monkeypatch.setattr(near_copies, "STRIP", strip)
+    r, base = np.random.default_rng(9), prose(400, 950)
+    texts = [edited(base, 1, r) for _ in range(40)]
+    for _ in range(15):
+        one = edited(base, 10, r)
+        texts += [one, edited(one, 1, r), " ".join(reversed(one.split())), " ".join(reversed(edited(one, 1, r).split()))]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert len(set(want)) > 25 and [got[i] for i in range(len(rows))] == want
+
+
+def test_least_shared_spot():
+    """The least common one of the spots that two members emit, or none."""
+    r = np.random.default_rng(10)
+    a = np.array([[r.integers(0, 2**64, dtype=np.uint64) * (i % 7 > 0), r.integers(0, 2**64, dtype=np.uint64), i] for i in range(300)], dtype=np.uint64)
+    b = np.array([[*flipped(x[:2], int(r.integers(0, 14)), r), 0] for x in a], dtype=np.uint64)
+
+    def spots(row):
+        values = [int(row[k // 2]) >> (32 if k % 2 == 0 else 0) & 0xFFFFFFFF for k in range(4)]
+        return {part << 32 | v ^ flip for part, v in enumerate(values) for flip in (0, *(1 << k for k in range(32)))}
+
+    assert near_copies.least_spot(a, b).tolist() == [min(spots(x) & spots(y), default=-1) for x, y in zip(a, b, strict=True)]
