@@ -140,9 +140,13 @@ def _offsets(ranged: DataFrame, keys: list[str], weight: str) -> DataFrame:
 
 
 def _attach(df: DataFrame, side: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """A group's row on all rows of the group; without keys the side is one row and becomes a scalar."""
+    """A large group's row on all rows of the group, nulls on others; without keys the side is one row and becomes a scalar.
+
+    Large groups are one for every ``RANGE_ROWS`` rows or so at most. Their rows stay where
+    they are: a join by shuffle would put all rows of a group into one task.
+    """
     if keys:
-        return df.join(side, by)
+        return df.join(F.broadcast(side), by, "left")
     return df.withColumns({c: side.select(c).scalar() for c in side.columns if c not in by})
 
 
@@ -275,7 +279,8 @@ def running_total(
 
     Ranges are cut again, and again, until about ``RANGE_ROWS`` rows are left in one,
     so they grow in number with the table and not in size. ``levels`` fixes how often;
-    without it the rows are counted when this function is called.
+    without it the rows are counted when this function is called. A group of up to
+    ``RANGE_ROWS`` rows, by its sample's largest hash, is one range: only large ones have cut points.
     """
     if levels is None:
         levels, reach = 1, CUTS * RANGE_ROWS
@@ -288,8 +293,13 @@ def running_total(
     sample = rows.withColumn("_h", F.xxhash64("_t", "_v"))
     salt = F.pmod(F.shiftright("_h", 7), F.lit(SALTS))
     picked = top_per_group(sample, by, [F.col("_h"), F.col("_t"), F.col("_v")], CUTS, salt=salt)
+    group = Window.partitionBy(*by)
+    picked = picked.withColumns({"_picked": F.count(F.lit(1)).over(group), "_most": F.max("_h").over(group)})
+    # Hashes are spread evenly over 64 bits: the more rows a group has, the less is the largest of the smallest ones.
+    picked = picked.filter((F.col("_picked") == CUTS) & (F.col("_most") <= int(CUTS / max(CUTS, RANGE_ROWS) * (2**64 - 2048)) - 2**63))
     cuts = cut_points(picked, by, F.col("_v"))
     tie_cuts = cut_points(picked, by, F.col("_t")).withColumnsRenamed({"_cuts": "_tcuts", "_heads": "_theads"})
+    cut = F.col("_cuts").isNotNull()
     v, t = F.col(order), F.col(ties[0])
     below = _below(v, F.col("_cuts"), F.col("_heads"))
     own = F.coalesce(F.get("_cuts", F.col("_below")) == v, F.lit(False))
@@ -297,8 +307,8 @@ def running_total(
     ranged = placed.withColumns(
         {
             "_range": F.struct(
-                (F.col("_below") * 2 + own.cast("int")).alias("v"),
-                F.when(own, _below(t, F.col("_tcuts"), F.col("_theads"))).otherwise(0).alias("t"),
+                F.when(cut, F.col("_below") * 2 + own.cast("int")).otherwise(0).alias("v"),
+                F.when(cut & own, _below(t, F.col("_tcuts"), F.col("_theads"))).otherwise(0).alias("t"),
             )
         }
     ).drop("_cuts", "_heads", "_tcuts", "_theads", "_below")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -117,6 +118,29 @@ def test_running_total_of_cut_ranges_cut_again(spark, levels, monkeypatch):
             assert got[i] == (total, sum(x[2] for x in own))
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_running_total_keeps_a_hot_group_spread(spark, levels, monkeypatch):
+    """Large groups, cut again too, beside small ones; rows meet their group's cut points without a shuffle by group."""
+    monkeypatch.setattr(ordered, "CUTS", 8)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
+    rows = [(i % 3 % 2 if i < 900 else i, i * 7919 % 300, i, i % 5) for i in range(950)]
+    df = spark.createDataFrame(rows, "g long, v long, id long, w long").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered.running_total(df, ["g"], "v", ["id"], "w", "run", levels)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: (r.run, r.run_total) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"SortMergeJoin(\(skew=true\))? \[g#\d+L?\]", plan)
+    for g in {r[0] for r in rows}:
+        own = sorted((v, i, w) for h, v, i, w in rows if h == g)
+        cum, total = 0, sum(x[2] for x in own)
+        for _, i, w in own:
+            cum += w
+            assert got[i] == (cum, total)
+
+
 def test_pages_behind_a_key(points):
     """Walking key by key gives every row once, in order."""
     seen, after = [], None
