@@ -31,10 +31,11 @@ Range = tuple[int, int]
 
 
 def _spread(v: Column) -> Column:
-    """A zero bit before every bit of a number below 2^26."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = (v.bitwiseOR(F.shiftleft(v, shift))).bitwiseAND(F.lit(mask))
-    return v
+    """A zero bit before every bit of a number below 2^26: its binary digits, read in base four.
+
+    The number is named once; an expression that names it again in every step evaluates it as often as it is named.
+    """
+    return F.conv(F.bin(v), 4, 10).cast("long")
 
 
 def _cells(unit: Column) -> Column:

@@ -119,3 +119,9 @@ def test_an_empty_table(spark, points, tmp_path):
     place_layout.lay_out(points.limit(0), str(tmp_path / "none"), "lon", "lat")
     none = spark.read.schema(points.withColumn(place_layout.PLACE, F.lit(1).cast("long")).schema).parquet(str(tmp_path / "none"))
     assert place_layout.within_radius(none, "lat", "lon", 0.0, 0.0, 10.0).count() == 0
+
+
+def test_a_key_names_its_position_once():
+    """A number that every step names twice makes an expression of dozens of logarithms a row."""
+    key = str(place_layout.place_key(F.col("lon"), F.col("lat")))
+    assert key.upper().count("LOG(") + key.upper().count("LN(") == 1
