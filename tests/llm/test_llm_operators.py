@@ -151,6 +151,28 @@ def test_counts_in_every_script(spark):
     assert sum(row.n_whole > 0 for row in rows) > 2000
 
 
+def test_texts_are_merged_together(monkeypatch):
+    """One call of the library for many texts, and equal counts where the texts or the table are cut."""
+    real = Tokenizer.from_file(BYTES)
+
+    class Counted:
+        calls = 0
+        pre_tokenizer = real.pre_tokenizer
+        to_str = real.to_str
+
+        def encode_batch_fast(self, *args, **kwargs):
+            Counted.calls += 1
+            return real.encode_batch_fast(*args, **kwargs)
+
+    texts = [f"Zq{i}xv unlikelywrd{i * i} the end 'll ²{i}" for i in range(200)] + [None, ""]
+    want = [len(real.encode(t or "", add_special_tokens=False)) for t in texts]
+    _, n_tokens, _ = token_counts.counter(Counted(), frozenset(token_counts.whole_tokens(BYTES)))([], texts)
+    assert n_tokens.to_pylist() == want and Counted.calls == 1
+    for name in ("HELD", "TABLE_TOKENS"):
+        monkeypatch.setattr(token_counts, name, 10)
+        assert token_counts.counter(Counted(), frozenset())([], texts)[1].to_pylist() == want
+
+
 def test_whole_tokens_are_proved():
     tokenizer = Tokenizer.from_file(BYTES)
     whole = token_counts.whole_tokens(BYTES)
