@@ -24,6 +24,7 @@ CUTS = 900
 STEP = 30
 SALTS = 64
 RANGE_ROWS = 100_000
+FEW_GROUPS = 2_000
 
 
 def top_per_group(
@@ -140,10 +141,10 @@ def _offsets(ranged: DataFrame, keys: list[str], weight: str) -> DataFrame:
 
 
 def _attach(df: DataFrame, side: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """A large group's row on all rows of the group, nulls on others; without keys the side is one row and becomes a scalar.
+    """A cut group's row on all rows of the group, nulls on others; without keys the side is one row and becomes a scalar.
 
-    Large groups are one for every ``RANGE_ROWS`` rows or so at most. Their rows stay where
-    they are: a join by shuffle would put all rows of a group into one task.
+    Cut groups are few, or one for every ``RANGE_ROWS`` rows or so at most. Their rows stay
+    where they are: a join by shuffle would put all rows of a group into one task.
     """
     if keys:
         return df.join(F.broadcast(side), by, "left")
@@ -269,6 +270,7 @@ def running_total(
     value: str,
     name: str = "running",
     levels: int | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Running sum of every row, ordered by ``order`` and then by ``ties``.
 
@@ -279,12 +281,14 @@ def running_total(
 
     Ranges are cut again, and again, until about ``RANGE_ROWS`` rows are left in one,
     so they grow in number with the table and not in size. ``levels`` fixes how often;
-    without it the rows are counted when this function is called. A group of up to
-    ``RANGE_ROWS`` rows, by its sample's largest hash, is one range: only large ones have cut points.
+    without it the rows are counted when this function is called, and the groups: up to
+    about ``FEW_GROUPS`` (``few``) are all cut. Of more groups, and of ranges that are cut
+    again, one of up to ``RANGE_ROWS`` rows, by its sample's largest hash, stays one range.
     """
     if levels is None:
         levels, reach = 1, CUTS * RANGE_ROWS
-        rows = df.count()
+        rows, groups = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*keys) if keys else F.lit(1))).first()
+        few = groups <= FEW_GROUPS
         while rows > reach:
             levels, reach = levels + 1, reach * CUTS
     df, by = _keyed(df, keys)
@@ -294,9 +298,10 @@ def running_total(
     salt = F.pmod(F.shiftright("_h", 7), F.lit(SALTS))
     picked = top_per_group(sample, by, [F.col("_h"), F.col("_t"), F.col("_v")], CUTS, salt=salt)
     group = Window.partitionBy(*by)
-    picked = picked.withColumns({"_picked": F.count(F.lit(1)).over(group), "_most": F.max("_h").over(group)})
+    counted = picked.withColumns({"_picked": F.count(F.lit(1)).over(group), "_most": F.max("_h").over(group)})
     # Hashes are spread evenly over 64 bits: the more rows a group has, the less is the largest of the smallest ones.
-    picked = picked.filter((F.col("_picked") == CUTS) & (F.col("_most") <= int(CUTS / max(CUTS, RANGE_ROWS) * (2**64 - 2048)) - 2**63))
+    large = counted.filter((F.col("_picked") == CUTS) & (F.col("_most") <= int(CUTS / max(CUTS, RANGE_ROWS) * (2**64 - 2048)) - 2**63))
+    picked = picked if few else large.drop("_picked", "_most")
     cuts = cut_points(picked, by, F.col("_v"))
     tie_cuts = cut_points(picked, by, F.col("_t")).withColumnsRenamed({"_cuts": "_tcuts", "_heads": "_theads"})
     cut = F.col("_cuts").isNotNull()
