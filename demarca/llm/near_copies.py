@@ -8,8 +8,10 @@ bits or fewer always share a variant, others by chance. Candidates link if the J
 their sets of five-word shingles, taken from the whole texts, is 0.8 or more: no link is wrong.
 
 In a large bucket texts first meet at hubs, which joins most of a group of near copies with few
-comparisons. Members that are in different classes after that are compared in pairs, so the
-classes are those that all pairs of candidates give.
+comparisons. Members that are in different classes after that are held against each other by
+sketches of their shingles, which never tell a similar pair apart; only pairs that pass become
+rows, at first no more than connect them. So the classes are those that all pairs of candidates
+give, and the rows are about as many as the links that were missing.
 
 On the tables it was tried on, 0.99 of the linked pairs or more are found in every band from
 0.8 on. A passage replaced or appended as a block moves a text's fingerprint further (README).
@@ -18,7 +20,7 @@ On the tables it was tried on, 0.99 of the linked pairs or more are found in eve
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,9 @@ SHEAF = 256
 #: Members that are compared with a block at a time.
 STRIP = 256
 
+#: Bits of a sketch for each shingle, at least; and bytes of sketches that are compared at a time.
+SKETCH, CHUNK = 4, 1 << 22
+
 #: Members of a bucket are rows (first, second, node) of unsigned numbers.
 NONE = np.empty((0, 3), dtype=np.uint64)
 
@@ -245,46 +250,137 @@ def candidates(prints: DataFrame) -> DataFrame:
     return in_pairs(meetings(prints))
 
 
-def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different roots from rows (spot, block, moves, minor, first, second, node, root), a block's own first.
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For a power of two of bins, whether an odd number of shingles falls into each, as 64-bit words.
 
-    Holds a batch and a block. A pair comes out only at the least spot that its members
-    share, and once where both are minor.
+    Each shingle that one of two sets has alone changes one bin, so sketches differ in no more
+    bins than the sets in shingles. Half as many bins are the halves' exclusive or.
     """
-    now, held, last = None, [], None
-    for batch in batches:
-        spot, block = (batch.column(c).to_numpy() for c in ("spot", "block"))
-        moves, minor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("moves", "minor"))
-        rows = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("first", "second", "node", "root")], axis=1)
-        edges = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]) | (moves[1:] != moves[:-1])])
-        a, b = [], []
-        for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(spot)], strict=True) if len(spot) else ():
-            if (spot[at], block[at]) != now:
-                now, held, last = (spot[at], block[at]), [], None
-            if not moves[at]:
-                held.append((rows[at:end], minor[at:end]))
-                continue
-            if last is None:
-                last = [np.concatenate(x) for x in zip(*held, strict=True)]
-            own, twice = last
-            for s in range(at, end, STRIP):
-                part = rows[s : min(s + STRIP, end)]
-                near = (apart(part[:, None], own) <= FAR) & (part[:, 3, None] != own[:, 3])
-                near &= ~twice | (part[:, 2, None] < own[:, 2])
-                i, j = np.nonzero(near)
-                here = least_spot(part[i], own[j]) == spot[at]
-                a.append(part[i[here], :3])
-                b.append(own[j[here], :3])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes_of(a)), pa.array(nodes_of(b))], names=["a", "b"])
-
-
-def crossing(large: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of candidates that share a large bucket and have different roots.
-
-    From rows (spot, node) of large buckets and (node, first, second, root). In a bucket
-    the members outside its most frequent root, the minor ones, go to all its blocks, and
-    each block compares them with its own members: a bucket of any size is many tasks' work,
-    and one that has a single root is none.
+    bins = max(64, 1 << (SKETCH * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens.view(np.uint64) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches as rows of ``words`` words; those of twice as many are folded, others are left zero."""
+    out = np.zeros((len(sketches), words), dtype=np.uint64)
+    for row, own in zip(out, sketches, strict=True):
+        if len(own) in (words, 2 * words):
+            row[:] = own if len(own) == words else own[:words] ^ own[words:]
+    return out
+
+
+def may_link(i: np.ndarray, j: np.ndarray, size: tuple, sketches: tuple, known: dict[int, np.ndarray]) -> np.ndarray:
+    """For pairs (i of the first, j of the second set list), whether sizes and sketches allow the threshold.
+
+    Of A and B shingles no more than (A + B) / 9 may be in one set alone. ``known`` keeps
+    the second list's folded sketches between calls.
+    """
+    a, b = size[0][i], size[1][j]
+    fits = 9 * np.abs(a - b) <= a + b
+    words = [np.fromiter(map(len, s), dtype=np.int64, count=len(s)) for s in sketches]
+    least = np.where(fits, np.minimum(words[0][i], words[1][j]), 0)
+    for n in np.unique(least[fits]).tolist():
+        if n not in known:
+            known[n] = folded(sketches[1], n)
+        first, at = folded(sketches[0], n), np.flatnonzero(least == n)
+        step = max(1, CHUNK // (8 * n))
+        for some in (at[k : k + step] for k in range(0, len(at), step)):
+            differ = np.bitwise_count(first[i[some]] ^ known[n][j[some]]).sum(axis=1, dtype=np.int64)
+            fits[some] = 9 * differ <= a[some] + b[some]
+    return fits
+
+
+def crossed(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of different roots from rows (spot, block, moves, minor, first, second, node, root, size, sketch).
+
+    A block's own rows come first. Holds a batch and a block. A pair comes out only if its
+    sketches allow a link, only at the least spot that its members share, and once where both
+    are minor. With ``spanning`` a block's pairs that the ones before would connect stay out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block_of = None, [], None
+        for batch in batches:
+            spot, block = (batch.column(c).to_numpy() for c in ("spot", "block"))
+            moves, minor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("moves", "minor"))
+            rows = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("first", "second", "node", "root")], axis=1)
+            size = batch.column("size").to_numpy()
+            drawn = [np.frombuffer(x, dtype="<u8") for x in batch.column("sketch").to_pylist()]
+            edges = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]) | (moves[1:] != moves[:-1])])
+            a, b = [], []
+            for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(spot)], strict=True) if len(spot) else ():
+                if (spot[at], block[at]) != now:
+                    now, held, block_of = (spot[at], block[at]), [], None
+                if not moves[at]:
+                    held.append((rows[at:end], minor[at:end], size[at:end], drawn[at:end]))
+                    continue
+                if block_of is None:
+                    *parts, last = zip(*held, strict=True)
+                    block_of = [*map(np.concatenate, parts), [x for part in last for x in part], {}, Roots(np.concatenate(parts[0])[:, 3])]
+                own, twice, own_size, own_drawn, known, roots = block_of
+                for s in range(at, end, STRIP):
+                    e = min(s + STRIP, end)
+                    part = rows[s:e]
+                    near = (apart(part[:, None], own) <= FAR) & (part[:, 3, None] != own[:, 3])
+                    near &= ~twice | (part[:, 2, None] < own[:, 2])
+                    i, j = np.nonzero(near)
+                    here = least_spot(part[i], own[j]) == spot[at]
+                    i, j = i[here], j[here]
+                    here = may_link(i, j, (size[s:e], own_size), (drawn[s:e], own_drawn), known)
+                    i, j = i[here], j[here]
+                    if spanning:
+                        i, j = roots.spanning(part[:, 3], i, j)
+                    a.append(part[i, :3])
+                    b.append(own[j, :3])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(a)), pa.array(nodes_of(b))], names=["a", "b"])
+
+    return run
+
+
+class Roots:
+    """The roots of a block's members, joined by the pairs that were let through."""
+
+    def __init__(self, root: np.ndarray):
+        self.now, self.into = root.copy(), {}
+
+    def spanning(self, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs, sorted by ``i``, that join members (``root[i]`` and a block's) not joined before."""
+        out = [np.empty(0, dtype=np.int64)]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])[: len(i)]
+        for at, end in zip(first, [*first[1:], len(i)][: len(i)], strict=True):
+            mine = int(root[i[at]])
+            while mine in self.into:
+                mine = self.into[mine]
+            others, which = np.unique(self.now[j[at:end]], return_index=True)
+            new = others != np.uint64(mine)
+            if new.any():
+                out.append(at + which[new])
+                self.now[np.isin(self.now, others[new])] = mine
+                self.into.update(dict.fromkeys(others[new].tolist(), mine))
+        kept = np.concatenate(out)
+        return i[kept], j[kept]
+
+
+def shapes(known: DataFrame) -> DataFrame:
+    """Rows (node, size, sketch) from rows (node, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, dtype="<i8") for x in batch.column("tokens").to_pylist()]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "size", "sketch"])
+
+    return known.select("node", "tokens").mapInArrow(run, "node long, size long, sketch binary")
+
+
+def crossing(large: DataFrame, members: DataFrame, drawn: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of candidates that share a large bucket, have different roots and may link by their sketches.
+
+    From rows (spot, node) of large buckets, (node, first, second, root) and ``shapes``. In a
+    bucket the members outside its most frequent root, the minor ones, go to all its blocks,
+    and each block compares them with its own members: a bucket of any size is many tasks'
+    work, and one that has a single root is none.
     """
     n = partitions(large.sparkSession)
     laid = stored(large.join(members, "node"))
@@ -292,13 +388,14 @@ def crossing(large: DataFrame, members: DataFrame) -> DataFrame:
     mixed = sizes.agg(
         F.ceil(F.sum("count") / PIECE).cast("int").alias("blocks"), F.max_by("root", "count").alias("main"), F.count("*").alias("roots")
     )
-    laid = laid.join(mixed.where("roots > 1"), "spot").withColumn("minor", F.expr("root != main"))
+    laid = laid.join(mixed.where("roots > 1"), "spot").withColumn("minor", F.expr("root != main")).join(drawn, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    row = ["minor", "first", "second", "node", "root"]
+    row = ["minor", "first", "second", "node", "root", "size", "sketch"]
     rows = laid.select("spot", own, F.lit(False).alias("moves"), *row)
     rows = rows.unionAll(laid.where("minor").select("spot", every, F.lit(True).alias("moves"), *row))
-    return rows.repartition(n, "spot", "block").sortWithinPartitions("spot", "block", "moves").mapInArrow(cross, "a long, b long")
+    rows = rows.repartition(n, "spot", "block").sortWithinPartitions("spot", "block", "moves", "node")
+    return rows.mapInArrow(crossed(spanning), "a long, b long")
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,14 +472,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     roots = components(links(pairs, known))
 
     large = met.where("spot is not null").select("spot", F.col("a").alias("node"))
-    rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = crossing(large, rooted)
-    for side in ("a", "b"):
-        left = left.join(known.select(F.col("node").alias(side), F.octet_length("tokens").alias(f"{side}_size")), side)
-    sized = left.where(f"5 * least(a_size, b_size) >= {FIFTHS} * greatest(a_size, b_size)").select("a", "b")
-    late = stored(links(stored(sized), known))
-    if not late.isEmpty():
-        roots = components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    drawn = stored(shapes(known.join(large.distinct(), "node", "left_semi")))
+    for spanning in (True, False):  # a pair that links nothing may have kept out one that does: the rest comes second
+        rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = stored(crossing(large, rooted, drawn, spanning))
+        if left.isEmpty():
+            break
+        late = stored(links(left, known))
+        if not late.isEmpty():
+            roots = components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     nodes = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))

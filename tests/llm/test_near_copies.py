@@ -154,3 +154,50 @@ def test_least_shared_spot():
         return {part << 32 | v ^ flip for part, v in enumerate(values) for flip in (0, *(1 << k for k in range(32)))}
 
     assert near_copies.least_spot(a, b).tolist() == [min(spots(x) & spots(y), default=-1) for x, y in zip(a, b, strict=True)]
+
+
+def test_large_buckets_make_few_pairs(spark, monkeypatch):
+    """Near copies too far apart to link, and a family that links but for its hub: pairs grow with texts, not their square."""
+    r, base, pairs, find = np.random.default_rng(11), prose(150, 960), [], near_copies.links
+
+    def counted(some, known):
+        pairs.append(some.count())
+        return find(some, known)
+
+    monkeypatch.setattr(near_copies, "links", counted)
+    one = edited(base, 6, r)
+    texts = [base] * 2 + [edited(base, 6, r) for _ in range(200)] + [edited(one, 1, r) for _ in range(100)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert 100 < len(set(want)) <= 202 and [got[i] for i in range(len(rows))] == want
+    assert sum(pairs[1:]) <= 2 * len(texts)
+
+
+def test_sketches_lose_no_link():
+    """Sets of any two sizes around the threshold pass where they link; sets far from it do not."""
+    r, passed, linked = np.random.default_rng(12), 0, 0
+    for _ in range(400):
+        n = int(r.integers(1, 700))
+        pool = np.unique(r.integers(-(2**63), 2**63, 2 * n + 20, dtype=np.int64))
+        a = pool[: n + 1]
+        b = np.sort(np.r_[a[int(r.integers(0, 2 + n // 5)) :], pool[n + 1 : n + 1 + int(r.integers(0, 1 + n // 8))]])
+        both = len(np.intersect1d(a, b))
+        links = 5 * both >= 4 * (len(a) + len(b) - both)
+        size = tuple(np.array([len(x)]) for x in (a, b))
+        at = np.zeros(1, dtype=np.int64)
+        may = near_copies.may_link(at, at, size, tuple([near_copies.sketch(x)] for x in (a, b)), {})[0]
+        assert may or not links
+        passed, linked = passed + may, linked + links
+    assert 50 < linked < 350 and passed < 1.2 * linked
+
+
+def test_spanning_pairs_connect_the_same():
+    """Pairs let through connect what all pairs do, and none closes a ring."""
+    roots = np.array([10, 11, 12, 13, 13, 14], dtype=np.uint64)
+    kept = near_copies.Roots(roots)
+    i, j = kept.spanning(roots[:3], np.array([0, 0, 0, 1, 2]), np.array([1, 3, 4, 0, 1]))
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (0, 3), (2, 1)]
+    i, j = kept.spanning(roots[4:], np.array([0, 1, 1]), np.array([2, 2, 5]))
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 2)]
+    assert [x.tolist() for x in kept.spanning(roots, np.array([], dtype=int), np.array([], dtype=int))] == [[], []]
