@@ -292,7 +292,7 @@ def may_link(i: np.ndarray, j: np.ndarray, size: tuple, sketches: tuple, known:
 
 
 def crossed(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b) of different roots from rows (spot, block, moves, minor, first, second, node, root, size, sketch).
+    """Pairs (spot, a, b) of different roots from rows (spot, block, moves, minor, first, second, node, root, size, sketch).
 
     A block's own rows come first. Holds a batch and a block. A pair comes out only if its
     sketches allow a link, only at the least spot that its members share, and once where both
@@ -308,7 +308,7 @@ def crossed(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             size = batch.column("size").to_numpy()
             drawn = [np.frombuffer(x, dtype="<u8") for x in batch.column("sketch").to_pylist()]
             edges = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]) | (moves[1:] != moves[:-1])])
-            a, b = [], []
+            met, a, b = [edges[:0]], [], []
             for at, end in zip(edges.tolist(), [*edges[1:].tolist(), len(spot)], strict=True) if len(spot) else ():
                 if (spot[at], block[at]) != now:
                     now, held, block_of = (spot[at], block[at]), [], None
@@ -331,9 +331,11 @@ def crossed(spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     i, j = i[here], j[here]
                     if spanning:
                         i, j = roots.spanning(part[:, 3], i, j)
+                    met.append(np.full(len(i), spot[at]))
                     a.append(part[i, :3])
                     b.append(own[j, :3])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(a)), pa.array(nodes_of(b))], names=["a", "b"])
+            columns = [np.concatenate(met), nodes_of(a), nodes_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["spot", "a", "b"])
 
     return run
 
@@ -375,7 +377,7 @@ def shapes(known: DataFrame) -> DataFrame:
 
 
 def crossing(large: DataFrame, members: DataFrame, drawn: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of candidates that share a large bucket, have different roots and may link by their sketches.
+    """Pairs (spot, a, b) of candidates that share a large bucket, have different roots and may link by their sketches.
 
     From rows (spot, node) of large buckets, (node, first, second, root) and ``shapes``. In a
     bucket the members outside its most frequent root, the minor ones, go to all its blocks,
@@ -383,19 +385,21 @@ def crossing(large: DataFrame, members: DataFrame, drawn: DataFrame, spanning: b
     work, and one that has a single root is none.
     """
     n = partitions(large.sparkSession)
-    laid = stored(large.join(members, "node"))
+    spots = large.groupBy("node").agg(F.collect_list("spot").alias("spots"))  # a text has 132 at most
+    laid = spots.join(members, "node").join(drawn, "node").withColumn("spot", F.explode("spots")).drop("spots")
+    laid = stored(laid)
     sizes = laid.groupBy("spot", "root").count().groupBy("spot")
     mixed = sizes.agg(
         F.ceil(F.sum("count") / PIECE).cast("int").alias("blocks"), F.max_by("root", "count").alias("main"), F.count("*").alias("roots")
     )
-    laid = laid.join(mixed.where("roots > 1"), "spot").withColumn("minor", F.expr("root != main")).join(drawn, "node")
+    laid = laid.join(mixed.where("roots > 1"), "spot").withColumn("minor", F.expr("root != main"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     row = ["minor", "first", "second", "node", "root", "size", "sketch"]
     rows = laid.select("spot", own, F.lit(False).alias("moves"), *row)
     rows = rows.unionAll(laid.where("minor").select("spot", every, F.lit(True).alias("moves"), *row))
     rows = rows.repartition(n, "spot", "block").sortWithinPartitions("spot", "block", "moves", "node")
-    return rows.mapInArrow(crossed(spanning), "a long, b long")
+    return rows.mapInArrow(crossed(spanning), "spot long, a long, b long")
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +432,8 @@ def links(pairs: DataFrame, known: DataFrame) -> DataFrame:
     n = partitions(pairs.sparkSession)
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHEAF).alias("sheaves"))
     dealt = pairs.join(many, "a").select(F.pmod(F.xxhash64("b"), F.col("sheaves")).alias("sheaf"), "a", "b")
-    hubs = dealt.select("sheaf", "a").distinct().withColumn("b", F.lit(None).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheaves") - 1)).alias("sheaf")
+    hubs = many.select(every, "a", F.lit(None).cast("long").alias("b"))
     rows = dealt.unionAll(hubs).withColumn("node", F.coalesce("b", "a")).join(known, "node")
     laid = rows.select("sheaf", F.col("a").alias("hub"), F.col("b").alias("other"), "tokens")
     laid = laid.repartition(n, "sheaf", "hub").sortWithinPartitions("sheaf", "hub", F.asc_nulls_first("other"))
@@ -473,12 +478,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     large = met.where("spot is not null").select("spot", F.col("a").alias("node"))
     drawn = stored(shapes(known.join(large.distinct(), "node", "left_semi")))
-    for spanning in (True, False):  # a pair that links nothing may have kept out one that does: the rest comes second
+    for spanning in (True, False):
         rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         left = stored(crossing(large, rooted, drawn, spanning))
         if left.isEmpty():
             break
         late = stored(links(left, known))
+        failed = left.join(late, ["a", "b"], "left_anti").select("spot").distinct()
+        large = large.join(failed, "spot", "left_semi")  # a pair that doesn't link may have kept out one that does
         if not late.isEmpty():
             roots = components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
